@@ -1,0 +1,5 @@
+"""Nothing to run here: the work covered by this package is batch work.
+
+The hour bin, the token expressions and the per-row counts are stateless columns and can be used
+unchanged on a streaming DataFrame.
+"""
