@@ -230,6 +230,29 @@ VIEWS: dict[str, str] = {
       epoch(o_orderdate)::BIGINT AS timestamp, (1980 + p_size)::BIGINT AS movie_year,
       p_type AS movie_genre
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
+    "coo_item": """SELECT user_id AS row_id, cluster AS col_id, count(*) AS rating
+      FROM interactions JOIN item_clusters USING (news_id) WHERE score <> 0 GROUP BY ALL""",
+    "coo_user": """SELECT cluster AS row_id, news_id AS col_id, count(*) AS rating
+      FROM interactions JOIN user_clusters USING (user_id) WHERE score <> 0 GROUP BY ALL""",
+    "feature_names": """SELECT DISTINCT 'cat__' || category AS name FROM news
+      UNION ALL SELECT DISTINCT 'sub__' || sub_category FROM news""",
+    "user_counts": """SELECT user_id, name, sum(score)::BIGINT AS n FROM (
+        SELECT user_id, 'cat__' || category AS name, score FROM interactions
+        UNION ALL SELECT user_id, 'sub__' || sub_category, score FROM interactions) GROUP BY ALL""",
+    "user_shares": """SELECT u.user_id, f.name, coalesce(c.n, 0) AS n,
+        coalesce(coalesce(c.n, 0) / nullif(sum(coalesce(c.n, 0)) OVER (
+          PARTITION BY u.user_id, left(f.name, 5)), 0), 0)::DOUBLE AS share
+      FROM (SELECT DISTINCT user_id FROM interactions) u CROSS JOIN feature_names f
+      LEFT JOIN user_counts c ON c.user_id = u.user_id AND c.name = f.name""",
+    "user_vecs": "SELECT user_id, list(share ORDER BY name) AS features FROM user_shares GROUP BY user_id",
+    "article_names": """SELECT news_id, 'cat__' || category AS name FROM news
+      UNION ALL SELECT news_id, 'sub__' || sub_category FROM news""",
+    "cluster_sums": """SELECT k.cluster, f.name, count(a.news_id)::DOUBLE AS n
+      FROM (SELECT DISTINCT cluster FROM item_clusters) k CROSS JOIN feature_names f
+      LEFT JOIN (SELECT cluster, a.name, a.news_id FROM item_clusters JOIN article_names a
+        USING (news_id)) a ON a.cluster = k.cluster AND a.name = f.name
+      GROUP BY k.cluster, f.name""",
+    "cluster_vecs": "SELECT cluster AS item, list(n ORDER BY name) AS features FROM cluster_sums GROUP BY cluster",
 }
 
 _NEEDS = {
@@ -242,6 +265,15 @@ _NEEDS = {
     "interactions": ["events_long", "news"],
     "item_clusters": ["news"],
     "user_clusters": ["behaviors"],
+    "coo_item": ["interactions", "item_clusters"],
+    "coo_user": ["interactions", "user_clusters"],
+    "feature_names": ["news"],
+    "user_counts": ["interactions"],
+    "user_shares": ["interactions", "feature_names", "user_counts"],
+    "user_vecs": ["user_shares"],
+    "article_names": ["news"],
+    "cluster_sums": ["item_clusters", "feature_names", "article_names"],
+    "cluster_vecs": ["cluster_sums"],
 }
 
 

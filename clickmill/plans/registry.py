@@ -28,4 +28,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from . import logs  # noqa: F401
+    from . import logs, profiles  # noqa: F401
