@@ -22,7 +22,7 @@ from .ranking import top_n_per_group
 
 PIVOTS = 256
 BLOCK_ROWS = 2048
-DIGITS = 9  # scores are compared after rounding, ties go to the smaller id
+DIGITS = 9  # costs are compared at this many digits, ties go to the smaller id
 _SLACK = 1e-7
 _WORK = 4_000_000  # matrix cells scored at a time
 
@@ -30,7 +30,7 @@ _SCALED = {"cosine": l2_scaled, "hellinger": hellinger_scaled}
 
 
 def _best(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, metric: str):
-    """Row numbers, candidate positions and rounded costs of the k cheapest candidates per query.
+    """Row numbers, candidate positions and costs of the k cheapest candidates per query.
 
     Costs are euclidean distances or negated products. A fast matrix product shortlists with some
     slack; the shortlist is then scored exactly.
@@ -53,8 +53,7 @@ def _best(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, metric: str):
             cost = np.sqrt(((part[rows] - c[cols]) ** 2).sum(axis=1))
         else:
             cost = -(part[rows] * c[cols]).sum(axis=1)
-        cost = np.round(cost, DIGITS)
-        order = np.lexsort((c_ids[cols], cost, rows))
+        order = np.lexsort((c_ids[cols], np.round(cost, DIGITS), rows))
         rows, cols, cost = rows[order], cols[order], cost[order]
         first = np.searchsorted(rows, rows, side="left")
         keep = np.arange(len(rows)) - first < k
@@ -62,6 +61,10 @@ def _best(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, metric: str):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _cheapest(hits: DataFrame, candidate: str, k: int) -> DataFrame:
+    return top_n_per_group(hits, ["qid"], [F.round("cost", DIGITS), F.col(candidate)], k)
+
+
 def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
@@ -120,7 +123,7 @@ def _scan(
         .cogroup(spread_c.select(*keys, "cid", "vector").groupBy(*keys))
         .applyInPandas(score, schema)
     )
-    return top_n_per_group(hits, ["qid"], [F.col("cost"), F.col("cid")], k)
+    return _cheapest(hits, "cid", k)
 
 
 def _against_cells(
@@ -192,7 +195,7 @@ def _against_cells(
     limit = F.when(F.col("found") < k, F.lit(1e300)).otherwise(F.col("bound")).alias("bound")
     bounded = queries.join(bound, "qid").select("qid", "vector", limit)
     far = _scan(bounded.mapInPandas(other_cells, wanted), blocks, cell_parts, k, metric, schema, block_rows)
-    return top_n_per_group(near.unionByName(far), ["qid"], [F.col("cost"), F.col("cid")], k)
+    return _cheapest(near.unionByName(far), "cid", k)
 
 
 def nearest(
@@ -239,10 +242,9 @@ def nearest(
     members = hits.join(unique.select("cid", "ids"), "cid").select(
         "qid", "cost", F.explode("ids").alias("neighbor")
     )
-    best = top_n_per_group(members, ["qid"], [F.col("cost"), F.col("neighbor")], keep)
-    listed = best.groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("cost", "neighbor"))).alias("found")
-    )
+    best = _cheapest(members, "neighbor", keep)
+    entry = F.struct(F.round("cost", DIGITS).alias("place"), "neighbor", "cost")
+    listed = best.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("found"))
     by_vector = asked.join(listed, "qid").select("vector", "found")
     mine = queries.join(by_vector, "vector")
     found = F.col("found")

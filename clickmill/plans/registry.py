@@ -28,4 +28,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from . import logs, profiles  # noqa: F401
+    from . import clusters, factors, logs, profiles, recommendations, texts  # noqa: F401
