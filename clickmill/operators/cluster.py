@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .ranking import global_row_number
 from .reduce import mean_imputed, reduced
 
 SEED = 42
@@ -86,20 +87,14 @@ def density_labels(
     by_cell = components.unionByName(fringe)
     sized = by_cell.join(counts, "node").groupBy("root").agg(F.sum("n").alias("points"))
     large = sized.where(F.col("points") >= min_cluster_size).select("root")
-    # Clusters are numbered by their smallest cell; their number is far below that of the points.
-    numbered = large.withColumn("cluster", _dense_number("root", large))
+    numbered = global_row_number(large, ["root"], "number")
+    numbered = numbered.select("root", (F.col("number") - 1).alias("cluster"))
     labelled = by_cell.join(numbered, "root").select("node", "cluster")
     return points.join(labelled, "node", "left").select(
         key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")
     )
 
 
-def _dense_number(col: str, df: DataFrame):
-    """0-based number of each value among all values of a short column, as a lookup in one array."""
-    values = df.agg(F.array_sort(F.collect_set(col)).alias("v")).scalar()
-    return (F.array_position(values, F.col(col)) - 1).cast("int")
-
-
 def attach_labels(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Labels by key, never by position."""
     return features.join(labels.select(key, "cluster"), key)

@@ -103,9 +103,9 @@ def without_repeats(df: DataFrame, ignore: str = "time") -> DataFrame:
 def repeats_removed(df: DataFrame, ignore: str = "time") -> DataFrame:
     """How many rows ``without_repeats`` takes away."""
     rest = [c for c in df.columns if c != ignore]
-    sizes = df.groupBy(*rest).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(*rest).agg(F.count("*").alias("_n"))
     return sizes.agg(
-        F.sum("n").alias("rows_in"),
+        F.sum("_n").alias("rows_in"),
         F.count("*").alias("rows_kept"),
-        F.sum(F.col("n") - 1).alias("rows_removed"),
+        F.sum(F.col("_n") - 1).alias("rows_removed"),
     )

@@ -1,10 +1,10 @@
 """Exact k nearest vectors without forming all pairs.
 
 Equal vectors are merged first, so a crowd of copies counts once. A candidate side that is small by
-count goes to the tasks as one matrix. A large one is cut into cells around pivots; each query first
-searches its best cells for a bound and then only the cells that the triangle inequality cannot rule
-out. Cells are split into blocks, so a crowded cell spreads over many tasks, and every task returns
-only the k best of its block per query.
+checked size goes to the tasks as one matrix. A large one is cut into cells around pivots; each query
+first searches its best cells for a bound and then only the cells that the triangle inequality cannot
+rule out. Queries and candidates of a cell are both cut into bounded blocks, so a crowded cell
+spreads over many tasks, and a block returns only hits within a query's bound, k at most.
 """
 
 from __future__ import annotations
@@ -17,19 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hellinger_scaled, l2_scaled
-from ..session import SMALL_SIDE_ROWS, bounded_rows, materialize
+from ..session import materialize
 from .ranking import top_n_per_group
 
+SMALL_SIDE_BYTES = 32 * 2**20
 PIVOTS = 256
 BLOCK_ROWS = 2048
 DIGITS = 9  # costs are compared at this many digits, ties go to the smaller id
+NO_BOUND = 1e150
 _SLACK = 1e-7
 _WORK = 4_000_000  # matrix cells scored at a time
 
 _SCALED = {"cosine": l2_scaled, "hellinger": hellinger_scaled}
 
 
-def _best(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, metric: str):
+def _best(q, c, c_ids, k: int, metric: str, bounds=None):
     """Row numbers, candidate positions and costs of the k cheapest candidates per query.
 
     Costs are euclidean distances or negated products. A fast matrix product shortlists with some
@@ -43,20 +45,22 @@ def _best(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, metric: str):
         rough = -(part @ c.T)
         if metric == "euclidean":
             rough = 2 * rough + c_sq + (part * part).sum(axis=1)[:, None]
+        slack = _SLACK * (1 + np.abs(rough).max(initial=0.0))
+        wanted = np.ones(rough.shape, dtype=bool)
         if len(c) > k:
-            bound = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-            slack = _SLACK * (1 + np.abs(rough).max(initial=0.0))
-            rows, cols = np.nonzero(rough <= bound + slack)
-        else:
-            rows, cols = np.indices(rough.shape).reshape(2, -1)
+            wanted = rough <= np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + slack
+        if bounds is not None:
+            limit = bounds[start : start + step, None]
+            limit = limit * limit if metric == "euclidean" else limit
+            wanted &= rough <= limit + slack * (1 + np.abs(limit))
+        rows, cols = np.nonzero(wanted)
         if metric == "euclidean":
             cost = np.sqrt(((part[rows] - c[cols]) ** 2).sum(axis=1))
         else:
             cost = -(part[rows] * c[cols]).sum(axis=1)
         order = np.lexsort((c_ids[cols], np.round(cost, DIGITS), rows))
         rows, cols, cost = rows[order], cols[order], cost[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < k
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
         out.append((rows[keep] + start, cols[keep], cost[keep]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -69,58 +73,155 @@ def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def _hits(q: pd.DataFrame, c_mat: np.ndarray, c_ids: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    if not len(q) or not len(c_ids):
-        return pd.DataFrame({"qid": [], "cid": [], "cost": []})
-    rows, cols, cost = _best(_matrix(q["vector"]), c_mat, c_ids, k, metric)
-    return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "cid": c_ids[cols], "cost": cost})
+def _small_matrix(candidates: DataFrame, rows: int | None):
+    """(ids, matrix) of a side with at most ``rows`` rows, by default of at most 32 MiB; else None."""
+    head = candidates.select(F.size("vector")).first()
+    if head is None:
+        return np.array([]), np.empty((0, 0))
+    dim = head[0]
+    limit = SMALL_SIDE_BYTES // (8 * max(1, dim)) if rows is None else rows
+    if limit == 0:
+        return None
+    table = candidates.select("cid", "vector").limit(limit + 1).toArrow()
+    if table.num_rows > limit:
+        return None
+    vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return table.column("cid").to_pandas().to_numpy(), vectors.reshape(-1, dim)
 
 
-def _against_matrix(queries: DataFrame, rows: list, k: int, metric: str, schema: str) -> DataFrame:
-    """All queries against a side whose size was checked; the matrix travels with the task."""
-    c_ids = np.array([r["cid"] for r in rows], dtype=object)
-    if all(isinstance(i, (int, np.integer)) for i in c_ids):
-        c_ids = c_ids.astype(np.int64)
-    c_mat = _matrix([r["vector"] for r in rows])
+def _against_matrix(queries: DataFrame, small, k: int, metric: str, schema: str) -> DataFrame:
+    """All queries against a side whose size was checked."""
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast(small)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c_ids, c = shared.value
         for batch in batches:
-            yield _hits(batch, c_mat, c_ids, k, metric)
-
-    return queries.mapInPandas(score, schema)
-
-
-def _cell_costs(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, metric: str):
-    """Lower and upper bound of the cost of anything in each cell."""
-    if metric == "euclidean":
-        d = np.sqrt(np.maximum(((q[:, None, :] - pivots[None]) ** 2).sum(axis=2), 0.0))
-        return np.maximum(d - radius, 0.0), d + radius
-    mid = -(q @ pivots.T)
-    reach = np.sqrt((q * q).sum(axis=1))[:, None] * radius
-    return mid - reach, mid + reach
-
-
-def _scan(
-    wanted: DataFrame, blocks: DataFrame, cell_parts: Column, k: int, metric: str, schema: str,
-    block_rows: int,
-) -> DataFrame:
-    """Score (qid, vector, cell) rows against the blocks of their cells; k best per query and block."""
-    crowd = wanted.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("packs"))
-    packed = wanted.join(crowd, "cell").withColumn("pack", F.pmod(F.xxhash64("qid"), F.col("packs")))
-    spread_q = packed.withColumn("part", F.explode(F.sequence(F.lit(0), cell_parts - 1)))
-    spread_c = blocks.join(crowd, "cell").withColumn(
-        "pack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("packs") - 1))
-    )
+            if len(batch) and len(c_ids):
+                rows, cols, cost = _best(_matrix(batch["vector"]), c, c_ids, k, metric)
+                yield pd.DataFrame(
+                    {"qid": batch["qid"].to_numpy()[rows], "cid": c_ids[cols], "cost": cost})
+
+    # Few bytes but much arithmetic: spread over all cores instead of by size.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return queries.repartition(tasks).mapInPandas(score, schema)
+
+
+class _Cells:
+    """Candidates around pivots: cell sizes, radii and blocks."""
+
+    def __init__(self, candidates: DataFrame, metric: str, pivot_count: int, block_rows: int):
+        # A bounded sample by hash; any choice of pivots gives the same result.
+        heads = candidates.orderBy(F.xxhash64("cid"), "cid").limit(pivot_count).collect()
+        pivots = _matrix([r["vector"] for r in heads])
+        self.pivots, self.metric, self.block_rows = pivots, metric, block_rows
+
+        @F.pandas_udf("cell int, away double")
+        def home(vectors: pd.Series) -> pd.DataFrame:
+            if not len(vectors):
+                return pd.DataFrame({"cell": [], "away": []})
+            d = _pivot_distances(_matrix(vectors), pivots)
+            return pd.DataFrame({"cell": d.argmin(axis=1), "away": d.min(axis=1)})
+
+        placed = candidates.withColumn("home", home("vector"))
+        self.members = materialize(placed.select("cid", "vector", "home.cell", "home.away"), "cells")
+        self.count, self.radius = np.zeros(len(pivots)), np.zeros(len(pivots))
+        stats = self.members.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r"))
+        for s in stats.collect():  # at most one row per pivot
+            self.count[s["cell"]], self.radius[s["cell"]] = s["n"], s["r"]
+
+    def parts(self) -> Column:
+        """Number of blocks of the cell in column ``cell``."""
+        parts = np.maximum(1, np.ceil(self.count / self.block_rows)).astype(int)
+        return F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
+
+    def blocks(self) -> DataFrame:
+        """One row per block: (cell, part, cids, flat)."""
+        part = F.pmod(F.xxhash64("cid"), self.parts()).cast("int").alias("part")
+        return _packed(self.members.select("cell", part, "cid", "vector"), ["cell", "part"], "cid")
+
+    def choosers(self, k: int):
+        """UDFs that list a query's first cells, and the further cells that its bound leaves open."""
+        pivots, radius, count, metric = self.pivots, self.radius, self.count, self.metric
+        filled = count > 0
+
+        def costs(q: np.ndarray):
+            """Lower and upper bound of the cost of anything in each cell."""
+            if metric == "euclidean":
+                d = _pivot_distances(q, pivots)
+                return np.maximum(d - radius, 0.0), d + radius
+            mid = -(q @ pivots.T)
+            reach = np.sqrt((q * q).sum(axis=1))[:, None] * radius
+            return mid - reach, mid + reach
+
+        def first_mask(high: np.ndarray) -> np.ndarray:
+            """Cheapest filled cells by their upper bound, until they hold k candidates."""
+            order = np.argsort(np.where(filled, high, np.inf), axis=1, kind="stable")
+            before = np.cumsum(count[order], axis=1) - count[order]
+            mask = np.zeros(high.shape, dtype=bool)
+            np.put_along_axis(mask, order, before < k, axis=1)
+            return mask & filled
+
+        def listed(mask: np.ndarray) -> pd.Series:
+            return pd.Series([np.flatnonzero(row).astype(np.int32) for row in mask], dtype=object)
+
+        @F.pandas_udf("array<int>")
+        def first(vectors: pd.Series) -> pd.Series:
+            return listed(first_mask(costs(_matrix(vectors))[1])) if len(vectors) else pd.Series([], dtype=object)
+
+        @F.pandas_udf("array<int>")
+        def further(vectors: pd.Series, bound: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=object)
+            low, high = costs(_matrix(vectors))
+            limit = bound.to_numpy()[:, None]
+            still_open = filled & (low <= limit + _SLACK * (1 + np.abs(limit)))
+            return listed(still_open & ~first_mask(high))
+
+        return first, further
+
+
+def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    step = max(1, _WORK // max(1, pivots.size))
+    return np.concatenate([
+        np.sqrt(((x[i : i + step, None, :] - pivots[None]) ** 2).sum(axis=2)) for i in range(0, len(x), step)
+    ])
+
+
+def _packed(df: DataFrame, keys: list[str], id_col: str, *more: str) -> DataFrame:
+    """Rows of a bounded block as one row of flat arrays."""
+    entry = F.struct(id_col, "vector", *more)
+    block = df.groupBy(*keys).agg(F.collect_list(entry).alias("e"))
+    return block.select(
+        *keys, F.col(f"e.{id_col}").alias(f"{id_col}s"), F.flatten("e.vector").alias("flat"),
+        *[F.col(f"e.{m}").alias(m) for m in more])
+
+
+def _scan(wanted: DataFrame, cells: _Cells, blocks: DataFrame, k: int, schema: str) -> DataFrame:
+    """Score (qid, vector, bound, cell) rows against the blocks of their cells: k best per query."""
+    metric, rows = cells.metric, cells.block_rows
+    wanted = materialize(wanted, "wanted")
+    crowd = wanted.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("packs"))
+    numbered = wanted.join(crowd, "cell").withColumn("pack", F.pmod(F.xxhash64("qid"), F.col("packs")))
+    packs = _packed(numbered, ["cell", "pack"], "qid", "bound")
+    packs = packs.withColumn("part", F.explode(F.sequence(F.lit(0), cells.parts() - 1)))
+    met = blocks.join(crowd, "cell").withColumn(
+        "pack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("packs") - 1)))
     keys = ["cell", "part", "pack"]
+    nothing = {"qid": [], "cid": [], "cost": []}
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(c):
-            return _hits(q[:0], np.empty((0, 0)), np.array([]), k, metric)
-        return _hits(q, _matrix(c["vector"]), c["cid"].to_numpy(), k, metric)
+        if not len(q) or not len(c):
+            return pd.DataFrame(nothing)
+        q_ids, c_ids = np.asarray(q["qids"].iloc[0]), np.asarray(c["cids"].iloc[0])
+        q_mat = np.asarray(q["flat"].iloc[0]).reshape(len(q_ids), -1)
+        c_mat = np.asarray(c["flat"].iloc[0]).reshape(len(c_ids), -1)
+        found, cols, cost = _best(q_mat, c_mat, c_ids, k, metric, np.asarray(q["bound"].iloc[0]))
+        return pd.DataFrame({"qid": q_ids[found], "cid": c_ids[cols], "cost": cost})
 
     hits = (
-        spread_q.select(*keys, "qid", "vector").groupBy(*keys)
-        .cogroup(spread_c.select(*keys, "cid", "vector").groupBy(*keys))
+        packs.select(*keys, "qids", "flat", "bound").groupBy(*keys)
+        .cogroup(met.select(*keys, "cids", "flat").groupBy(*keys))
         .applyInPandas(score, schema)
     )
     return _cheapest(hits, "cid", k)
@@ -130,72 +231,18 @@ def _against_cells(
     queries: DataFrame, candidates: DataFrame, k: int, metric: str, schema: str,
     pivot_count: int, block_rows: int,
 ) -> DataFrame:
-    id_type = candidates.schema["cid"].dataType.simpleString()
-    q_type = queries.schema["qid"].dataType.simpleString()
-    heads = candidates.orderBy(F.xxhash64("cid"), "cid").limit(pivot_count).collect()
-    pivots = _matrix([r["vector"] for r in heads])
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = _cell_costs(_matrix(batch["vector"]), pivots, 0.0, "euclidean")[0]
-                yield batch.assign(cell=d.argmin(axis=1), away=d.min(axis=1))
-
-    assigned = materialize(
-        candidates.mapInPandas(assign, f"cid {id_type}, vector array<double>, cell int, away double"),
-        "cells",
-    )
-    stats = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()
-    count, radius = np.zeros(len(pivots)), np.zeros(len(pivots))
-    for s in stats:  # at most one row per pivot
-        count[s["cell"]], radius[s["cell"]] = s["n"], s["r"]
-    filled = count > 0
-    parts = np.maximum(1, np.ceil(count / block_rows)).astype(int)
-    cell_parts = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
-    blocks = assigned.select(
-        "cell", F.pmod(F.xxhash64("cid"), cell_parts).cast("int").alias("part"), "cid", "vector"
-    )
-
-    def rows_for(batch: pd.DataFrame, chosen: np.ndarray) -> pd.DataFrame:
-        rows, cells = np.nonzero(chosen & filled)
-        return pd.DataFrame({
-            "qid": batch["qid"].to_numpy()[rows], "vector": batch["vector"].to_numpy()[rows],
-            "cell": cells,
-        })
-
-    def nearest_cells(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Cheapest filled cells by their upper bound, until they hold k candidates."""
-        order = np.argsort(np.where(filled, high, np.inf), axis=1, kind="stable")
-        before = np.cumsum(count[order], axis=1) - count[order]
-        chosen = np.zeros(low.shape, dtype=bool)
-        np.put_along_axis(chosen, order, before < k, axis=1)
-        return chosen
-
-    def first_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield rows_for(batch, nearest_cells(
-                    *_cell_costs(_matrix(batch["vector"]), pivots, radius, metric)))
-
-    def other_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                low, high = _cell_costs(_matrix(batch["vector"]), pivots, radius, metric)
-                bound = batch["bound"].to_numpy()[:, None]
-                open_cells = low <= bound + _SLACK * (1 + np.abs(bound))
-                yield rows_for(batch, open_cells & ~nearest_cells(low, high))
-
-    wanted = f"qid {q_type}, vector array<double>, cell int"
+    cells = _Cells(candidates, metric, pivot_count, block_rows)
+    first, further = cells.choosers(k)
+    blocks = materialize(cells.blocks(), "blocks")
     queries = materialize(queries.select("qid", "vector"), "queries")
-    near = materialize(
-        _scan(queries.mapInPandas(first_cells, wanted), blocks, cell_parts, k, metric, schema, block_rows),
-        "near",
-    )
-    bound = near.groupBy("qid").agg(F.count("*").alias("found"), F.max("cost").alias("bound"))
-    limit = F.when(F.col("found") < k, F.lit(1e300)).otherwise(F.col("bound")).alias("bound")
-    bounded = queries.join(bound, "qid").select("qid", "vector", limit)
-    far = _scan(bounded.mapInPandas(other_cells, wanted), blocks, cell_parts, k, metric, schema, block_rows)
-    return _cheapest(near.unionByName(far), "cid", k)
+    no_bound = F.lit(NO_BOUND).alias("bound")
+    wanted = queries.select("qid", "vector", no_bound, F.explode(first("vector")).alias("cell"))
+    near = materialize(_scan(wanted, cells, blocks, k, schema), "near")
+    found = near.groupBy("qid").agg(F.count("*").alias("n"), F.max("cost").alias("worst"))
+    bound = F.when(F.col("n") < k, F.lit(NO_BOUND)).otherwise(F.col("worst")).alias("bound")
+    bounded = queries.join(found, "qid").select("qid", "vector", bound)
+    wanted = bounded.select("*", F.explode(further("vector", "bound")).alias("cell"))
+    return _cheapest(near.unionByName(_scan(wanted, cells, blocks, k, schema)), "cid", k)
 
 
 def nearest(
@@ -204,7 +251,7 @@ def nearest(
     k: int,
     metric: str = "euclidean",
     exclude_self: bool = False,
-    small_side: int = SMALL_SIDE_ROWS,
+    small_side: int | None = None,
     pivot_count: int = PIVOTS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -212,7 +259,7 @@ def nearest(
 
     Both sides are (id, vector). ``euclidean``, ``cosine`` and ``hellinger`` rank by distance,
     ``dot`` by product; equal scores rank by id. ``exclude_self`` drops the candidate with the
-    query's own id.
+    query's own id. ``small_side`` overrides the largest row count that is sent as one matrix.
     """
     core = "dot" if metric == "dot" else "euclidean"
     scale = _SCALED.get(metric, lambda v: v)
@@ -232,13 +279,12 @@ def nearest(
     id_type = candidates.schema["id"].dataType.simpleString()
     q_type = queries.schema["id"].dataType.simpleString()
     schema = f"qid {q_type}, cid {id_type}, cost double"
-    small = bounded_rows(unique.select("cid", "vector"), small_side)
+    sole = unique.select("cid", "vector")
+    small = _small_matrix(sole, small_side)
     if small is not None:
         hits = _against_matrix(asked, small, keep, core, schema)
     else:
-        hits = _against_cells(
-            asked, unique.select("cid", "vector"), keep, core, schema, pivot_count, block_rows
-        )
+        hits = _against_cells(asked, sole, keep, core, schema, pivot_count, block_rows)
     members = hits.join(unique.select("cid", "ids"), "cid").select(
         "qid", "cost", F.explode("ids").alias("neighbor")
     )
