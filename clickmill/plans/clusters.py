@@ -68,9 +68,37 @@ def _(t):
     return cluster.kmeans_labels(vectors(t), "vec_id", 10).select("vec_id", "cluster")
 
 
-@query("clu_2_density")
+EPS, MIN_SAMPLES, MIN_SIZE = 0.04, 4, 15
+_NEAR = "abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND (a.cx, a.cy) <> (b.cx, b.cy)"
+DENSITY_SQL = sql(
+    """SELECT p.vec_id, coalesce(n.cluster, -1)::BIGINT AS cluster FROM points p
+       LEFT JOIN placed c USING (cx, cy) LEFT JOIN numbered n USING (root)""",
+    points=f"""SELECT vec_id, floor(embedding[1]::DOUBLE / {EPS})::BIGINT AS cx,
+      floor(embedding[2]::DOUBLE / {EPS})::BIGINT AS cy FROM embeddings""",
+    cells="SELECT cx, cy, count(*) AS n FROM points GROUP BY cx, cy",
+    dense=f"SELECT cx, cy FROM cells WHERE n >= {MIN_SAMPLES}",
+    edges=f"SELECT a.cx, a.cy, b.cx AS bx, b.cy AS by FROM dense a JOIN dense b ON {_NEAR}",
+    reach="""SELECT cx, cy, cx AS rx, cy AS ry FROM dense
+      UNION SELECT e.bx, e.by, r.rx, r.ry FROM reach r JOIN edges e ON e.cx = r.cx AND e.cy = r.cy""",
+    comps="SELECT cx, cy, min([rx, ry]) AS root FROM reach GROUP BY cx, cy",
+    placed=f"""SELECT cx, cy, root FROM comps UNION ALL
+      SELECT a.cx, a.cy, min(b.root) FROM cells a JOIN comps b ON {_NEAR}
+      WHERE a.n < {MIN_SAMPLES} GROUP BY a.cx, a.cy""",
+    numbered=f"""SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (
+      SELECT root FROM placed JOIN cells USING (cx, cy) GROUP BY root HAVING sum(n) >= {MIN_SIZE})""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("clu_2_density", DENSITY_SQL)
 def _(t):
-    flat = reduced(vectors(t), "vec_id", "embedding", 2, "euclidean")
+    flat = vectors(t).withColumn("embedding", F.slice("embedding", 1, 2))
+    labels = cluster.density_labels(flat, "vec_id", 2, EPS, MIN_SAMPLES, MIN_SIZE)
+    return labels.withColumn("cluster", F.col("cluster").cast("bigint"))
+
+
+@query("clu_2_density_of_components")
+def _(t):
+    flat = materialize(reduced(vectors(t), "vec_id", "embedding", 2, "euclidean"), "flat")
     return cluster.density_labels(flat, "vec_id", 2, 0.15, 5, 20)
 
 

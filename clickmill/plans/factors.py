@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as vec
 from ..operators import factorize as fa
 from ..operators import features as fe
 from ..operators import fm, ratings
@@ -34,36 +37,38 @@ def start(coo: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     return rows, cols
 
 
-def start_sql(coo: str = "coo_item", k: int = K) -> dict[str, str]:
+def start_sql(coo: str = "coo_item", k: int = K, seed: int = 42, tag: str = "") -> dict[str, str]:
     """SQL twin of ``start``: views u0 and v0."""
     def side(col: str) -> str:
-        cells = ", ".join(sql_hash_uniform(f"'{col}:' || {col}", str(f), "42") for f in range(k))
+        cells = ", ".join(sql_hash_uniform(f"'{col}:' || {col}", str(f), str(seed)) for f in range(k))
         return f"SELECT {col}, [{cells}] AS f FROM (SELECT DISTINCT {col} FROM {coo})"
 
-    return {"u0": side("row_id"), "v0": side("col_id")}
+    return {f"{tag}u0": side("row_id"), f"{tag}v0": side("col_id")}
 
 
-def step_sql(coo: str, n: int, k: int = K, rate: float = RATE, lam: float = LAM) -> dict[str, str]:
+def step_sql(
+    coo: str, n: int, k: int = K, rate: float = RATE, lam: float = LAM, seed: int = 42, tag: str = ""
+) -> dict[str, str]:
     """Views u1..un, v1..vn and e1..en (residuals with the moved rows) of n descent steps."""
-    views = start_sql(coo, k)
+    views = start_sql(coo, k, seed, tag)
+
+    def cells(u: str, v: str) -> str:
+        return (f"SELECT c.row_id, c.col_id, u.f AS u, v.f AS v, rating - list_dot_product(u.f, v.f) AS e "
+                f"FROM {coo} c JOIN {tag}{u} u USING (row_id) JOIN {tag}{v} v USING (col_id)")
+
+    def moved(side: str, col: str, residuals: str, other: str) -> str:
+        grads = ", ".join(f"sum(e * {other}[{f + 1}])" for f in range(k))
+        new = ", ".join(
+            f"s.f[{f + 1}] + {rate} * (coalesce(g.g[{f + 1}], 0) - {lam} * s.f[{f + 1}])" for f in range(k))
+        return (f"SELECT s.{col}, [{new}] AS f FROM {tag}{side} s LEFT JOIN (SELECT {col}, [{grads}] AS g "
+                f"FROM {tag}{residuals} GROUP BY {col}) g ON s.{col} = g.{col}")
+
     for i in range(1, n + 1):
         u, v = f"u{i - 1}", f"v{i - 1}"
-
-        def moved(side: str, col: str, cells: str, other: str) -> str:
-            grads = ", ".join(f"sum(e * {other}[{f + 1}])" for f in range(k))
-            new = ", ".join(
-                f"s.f[{f + 1}] + {rate} * (coalesce(g.g[{f + 1}], 0) - {lam} * s.f[{f + 1}])" for f in range(k))
-            return (f"SELECT s.{col}, [{new}] AS f FROM {side} s LEFT JOIN (SELECT {col}, [{grads}] AS g "
-                    f"FROM {cells} GROUP BY {col}) g ON s.{col} = g.{col}")
-
-        def cells(u: str, v: str) -> str:
-            return (f"SELECT c.row_id, c.col_id, u.f AS u, v.f AS v, rating - list_dot_product(u.f, v.f) AS e "
-                    f"FROM {coo} c JOIN {u} u USING (row_id) JOIN {v} v USING (col_id)")
-
-        views[f"d{i}"] = cells(u, v)
-        views[f"u{i}"] = moved(u, "row_id", f"d{i}", "v")
-        views[f"e{i}"] = cells(f"u{i}", v)
-        views[f"v{i}"] = moved(v, "col_id", f"e{i}", "u")
+        views[f"{tag}d{i}"] = cells(u, v)
+        views[f"{tag}u{i}"] = moved(u, "row_id", f"d{i}", "v")
+        views[f"{tag}e{i}"] = cells(f"u{i}", v)
+        views[f"{tag}v{i}"] = moved(v, "col_id", f"e{i}", "u")
     return views
 
 
@@ -99,31 +104,40 @@ def _(t):
 MAX_SQL = "1.7976931348623157e308"
 
 
-def _update_sql(i: int) -> str:
-    def ratio(view: str, old: str, col: str) -> str:
+def _update_sql(i: int, tag: str = "") -> str:
+    """Largest relative update of step i; against zeros in the first step."""
+    def ratio(side: str, col: str) -> str:
+        new, old = f"{tag}{side}{i}", f"{tag}{side}{i - 1}"
         if i == 1:
-            return f"SELECT max(CASE WHEN x = 0 THEN 0 ELSE {MAX_SQL} END) AS m FROM (SELECT unnest(f) AS x FROM {view})"
+            return f"SELECT max(CASE WHEN x = 0 THEN 0 ELSE {MAX_SQL} END) AS m FROM (SELECT unnest(f) AS x FROM {new})"
         return (f"SELECT max(abs((x - y) / y)) AS m FROM (SELECT unnest(a.f) AS x, unnest(b.f) AS y "
-                f"FROM {view} a JOIN {old} b USING ({col}))")
+                f"FROM {new} a JOIN {old} b USING ({col}))")
+
+    return f"SELECT max(m) FROM ({ratio('u', 'row_id')} UNION ALL {ratio('v', 'col_id')})"
 
-    return (f"SELECT max(m) FROM ({ratio(f'u{i}', f'u{i - 1}', 'row_id')} "
-            f"UNION ALL {ratio(f'v{i}', f'v{i - 1}', 'col_id')})")
+
+def _trace_sql(n: int, tag: str = "", params: str = "") -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {params} {i - 1}::BIGINT AS iteration,
+              round((SELECT sqrt(avg(e * e)) FROM {tag}e{i} WHERE e <> 0), 6) AS rmse,
+              round(least(({_update_sql(i, tag)}), 1e12), 6) AS max_update""" for i in range(1, n + 1))
+
+
+def shown_trace(trace: DataFrame, *cols: str) -> DataFrame:
+    """Trace figures rounded; the unbounded first update is shown as 1e12."""
+    return trace.select(
+        *cols, "iteration", F.round("rmse", 6).alias("rmse"),
+        F.round(F.least("max_update", F.lit(1e12)), 6).alias("max_update"))
 
 
 STEPS = 3
 
 
-@query("fac_1_descent_trace", sql(" UNION ALL ".join(
-    f"""SELECT {i - 1}::BIGINT AS iteration, round((SELECT sqrt(avg(e * e)) FROM e{i} WHERE e <> 0), 6) AS rmse,
-          round(least(({_update_sql(i)}), 1e12), 6) AS max_update""" for i in range(1, STEPS + 1)),
-    "coo_item", **step_sql("coo_item", STEPS)))
+@query("fac_1_descent_trace", sql(_trace_sql(STEPS), "coo_item", **step_sql("coo_item", STEPS)))
 def _(t):
     coo = item_side(t)
     fit = fa.gradient_descent(coo, *start(coo), K, RATE, STEPS, LAM)
-    trace = fa.trace_table(t.spark, [({"alg": "gd"}, fit)])
-    return trace.select(
-        "iteration", F.round("rmse", 6).alias("rmse"),
-        F.round(F.least("max_update", F.lit(1e12)), 6).alias("max_update"))
+    return shown_trace(fa.trace_table(t.spark, [({"alg": "gd"}, fit)]))
 
 
 def _ridge_sql(coo: str, side: str, fixed: str, lam: float) -> str:
@@ -156,19 +170,27 @@ def _(t):
     return trace.where("iteration = 1").select(F.round("rmse", 6).alias("rmse"))
 
 
-@query("fac_3_stopped_descent")
+SLOW, STOP = 1e-7, 1e-2
+
+
+@query("fac_3_stopped_descent", sql(
+    f"SELECT * FROM ({factor_rows_sql('u1', 'v1')}) WHERE ({_update_sql(2)}) < {STOP}",
+    "coo_item", **step_sql("coo_item", 2, rate=SLOW)))
 def _(t):
-    """The first relative update below the threshold ends the run with the factors before it."""
+    """The second step's update is below the threshold, so the first step's factors are returned."""
     coo = item_side(t)
-    fit = fa.gradient_descent(coo, *start(coo), K, 1e-7, 5, LAM, threshold=1e-2)
-    return fa.trace_table(t.spark, [({"alg": "gd"}, fit)])
+    fit = fa.gradient_descent(coo, *start(coo), K, SLOW, 5, LAM, threshold=STOP)
+    return factor_rows(fit.rows, fit.cols)
 
 
-@query("fac_4_dispatch")
+@query("fac_4_dispatch", sql(
+    factor_rows_sql("u2", "v2", 2), "coo_user", **start_sql("coo_user", 2),
+    u1=_ridge_sql("coo_user", "row_id", "v0", 1.0), v1=_ridge_sql("coo_user", "col_id", "u1", 1.0),
+    u2=_ridge_sql("coo_user", "row_id", "v1", 1.0), v2=_ridge_sql("coo_user", "col_id", "u2", 1.0)))
 def _(t):
     coo = user_side(t)
     ids = ratings.matrix_ids(coo, "row_id"), ratings.matrix_ids(coo, "col_id")
-    fit = fa.factorize(coo, *ids, "als", 5, 1.0, max_iterations=2)
+    fit = fa.factorize(coo, *ids, "als", 2, 1.0, max_iterations=2)
     return factor_rows(fit.rows, fit.cols)
 
 
@@ -181,12 +203,26 @@ def _(t):
     return scored.select("user_id", F.col("item").cast("bigint"), F.round("predicted", 6).alias("predicted"))
 
 
-@query("fac_6_parameter_grid")
+GRID = [(side, seed, lam) for side in ("item", "user") for seed in (42, 43) for lam in (1, 5)]
+GRID_STEPS, GRID_K, GRID_RATE = 2, 5, 1e-4
+
+
+def _grid_sql() -> str:
+    views, parts = {}, []
+    for n, (side, seed, lam) in enumerate(GRID):
+        views |= step_sql(f"coo_{side}", GRID_STEPS, GRID_K, GRID_RATE, lam, seed, f"g{n}_")
+        params = f"{seed}::BIGINT AS seed, '{side}' AS clustering_type, {lam}::DOUBLE AS lambda_reg,"
+        parts.append(_trace_sql(GRID_STEPS, f"g{n}_", params))
+    return sql(" UNION ALL ".join(parts), "coo_item", "coo_user", **views)
+
+
+@query("fac_6_parameter_grid", _grid_sql())
 def _(t):
     sides = {}
     for name, coo in (("item", item_side(t)), ("user", user_side(t))):
         sides[name] = (coo, ratings.matrix_ids(coo, "row_id"), ratings.matrix_ids(coo, "col_id"))
-    return fa.parameter_grid(sides, ["gd"], [42, 43], [5], [1, 5], max_iterations=2)
+    grid = fa.parameter_grid(sides, ["gd"], [42, 43], [GRID_K], [1, 5], GRID_STEPS, GRID_RATE)
+    return shown_trace(grid, "seed", "clustering_type", "lambda_reg")
 
 
 @query("fac_7_feature_start")
@@ -304,14 +340,22 @@ def _(t):
         rows, "rating_id", "user_rating", ["user_id", "movie_title", "movie_genre"], ["movie_year"], bins=1024)
 
 
-@query("snk_3_design_matrices")
+@query("snk_3_design_matrices", sql(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS features, count(*) AS rows, sum(score)::BIGINT AS score, sum({' + '.join(f'({c} IS NOT NULL)::INTEGER' for c in cols)})::BIGINT AS ones FROM interactions"
+        for name, cols in fm.FEATURE_SETS.items()), "interactions"))
 def _(t):
-    paths = sinks.write_design_matrices(keyed(t), ROW_KEY, "score", scratch_path(t.spark, "design"))
+    paths = sinks.write_design_matrices(keyed(t), ROW_KEY, "score", scratch_path(t.spark, "design"), bins=4096)
     out = None
     for name, path in paths.items():
-        part = t.spark.read.parquet(path).select(F.lit(name).alias("features"), ROW_KEY, "score")
+        stored = t.spark.read.parquet(path)
+        # The hasher adds up what falls on one position, so the entries sum to the number of features.
+        entries = stored.agg(Summarizer.sum(F.col("features")).alias("s")).select(vector_to_array("s").alias("s"))
+        ones = entries.select(F.round(vec.total(F.col("s"))).cast("bigint").alias("ones")).scalar()
+        part = stored.agg(F.count("*").alias("rows"), F.sum("score").alias("score")).select(
+            F.lit(name).alias("features"), "rows", "score", ones.alias("ones"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("features").agg(F.count("*").alias("rows"), F.sum("score").alias("score"))
+    return out
 
 
 @query("evl_1_errors", sql(
