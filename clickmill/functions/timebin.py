@@ -36,7 +36,8 @@ def end_hour(ts: Column, lo: str = DAY_START, hi: str = DAY_END) -> Column:
 
 def parse_time(col: Column | str) -> Column:
     """Raw log time, e.g. ``11/15/2019 9:05:58 AM``; null when malformed."""
-    return F.try_to_timestamp(col, F.lit(RAW_TIME_FORMAT)).cast("timestamp_ntz")
+    form = F.lit(RAW_TIME_FORMAT)
+    return F.when(F.try_to_timestamp(col, form).isNotNull(), F.to_timestamp_ntz(col, form))
 
 
 def hour_spine(spark: SparkSession, lo: str = DAY_START, hi: str = DAY_END) -> DataFrame:

@@ -69,12 +69,10 @@ def gradient_step(
     return new_rows, new_cols
 
 
-def _largest(side: DataFrame, old: Column) -> float:
-    return side.agg(F.max(largest_update(F.col("factors"), old))).first()[0] or 0.0
-
-
-def _old_or_zero(first: bool) -> Column:
-    return F.transform("factors", lambda _: F.lit(0.0)) if first else F.col("old")
+def _change(first: bool) -> Column:
+    """Largest relative change of a row; the first step compares with zeros."""
+    old = F.transform("factors", lambda _: F.lit(0.0)) if first else F.col("old")
+    return F.max(largest_update(F.col("factors"), old))
 
 
 def gradient_descent(
@@ -92,14 +90,15 @@ def gradient_descent(
     Stops with the previous factors once the largest relative update is below ``threshold``.
     """
     coo = materialize(coo.select(ROW, COL, "rating"), "coo")
-    fit = Fit(rows.select(ROW, "factors"), cols.select(COL, "factors"))
+    fit = Fit(materialize(rows.select(ROW, "factors"), "u"), materialize(cols.select(COL, "factors"), "v"))
     for step in range(max_iterations):
         new_rows, new_cols = gradient_step(coo, fit.rows, fit.cols, k, rate, lam)
-        old = _old_or_zero(step == 0)
-        fit.updates.append(max(_largest(new_rows, old), _largest(new_cols, old)))
+        change = _change(step == 0)
+        row_change = new_rows.agg(change).first()[0]
+        col_change, sq, n = new_cols.agg(change, F.sum("sq"), F.sum("n")).first()
+        fit.updates.append(max(row_change or 0.0, col_change or 0.0))
         if fit.updates[-1] < threshold:
             break
-        sq, n = new_cols.agg(F.sum("sq"), F.sum("n")).first()
         fit.rmse.append(float(np.sqrt(sq / n)) if n else float("nan"))
         fit.rows, fit.cols = new_rows.select(ROW, "factors"), new_cols.select(COL, "factors")
     return fit
@@ -145,19 +144,34 @@ def least_squares_side(
     return ids.join(solved, id_col, "left").withColumn("factors", F.coalesce("factors", zeros))
 
 
-def _gram(side: DataFrame, k: int) -> np.ndarray:
-    cells = [F.sum(F.element_at("factors", i + 1) * F.element_at("factors", j + 1))
-             for i in range(k) for j in range(k)]
-    return np.array(side.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).first()).reshape(k, k)
-
-
-def rmse_all_cells(coo: DataFrame, rows: DataFrame, cols: DataFrame, k: int) -> float:
-    """Error over every cell, unobserved ones counting as 0, without building the dense matrix."""
+def _side_figures(side: DataFrame, k: int, change: Column) -> tuple[np.ndarray, int, float]:
+    """Gram matrix, number of ids and largest change of one side, in one pass."""
+    upper = np.triu_indices(k)
+    sums = [
+        F.sum(F.element_at("factors", int(i) + 1) * F.element_at("factors", int(j) + 1)).alias(f"c{i}_{j}")
+        for i, j in zip(*upper)
+    ]
+    n, most, *cells = side.agg(F.count("*").alias("n"), change.alias("most"), *sums).first()
+    gram = np.zeros((k, k))
+    gram[upper] = cells
+    return gram + np.triu(gram, 1).T, n, most or 0.0
+
+
+def _all_cells_figures(
+    coo: DataFrame, rows: DataFrame, cols: DataFrame, k: int, change: Column
+) -> tuple[float, float]:
+    """Error over every cell, unobserved ones counting as 0, and the largest change.
+
+    The unobserved part follows from the two Gram matrices; the dense matrix is never built.
+    """
     r = F.col("rating").cast("double")
-    cells = _residuals(coo, rows, cols)
-    square, cross = cells.agg(F.sum(r * r), F.sum(r * (r - F.col("e")))).first()
-    sse = square - 2 * cross + float((_gram(rows, k) * _gram(cols, k)).sum())
-    return float(np.sqrt(max(sse, 0.0) / (rows.count() * cols.count())))
+    square, cross = _residuals(coo, rows, cols).agg(
+        F.sum(r * r).alias("square"), F.sum(r * (r - F.col("e"))).alias("cross")
+    ).first()
+    row_gram, n_rows, row_change = _side_figures(rows, k, change)
+    col_gram, n_cols, col_change = _side_figures(cols, k, change)
+    sse = square - 2 * cross + float((row_gram * col_gram).sum())
+    return float(np.sqrt(max(sse, 0.0) / (n_rows * n_cols))), max(row_change, col_change)
 
 
 def alternating_least_squares(
@@ -175,8 +189,9 @@ def alternating_least_squares(
     """
     coo = materialize(coo.select(ROW, COL, "rating"), "coo")
     fit = Fit(materialize(rows.select(ROW, "factors"), "u"), materialize(cols.select(COL, "factors"), "v"))
-    fit.rmse.append(rmse_all_cells(coo, fit.rows, fit.cols, k))
-    fit.updates.append(max(_largest(fit.rows, _old_or_zero(True)), _largest(fit.cols, _old_or_zero(True))))
+    rmse, update = _all_cells_figures(coo, fit.rows, fit.cols, k, _change(True))
+    fit.rmse.append(rmse)
+    fit.updates.append(update)
     for step in range(1, max_iterations + 1):
         new_rows = least_squares_side(coo, fit.rows.select(ROW), ROW, fit.cols, COL, k, lam)
         new_rows = materialize(
@@ -187,8 +202,9 @@ def alternating_least_squares(
             new_cols.join(fit.cols.withColumnRenamed("factors", "old"), COL), "v"
         )
         fit.rows, fit.cols = new_rows.select(ROW, "factors"), new_cols.select(COL, "factors")
-        fit.rmse.append(rmse_all_cells(coo, fit.rows, fit.cols, k))
-        fit.updates.append(max(_largest(new_rows, F.col("old")), _largest(new_cols, F.col("old"))))
+        rmse, update = _all_cells_figures(coo, new_rows, new_cols, k, _change(False))
+        fit.rmse.append(rmse)
+        fit.updates.append(update)
         if step > 3 and abs(fit.rmse[-1] - fit.rmse[-2]) < threshold:
             break
         if fit.updates[-1] < threshold:

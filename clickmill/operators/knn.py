@@ -285,6 +285,7 @@ def nearest(
         hits = _against_matrix(asked, small, keep, core, schema)
     else:
         hits = _against_cells(asked, sole, keep, core, schema, pivot_count, block_rows)
+    hits = materialize(hits, "hits")  # the search runs once, however often the result is read
     members = hits.join(unique.select("cid", "ids"), "cid").select(
         "qid", "cost", F.explode("ids").alias("neighbor")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from ..session import materialize
 from .factorize import predicted
 from .knn import nearest
 from .ranking import top_n_per_group
@@ -120,27 +121,38 @@ def preference_weights(pairs: DataFrame, users: DataFrame, items: DataFrame) ->
     return joined.withColumn("weight", dot(F.col("_fu"), F.col("_fi"))).drop("_fu", "_fi")
 
 
-def recommend(
+def hybrid_candidates(
     users: DataFrame,
     items: DataFrame,
-    cols: Sequence[str],
     seen: DataFrame,
     row_factors: DataFrame,
     col_factors: DataFrame,
-    n: int = 5,
-    scales: Mapping[str, float] | None = None,
     fallback: Sequence | None = None,
 ) -> DataFrame:
-    """Top n items per user by preference weight times predicted rating.
-
-    ``users`` is (user_id, features), ``items`` is (item, features), both over ``cols``.
-    Returns (user_id, item, score, rank).
-    """
+    """Recommendable (user_id, item) pairs from similar users and similar items; stored."""
     collaborative = collaborative_candidates(
         similar(users, "user_id"), seen, row_factors, col_factors
     )
     content = content_candidates(seen, similar(items, "item"))
-    allowed = recommendable(all_candidates(collaborative, content), seen, users, fallback)
+    found = materialize(all_candidates(collaborative, content), "candidates")
+    return materialize(recommendable(found, seen, users, fallback), "recommendable")
+
+
+def ranked(
+    allowed: DataFrame,
+    users: DataFrame,
+    items: DataFrame,
+    cols: Sequence[str],
+    row_factors: DataFrame,
+    col_factors: DataFrame,
+    n: int = 5,
+    scales: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """Top n allowed items per user by preference weight times predicted rating.
+
+    ``scales`` boosts item columns and their user columns; it does not change the candidates, so
+    several rankings can share them.
+    """
     scales = scales or {}
     weighted = preference_weights(
         allowed, boosted_users(users, cols, scales), boosted_items(items, cols, scales)
@@ -152,6 +164,25 @@ def recommend(
     return best.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def recommend(
+    users: DataFrame,
+    items: DataFrame,
+    cols: Sequence[str],
+    seen: DataFrame,
+    row_factors: DataFrame,
+    col_factors: DataFrame,
+    n: int = 5,
+    scales: Mapping[str, float] | None = None,
+    fallback: Sequence | None = None,
+) -> DataFrame:
+    """Candidates and ranking in one: (user_id, item, score, rank).
+
+    ``users`` is (user_id, features), ``items`` is (item, features), both over ``cols``.
+    """
+    allowed = hybrid_candidates(users, items, seen, row_factors, col_factors, fallback)
+    return ranked(allowed, users, items, cols, row_factors, col_factors, n, scales)
+
+
 def top_predicted(row_factors: DataFrame, col_factors: DataFrame, n: int) -> DataFrame:
     """Simple recommender: the n highest predicted ratings of every row."""
     queries = row_factors.select(F.col("row_id").alias("id"), F.col("factors").alias("vector"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import hash_bin
 from ..operators.interactions import decompose_interactions
 from ..operators.ranking import first_per_group
-from ..session import materialize
+from ..session import materialize, spread
 
 # Fixed values of the derivation.
 LOG_START = "1995-06-01"
@@ -19,6 +19,12 @@ ROW_TOKENS = 512  # an order with more line items continues on further log rows
 ITEM_CLUSTERS, USER_CLUSTERS = 20, 10
 
 
+def _epoch_seconds(col: str):
+    """Seconds since 1970 of a zone-free time stamp, whatever the session's zone."""
+    clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+    return F.unix_date(F.to_date(col)).cast("bigint") * 86_400 + clock
+
+
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -41,6 +47,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Whole texts; the small test tables hold them in one row group."""
+        return spread(self.raw("documents").select("doc_id", "text"))
+
     @cached_property
     def news(self) -> DataFrame:
         """Catalogue: one article per part."""
@@ -157,7 +168,7 @@ class Tables:
                 F.col("l_partkey").alias("movie_id"),
                 F.col("p_name").alias("movie_title"),
                 (F.lit(1.0) + F.col("l_linenumber") % 5).cast("double").alias("user_rating"),
-                F.expr("unix_seconds(cast(o_orderdate as timestamp))").alias("timestamp"),
+                _epoch_seconds("o_orderdate").alias("timestamp"),
                 (F.lit(1980) + F.col("p_size")).cast("bigint").alias("movie_year"),
                 F.col("p_type").alias("movie_genre"),
             )

@@ -95,18 +95,23 @@ class Inputs:
         self.seen = ratings.seen_pairs(self.coo)
         self.rows, self.col_factors = start(self.coo)
 
-    def recommend(self, **options) -> DataFrame:
-        return rc.recommend(
-            self.users, self.items, self.cols, self.seen, self.rows, self.col_factors, n=5,
-            fallback=rc.most_popular(self.coo, 4), **options)
-
     def candidates(self) -> DataFrame:
         return rc.all_candidates(
             rc.collaborative_candidates(rc.similar(self.users, "user_id"), self.seen, self.rows, self.col_factors),
             rc.content_candidates(self.seen, rc.similar(self.items, "item")))
 
     def allowed(self) -> DataFrame:
-        return rc.recommendable(self.candidates(), self.seen, self.users, rc.most_popular(self.coo, 4))
+        return rc.hybrid_candidates(
+            self.users, self.items, self.seen, self.rows, self.col_factors, rc.most_popular(self.coo, 4))
+
+    def ranked(self, allowed: DataFrame, **options) -> DataFrame:
+        return rc.ranked(
+            allowed, self.users, self.items, self.cols, self.rows, self.col_factors, 5, **options)
+
+    def recommend(self, **options) -> DataFrame:
+        return rc.recommend(
+            self.users, self.items, self.cols, self.seen, self.rows, self.col_factors, n=5,
+            fallback=rc.most_popular(self.coo, 4), **options)
 
 
 def pairs_out(df: DataFrame) -> DataFrame:
@@ -282,7 +287,8 @@ STUDY_SQL = {
 
 def study(t: Tables) -> DataFrame:
     data = Inputs(t)
-    modes = {"plain": data.recommend(), "weighted": data.recommend(scales={BOOST: 2.0})}
+    allowed = data.allowed()
+    modes = {"plain": data.ranked(allowed), "weighted": data.ranked(allowed, scales={BOOST: 2.0})}
     return rc.recommended_categories(modes, rc.cluster_members(t.item_clusters), t.news)
 
 

@@ -26,12 +26,12 @@ TFIDF_SQL = {
 
 
 def bow(t: Tables):
-    return textvec.bag_of_words(t.raw("documents"), "doc_id", F.col("text"))
+    return textvec.bag_of_words(t.documents, "doc_id", F.col("text"))
 
 
 def tfidf(t: Tables):
     counts = materialize(bow(t), "bow")
-    return textvec.tf_idf(counts, "doc_id", t.raw("documents"))
+    return textvec.tf_idf(counts, "doc_id", t.documents)
 
 
 @query("txt_1_bag_of_words", sql("SELECT doc_id, token, tf FROM bow", bow=BOW_SQL))
@@ -73,7 +73,7 @@ IDS_SQL = {
     """SELECT d.doc_id, coalesce(string_agg(idx::VARCHAR, ' ' ORDER BY pos), '') AS ids
        FROM documents d LEFT JOIN ids USING (doc_id) GROUP BY d.doc_id""", **IDS_SQL))
 def _(t):
-    ids = textvec.token_ids(t.raw("documents"), "doc_id", F.col("text"), MAX_TOKENS)
+    ids = textvec.token_ids(t.documents, "doc_id", F.col("text"), MAX_TOKENS)
     return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -86,7 +86,7 @@ VEC_SQL = "SELECT i AS idx, [" + ", ".join(sql_hash_uniform("i", str(d), "7") fo
     "SELECT doc_id, " + ", ".join(f"round(avg(vector[{d + 1}]), 6) AS e{d}" for d in range(DIM))
     + " FROM ids JOIN vecs USING (idx) GROUP BY doc_id", **IDS_SQL, vecs=VEC_SQL))
 def _(t):
-    ids = textvec.token_ids(t.raw("documents"), "doc_id", F.col("text"), MAX_TOKENS)
+    ids = textvec.token_ids(t.documents, "doc_id", F.col("text"), MAX_TOKENS)
     table = t.spark.range(1, MAX_TOKENS).select(
         F.col("id").alias("idx"), random_factors(F.col("id"), DIM, 7).alias("vector"))
     mean = textvec.mean_embedding(ids, "doc_id", table, DIM)
@@ -120,5 +120,5 @@ def _(t):
 def _(t):
     from ..functions.text import plain_words
 
-    rows = t.raw("documents").select(F.explode(plain_words(F.col("text"))).alias("token"))
+    rows = t.documents.select(F.explode(plain_words(F.col("text"))).alias("token"))
     return vocab.frequency_vocabulary(rows, "token", MAX_TOKENS, 2).select("token", "idx")

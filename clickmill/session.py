@@ -57,6 +57,17 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan with at least one task per core.
+
+    For work that is heavy per row on a table stored in few pieces; a scan that already has enough
+    splits, as any large table has, is left alone and not shuffled. Meant for plain scans, since it
+    looks at the planned partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def distinct_values(df: DataFrame, col: str, limit: int = MAX_PIVOT_VALUES) -> list:
     """Sorted distinct non-null values that will become columns; refuses to exceed ``limit``."""
     rows = (
