@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 _SLOT, _PART = "_slot", "_part"
+GROUP_LIMIT = 1000  # Spark's default for pushing a rank filter below the shuffle
+SHARES = 64
 _SLOT_BITS = 33  # low bits of monotonically_increasing_id: index within the partition
 
 
@@ -56,17 +58,21 @@ def group_row_number(
     keys: Sequence[str],
     order_by: Sequence[Column | str],
     out: str = "row_num",
+    size: str | None = None,
 ) -> DataFrame:
     """1-based position within each key; one key's rows may span many partitions.
 
-    Keys must not be null.
+    ``size`` names a further column with the key's number of rows. Keys must not be null.
     """
     stored = _stored_in_order(df, [*keys, *order_by])
-    runs = stored.groupBy(*keys, _PART).agg(F.min(_SLOT).alias("_first"), F.count("*").alias("_n"))
-    # A key has at most one run per range partition, so this window stays short.
+    runs = stored.groupBy(*keys, _PART).agg(F.min(_SLOT).alias("_first"), F.count("*").alias("_run"))
+    # A key has at most one run per range partition, so these windows stay short.
     runs = runs.withColumn(
-        "_before", _running_before("_n", Window.partitionBy(*keys).orderBy(_PART))
-    ).drop("_n")
+        "_before", _running_before("_run", Window.partitionBy(*keys).orderBy(_PART))
+    )
+    if size:
+        runs = runs.withColumn(size, F.sum("_run").over(Window.partitionBy(*keys)))
+    runs = runs.drop("_run")
     return (
         stored.join(runs, [*keys, _PART])
         .withColumn(out, F.col("_before") + F.col(_SLOT) - F.col("_first") + 1)
@@ -79,11 +85,17 @@ def top_n_per_group(
 ) -> DataFrame:
     """First ``n`` rows of each key.
 
-    The rank filter is pushed below the shuffle as a per-task group limit, so a hot key sends at
-    most ``n`` rows per task.
+    Spark pushes the rank filter below the shuffle as a per-task group limit, so a hot key sends at
+    most ``n`` rows per task. It does so only up to ``GROUP_LIMIT`` rows; beyond that each key is
+    first ranked within hash shares.
     """
     name = rank or "_rank"
     window = Window.partitionBy(*keys).orderBy(*order_by)
+    if n > GROUP_LIMIT:
+        share = F.pmod(F.xxhash64(*df.columns), F.lit(SHARES))
+        within = Window.partitionBy(*keys, "_share").orderBy(*order_by)
+        df = df.withColumn("_share", share).withColumn("_place", F.row_number().over(within))
+        df = df.where(F.col("_place") <= n).drop("_share", "_place")
     best = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
     return best if rank else best.drop(name)
 
@@ -95,7 +107,7 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[Colum
 def row_chunks(df: DataFrame, order_by: Sequence[Column | str], n: int, out: str = "chunk") -> DataFrame:
     """Number of the equal-sized row range (0-based) that each row falls in; first ranges get the rest."""
     ranked = global_row_number(df, order_by, "_rn")
-    rows = df.agg(F.count("*").alias("n")).scalar()
+    rows = ranked.agg(F.count("*").alias("n")).scalar()
     size, rest = F.floor(rows / n), rows % n
     pos = F.col("_rn") - 1
     long_part = rest * (size + 1)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import padded
 from .ranking import group_row_number
 
-# Length of the context, fewest rated items of a user, lowest rating that counts.
+# Length of the context, fewest rated items of a user, lowest rating that counts, and
+# the filler of each context column.
 CONTEXT_LENGTH, MIN_TIMELINE, MIN_RATING = 10, 3, 2.0
+CONTEXT_DEFAULTS = {"movie_id": "0", "user_rating": 0.0, "movie_year": 1980, "movie_genre": "Drama"}
 CHUNK_ROWS = 100_000
 
 
@@ -30,9 +32,8 @@ def next_item_examples(
     positions, each preceded by the last ``length`` rows of the one before, so that one user's rows
     need not fit one task.
     """
-    placed = group_row_number(ratings, [user], order_by, "_pos")
-    sizes = placed.groupBy(user).agg(F.count("*").alias("_n"))
-    placed = placed.join(sizes, user).where(F.col("_n") >= MIN_TIMELINE)
+    placed = group_row_number(ratings, [user], order_by, "_pos", size="_n")
+    placed = placed.where(F.col("_n") >= MIN_TIMELINE)
     chunk = F.floor((F.col("_pos") - 1) / chunk_rows)
     leads_in = (F.col("_pos") - 1) % chunk_rows >= chunk_rows - length
     homes = F.when(leads_in, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))

@@ -69,6 +69,9 @@ class Tables:
 
     @cached_property
     def _order_tokens(self) -> DataFrame:
+        return self._stored("order_tokens", self._encoded_orders)
+
+    def _encoded_orders(self) -> DataFrame:
         """Encoded line items per order and row part; oversized orders get several parts."""
         cols = ["l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice"]
         lines = self.raw("lineitem").select("l_orderkey", *cols)

@@ -364,26 +364,33 @@ def _(t):
     return shares.withColumn("share", F.round("share", 6))
 
 
+def _context_sql(col: str, fill: str) -> str:
+    return f"""array_to_string(list_transform(range(1, 11), lambda i: coalesce({col}s[i], {fill})), ' ')
+      AS context_{col}"""
+
+
 @query("win_8_next_item_examples", sql(
-    """SELECT user_id, position, array_to_string(list_transform(range(1, 11),
-         lambda i: coalesce(ids[i], '0')), ' ') AS context_movie_id,
-       array_to_string(list_transform(range(1, 11), lambda i: coalesce(genres[i], 'Drama')), ' ')
-         AS context_movie_genre, movie_id::VARCHAR AS label_movie_id
-       FROM (SELECT user_id, movie_id,
-           row_number() OVER (PARTITION BY user_id ORDER BY timestamp, rating_id) AS position,
-           count(*) OVER (PARTITION BY user_id) AS n,
-           array_agg(movie_id::VARCHAR) OVER w AS ids, array_agg(movie_genre) OVER w AS genres
-         FROM movie_ratings WHERE user_rating >= 2 WINDOW w AS (PARTITION BY user_id
-           ORDER BY timestamp, rating_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-       WHERE n >= 3 AND position > 1""", "movie_ratings"))
+    f"""SELECT user_id, position, {_context_sql('movie_id', "'0'")}, {_context_sql('user_rating', '0')},
+          {_context_sql('movie_year', '1980')}, {_context_sql('movie_genre', "'Drama'")},
+          movie_id::VARCHAR AS label_movie_id
+        FROM (SELECT user_id, movie_id,
+            row_number() OVER (PARTITION BY user_id ORDER BY timestamp, rating_id) AS position,
+            count(*) OVER (PARTITION BY user_id) AS n,
+            array_agg(movie_id::VARCHAR) OVER w AS movie_ids, array_agg(user_rating::INTEGER) OVER w AS user_ratings,
+            array_agg(movie_year) OVER w AS movie_years, array_agg(movie_genre) OVER w AS movie_genres
+          FROM movie_ratings WHERE user_rating >= 2 WINDOW w AS (PARTITION BY user_id
+            ORDER BY timestamp, rating_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
+        WHERE n >= 3 AND position > 1""", "movie_ratings"))
 def _(t):
     liked = t.movie_ratings.where(F.col("user_rating") >= sequences.MIN_RATING)
     liked = readers.ids_as_text(liked, ["movie_id"])
+    types = dict(liked.dtypes)
+    fillers = {c: F.lit(v).cast(types[c]) for c, v in sequences.CONTEXT_DEFAULTS.items()}
     examples = sequences.next_item_examples(
-        liked, "user_id", ["timestamp", "rating_id"], "movie_id",
-        {"movie_id": F.lit("0"), "movie_genre": F.lit("Drama")})
-    return examples.withColumns(
-        {c: F.array_join(c, " ") for c in ("context_movie_id", "context_movie_genre")})
+        liked, "user_id", ["timestamp", "rating_id"], "movie_id", fillers)
+    whole = examples.withColumn("context_user_rating", F.col("context_user_rating").cast("array<int>"))
+    return whole.withColumns({
+        f"context_{c}": F.array_join(F.col(f"context_{c}").cast("array<string>"), " ") for c in fillers})
 
 
 # ---- reshaping

@@ -1,6 +1,7 @@
 """Hand-written rows for the corners of the log format."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,16 @@ def test_wide_columns_are_bounded(spark):
         distinct_values(df, "v", limit=10)
 
 
+def test_scratch_folder_comes_from_the_session():
+    def session(master, folder):
+        context = SimpleNamespace(master=master, applicationId=f"{master}-{folder}")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=context)
+
+    assert scratch_root(session("yarn", "hdfs://shared/tmp/")) == "hdfs://shared/tmp"
+    with pytest.raises(RuntimeError):
+        scratch_root(session("yarn", None))
+
+
 def test_scratch_folder(spark):
     root = scratch_root(spark)
     stored = materialize(spark.range(5), "probe")

@@ -37,12 +37,27 @@ def test_group_row_number(hot):
     assert (merged["row_num"] == merged["row_num_want"]).all()
 
 
-def test_group_row_number_splits_the_hot_key(hot):
+def test_hot_key_spans_partitions(hot):
     _, df = hot
-    stored = ranking._stored_in_order(df, ["key", "score", "id"])
-    # With a partition bound far below the hot key's size the key spans partitions; counts must add up.
-    assert stored.where("key = 'hot'").select("_part").distinct().count() >= 1
-    assert stored.count() == df.count()
+    session = df.sparkSession
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = ranking._stored_in_order(df, ["key", "score", "id"])
+        assert stored.where("key = 'hot'").select("_part").distinct().count() > 2
+        placed = ranking.group_row_number(df, ["key"], ["score", "id"], size="n").where("key = 'hot'")
+        low, high, n, size = placed.agg(
+            F.min("row_num"), F.max("row_num"), F.countDistinct("row_num"), F.max("n")).first()
+        assert (low, high, n) == (1, size, size)
+    finally:
+        session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_top_n_per_group(hot, n):
+    pdf, df = hot
+    got = ranking.top_n_per_group(df, ["key"], [F.desc("score"), F.col("id")], n).toPandas()
+    want = pdf.sort_values(["score", "id"], ascending=[False, True]).groupby("key").head(n)
+    assert sorted(got["id"]) == sorted(want["id"])
 
 
 def test_row_chunks_like_ntile(hot):
