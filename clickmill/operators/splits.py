@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_uniform
+from ..session import one_row
 
-_PREFIX = 3  # hex digits; 4096 even buckets
+_PREFIX = 5  # hex digits; about a million even buckets
 
 
 def _digest(key: Column, seed: int) -> Column:
@@ -19,24 +20,30 @@ def _digest(key: Column, seed: int) -> Column:
 def shuffled_take(df: DataFrame, key: str, n: int, skip: int = 0, seed: int = 42) -> DataFrame:
     """Rows ``skip`` to ``skip + n`` of a seeded shuffle; keys must be unique.
 
-    The shuffle order is that of a hash. Counts per hash prefix tell which buckets lie wholly inside
-    the range, so only the two buckets at its ends have to be sorted.
+    The shuffle order is that of a hash. Counts per hash prefix tell which two buckets the range
+    starts and ends in; the rows between them are taken as they are and only those two buckets are
+    sorted.
     """
-    digest = _digest(F.col(key), seed)
-    marked = df.withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, _PREFIX))
+    stop = skip + n
+    marked = df.withColumn("_d", _digest(F.col(key), seed)).withColumn("_b", F.substring("_d", 1, _PREFIX))
     sizes = marked.groupBy("_b").agg(F.count("*").alias("_n"))
-    # At most 4096 rows from here to the join.
+    # A million rows at most, whatever the size of the table.
     before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    spans = sizes.withColumn("_lo", F.coalesce(before, F.lit(0))).withColumn("_hi", F.col("_lo") + F.col("_n"))
-    stop = skip + n
-    spans = spans.where((F.col("_hi") > skip) & (F.col("_lo") < stop))
-    spans = spans.withColumn("_cut", (F.col("_lo") < skip) | (F.col("_hi") > stop))
-    placed = marked.join(F.broadcast(spans), "_b")
-    inside = placed.where(~F.col("_cut"))
-    order = F.row_number().over(Window.partitionBy("_b").orderBy("_d", key)) + F.col("_lo")
-    edge = placed.where("_cut").withColumn("_p", order)
-    edge = edge.where((F.col("_p") > skip) & (F.col("_p") <= stop)).drop("_p")
-    return inside.unionByName(edge).select(*df.columns)
+    spans = sizes.withColumn("_lo", F.coalesce(before, F.lit(0)))
+    span = F.struct("_b", "_lo")
+    ends = one_row(
+        spans,
+        F.min(F.when(F.col("_lo") + F.col("_n") > skip, span)).alias("first"),
+        F.max(F.when(F.col("_lo") < stop, span)).alias("last"),
+    )
+    bucket, first, last = F.col("_b"), ends["first"], ends["last"]
+    inside = marked.where((bucket > first["_b"]) & (bucket < last["_b"]))
+    edge = marked.where((bucket == first["_b"]) | (bucket == last["_b"]))
+    start = F.when(bucket == first["_b"], first["_lo"]).otherwise(last["_lo"])
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_d", key))
+    edge = edge.withColumn("_p", place).withColumn("_p", F.col("_p") + start)
+    edge = edge.where((F.col("_p") > skip) & (F.col("_p") <= stop))
+    return inside.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def split_counts(df: DataFrame, key: str, train: int, test: int, seed: int = 42) -> DataFrame:

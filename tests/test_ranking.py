@@ -77,6 +77,19 @@ def test_shuffled_take_is_exact_and_disjoint(hot):
     assert parts.select("id").distinct().count() == 2000
 
 
+@pytest.mark.parametrize("skip, n, want", [(0, 0, 0), (0, 4000, 4000), (0, 9999, 4000), (3990, 50, 10), (5000, 5, 0), (17, 1, 1)])
+def test_shuffled_take_at_the_ends(hot, skip, n, want):
+    _, df = hot
+    assert splits.shuffled_take(df, "id", n, skip).count() == want
+
+
+def test_takes_tile_the_table(hot):
+    _, df = hot
+    parts = [splits.shuffled_take(df, "id", 700, skip) for skip in range(0, 4000, 700)]
+    ids = [r["id"] for part in parts for r in part.collect()]
+    assert sorted(ids) == list(range(4000))
+
+
 def test_splits_do_not_depend_on_partitions(hot):
     _, df = hot
 
