@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +14,10 @@ from ..functions.vectors import dot, largest_update, random_factors
 from ..session import materialize
 
 ROW, COL = "row_id", "col_id"
+# Up to this many factors a normal equation is summed column by column.
+SUMMED_FACTORS = 10
+# Cells of one id that a task sums up when there are more factors.
+SHARE_ROWS = 65_536
 
 
 @dataclass
@@ -104,56 +108,143 @@ def gradient_descent(
     return fit
 
 
-def _solver(k: int, lam: float):
+def _solve(packed: np.ndarray, k: int, lam: float) -> np.ndarray:
+    """Ridge solutions of packed systems: upper triangle of the Gram matrix, then the right side."""
     upper = np.triu_indices(k)
+    size = len(upper[0])
+    a = np.zeros((len(packed), k, k))
+    a[:, upper[0], upper[1]] = packed[:, :size]
+    a[:, upper[1], upper[0]] = packed[:, :size]
+    a += lam * np.eye(k)
+    return np.linalg.solve(a, packed[:, size:, None])[:, :, 0]
+
+
+def _systems_by_sums(cells: DataFrame, id_col: str, k: int, lam: float) -> DataFrame:
+    """Few factors: the packed system is a handful of ordinary sums with map-side combining."""
+    f = [F.element_at("factors", i + 1) for i in range(k)]
+    sums = [F.sum(f[i] * f[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
+    sums += [F.sum(F.col("rating") * f[i]).alias(f"b{i}") for i in range(k)]
+    summed = cells.groupBy(id_col).agg(*sums)
+    packed = F.array(*[F.col(c) for c in summed.columns if c != id_col])
 
     @F.pandas_udf("array<double>")
-    def solve(gram: pd.Series, rhs: pd.Series) -> pd.Series:
-        if not len(gram):
+    def solve(rows: pd.Series) -> pd.Series:
+        if not len(rows):
             return pd.Series([], dtype=object)
-        a = np.zeros((len(gram), k, k))
-        a[:, upper[0], upper[1]] = np.stack(gram.to_list())
-        a[:, upper[1], upper[0]] = a[:, upper[0], upper[1]]
-        a += lam * np.eye(k)
-        x = np.linalg.solve(a, np.stack(rhs.to_list())[:, :, None])[:, :, 0]
-        return pd.Series(list(x))
+        return pd.Series(list(_solve(np.stack(rows.to_list()), k, lam)))
+
+    return summed.select(id_col, solve(packed).alias("factors"))
+
+
+def _folded(
+    batches: Iterator[pd.DataFrame], id_col: str, part: Callable[[pd.DataFrame, int, int], np.ndarray]
+) -> Iterator[tuple[list, np.ndarray]]:
+    """Sums over runs of equal ids in sorted batches; a run may go on in the next batch."""
+    last, held = None, None
+    for batch in batches:
+        ids = batch[id_col].to_numpy()
+        if not len(ids):
+            continue
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        done_ids, done = [], []
+        for start, end in zip(starts, [*starts[1:], len(ids)]):
+            value = part(batch, start, end)
+            if held is not None and ids[start] == last:
+                held = held + value
+                continue
+            if held is not None:
+                done_ids.append(last)
+                done.append(held)
+            last, held = ids[start], value
+        if done:
+            yield done_ids, np.stack(done)
+    if held is not None:
+        yield [last], held[None]
+
+
+def _systems_by_batches(cells: DataFrame, id_col: str, salt: str, k: int, lam: float) -> DataFrame:
+    """Many factors: matrix products over sorted batches.
+
+    Cells are shuffled by id and salt, so a hot id is worked on by many tasks, and only one packed
+    system per id and task goes into the final sum.
+    """
+    upper = np.triu_indices(k)
+    id_type = cells.schema[id_col].dataType.simpleString()
+
+    def part_of_cells(batch: pd.DataFrame, start: int, end: int) -> np.ndarray:
+        block = np.stack(batch["factors"].iloc[start:end].to_list())
+        rhs = batch["rating"].iloc[start:end].to_numpy(dtype=np.float64) @ block
+        return np.concatenate([(block.T @ block)[upper], rhs])
+
+    def part_of_systems(batch: pd.DataFrame, start: int, end: int) -> np.ndarray:
+        return np.stack(batch["packed"].iloc[start:end].to_list()).sum(axis=0)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, systems in _folded(batches, id_col, part_of_cells):
+            yield pd.DataFrame({id_col: ids, "packed": list(systems)})
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, systems in _folded(batches, id_col, part_of_systems):
+            yield pd.DataFrame({id_col: ids, "factors": list(_solve(systems, k, lam))})
+
+    sorted_cells = cells.select(id_col, salt, "rating", "factors").repartition(id_col, salt)
+    systems = sorted_cells.sortWithinPartitions(id_col).mapInPandas(
+        partial, f"{id_col} {id_type}, packed array<double>")
+    return systems.repartition(id_col).sortWithinPartitions(id_col).mapInPandas(
+        solved, f"{id_col} {id_type}, factors array<double>")
+
 
-    return solve
+def _salted(coo: DataFrame, id_col: str, other: str, rows: int) -> DataFrame:
+    """Adds the share of each cell among those of its id: one share per ``rows`` cells."""
+    sizes = coo.groupBy(id_col).agg(F.ceil(F.count("*") / rows).alias("_shares"))
+    large = sizes.where(F.col("_shares") > 1)
+    joined = coo.join(large, id_col, "left")
+    share = F.pmod(F.xxhash64(other), F.coalesce("_shares", F.lit(1).cast("bigint")))
+    return joined.withColumn(f"{id_col}_salt", share).drop("_shares")
 
 
 def least_squares_side(
     coo: DataFrame, ids: DataFrame, id_col: str, fixed: DataFrame, fixed_col: str, k: int, lam: float
 ) -> DataFrame:
-    """Ridge solution of one side given the other; ids without cells get zeros.
-
-    Normal equations are summed with map-side combining, so no task ever holds all cells of an id;
-    Python sees one k-by-k system per id.
-    """
-    f = [F.element_at("factors", i + 1) for i in range(k)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = [F.sum(f[i] * f[j]).alias(f"a{i}_{j}") for i, j in pairs]
-    sums += [F.sum(F.col("rating") * f[i]).alias(f"b{i}") for i in range(k)]
-    normal = coo.join(fixed.select(fixed_col, "factors"), fixed_col).groupBy(id_col).agg(*sums)
-    packed = normal.select(
-        id_col,
-        F.array(*[F.col(f"a{i}_{j}") for i, j in pairs]).alias("gram"),
-        F.array(*[F.col(f"b{i}") for i in range(k)]).alias("rhs"),
-    )
-    solved = packed.select(id_col, _solver(k, lam)("gram", "rhs").alias("factors"))
+    """Ridge solution of one side given the other; ids without cells get zeros."""
+    cells = coo.join(fixed.select(fixed_col, "factors"), fixed_col)
+    if k <= SUMMED_FACTORS:
+        solved = _systems_by_sums(cells, id_col, k, lam)
+    else:
+        solved = _systems_by_batches(cells, id_col, f"{id_col}_salt", k, lam)
     zeros = F.array(*[F.lit(0.0)] * k)
     return ids.join(solved, id_col, "left").withColumn("factors", F.coalesce("factors", zeros))
 
 
+def _gram_by_batches(side: DataFrame, k: int) -> list[float]:
+    """Upper triangle of the Gram matrix: one partial per task, added up entry by entry."""
+    upper = np.triu_indices(k)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            if len(batch):
+                f = np.stack(batch["factors"].to_list())
+                total += f.T @ f
+        yield pd.DataFrame({"packed": [total[upper]]})
+
+    parts = side.select("factors").mapInPandas(partial, "packed array<double>")
+    entries = parts.select(F.posexplode("packed").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x"))
+    return [r["x"] for r in sorted(entries.collect(), key=lambda r: r["pos"])]
+
+
 def _side_figures(side: DataFrame, k: int, change: Column) -> tuple[np.ndarray, int, float]:
-    """Gram matrix, number of ids and largest change of one side, in one pass."""
+    """Gram matrix, number of ids and largest change of one side."""
     upper = np.triu_indices(k)
-    sums = [
-        F.sum(F.element_at("factors", int(i) + 1) * F.element_at("factors", int(j) + 1)).alias(f"c{i}_{j}")
-        for i, j in zip(*upper)
-    ]
-    n, most, *cells = side.agg(F.count("*").alias("n"), change.alias("most"), *sums).first()
+    sums = []
+    if k <= SUMMED_FACTORS:
+        sums = [
+            F.sum(F.element_at("factors", int(i) + 1) * F.element_at("factors", int(j) + 1)).alias(f"c{i}_{j}")
+            for i, j in zip(*upper)
+        ]
+    n, most, *entries = side.agg(F.count("*").alias("n"), change.alias("most"), *sums).first()
     gram = np.zeros((k, k))
-    gram[upper] = cells
+    gram[upper] = entries or _gram_by_batches(side, k)
     return gram + np.triu(gram, 1).T, n, most or 0.0
 
 
@@ -187,7 +278,10 @@ def alternating_least_squares(
 
     Stops on a small change of the error after the third round, or on a small update.
     """
-    coo = materialize(coo.select(ROW, COL, "rating"), "coo")
+    coo = coo.select(ROW, COL, "rating")
+    if k > SUMMED_FACTORS:
+        coo = _salted(_salted(materialize(coo, "coo"), ROW, COL, SHARE_ROWS), COL, ROW, SHARE_ROWS)
+    coo = materialize(coo, "coo")
     fit = Fit(materialize(rows.select(ROW, "factors"), "u"), materialize(cols.select(COL, "factors"), "v"))
     rmse, update = _all_cells_figures(coo, fit.rows, fit.cols, k, _change(True))
     fit.rmse.append(rmse)

@@ -51,7 +51,10 @@ def test_descent_stops_with_the_previous_factors(planted):
     assert np.allclose(arrays(fit.rows, "row_id", "r", 20), arrays(one.rows, "row_id", "r", 20))
 
 
-def test_least_squares_like_numpy(planted, spark):
+@pytest.mark.parametrize("summed, share_rows", [(10, 65_536), (0, 65_536), (0, 3)])
+def test_least_squares_like_numpy(planted, spark, monkeypatch, summed, share_rows):
+    monkeypatch.setattr(factorize, "SUMMED_FACTORS", summed)
+    monkeypatch.setattr(factorize, "SHARE_ROWS", share_rows)
     dense, mask, coo, rows, cols = planted
     extra = rows.unionByName(spark.createDataFrame([("r20",)], "row_id string"))
     v0 = factorize.start_factors(cols, "col_id", 3)
