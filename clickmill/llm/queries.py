@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from .chat import rotate_perspectives
+from .encoding import TokenizerFile
+from .leaks import find_leaks
 from .line_quality import judge_documents
 from .line_runs import drop_repeated_lines
+from .lsh_forest import near_duplicates
+from .mixing import score_documents
+from .packing import pack_documents
+from .repeats import drop_repeated_passages
+from .token_cache import count_tokens
 from .url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> TokenizerFile:
+    """The public tokenizer of the contracts; white space gets no ids."""
+    import public_tokenizers
+
+    return TokenizerFile(public_tokenizers.path("word_bpe_49k.json"), blank_free=True)
+
+
 def sha256(c: str) -> Column:
     return F.sha2(F.col(c).cast("binary"), 256)
 
@@ -93,6 +107,40 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+# Token ids are the library's; the test encodes every text with it.
+@query("op4_pack_open_windows")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+        "offset",
+    )
+
+
+@query("op5_repeated_passages", oracle=r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p
+    FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+words AS (
+    SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+    SELECT doc_id, count(*) FILTER (WHERE gone.p IS NOT NULL) AS n_removed,
+           string_agg(x, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t
+    FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
+
+
 @query("op6_line_quality", oracle=r"""
 WITH d AS (
     SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
@@ -135,3 +183,27 @@ FROM f
 """)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
+
+
+# Edit distances of all windows to all items are too slow in SQL; the test searches by brute force.
+@query("op7_benchmark_leaks")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Token counts are the library's; the test counts every text with it.
+@query("op8_digest_cache")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+# Components have no SQL form that ends on whole tables; the test compares all pairs.
+@query("op9_lsh_forest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=85)
+
+
+# The trained score has no SQL form; the test holds counts and base score against brute force.
+@query("op10_context_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
