@@ -133,7 +133,8 @@ class WordEncoder:
             word = raw.decode("utf-8", "replace")
             mark = word[-1] if word[-1] in self._marks else ""
             core = word[:-1] if mark else word
-            if core.isalpha():
+            # Some letters are no longer letters alone once they are lower-cased.
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
                 core = core.lower() if core.isascii() else core
                 marked.append((raw, core, mark))
                 if core not in self._cores:
