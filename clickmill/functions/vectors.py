@@ -78,11 +78,6 @@ def hash_bin(col: Column, bins: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(bins)).cast("int")
 
 
-def fast_bin(col: Column, bins: int) -> Column:
-    """Like ``hash_bin`` with Spark's own 64-bit hash; cheaper, Spark-only."""
-    return F.pmod(F.xxhash64(col), F.lit(bins)).cast("int")
-
-
 def random_factors(id_col: Column, k: int, seed: int) -> Column:
     """``k`` uniform start values per id."""
     return F.array(*[hash_uniform(id_col, F.lit(f), F.lit(seed)) for f in range(k)])

@@ -8,9 +8,10 @@ from itertools import product
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import euclidean, hash_uniform
 from ..session import materialize
 from .ranking import global_row_number
 from .reduce import mean_imputed, reduced
@@ -25,6 +26,42 @@ def kmeans_labels(embeddings: DataFrame, key: str, k: int = 10, seed: int = SEED
     return model.transform(vectors).drop("_x")
 
 
+def lloyd_labels(
+    points: DataFrame, key: str, vector: str, k: int, rounds: int, seed: int = SEED
+) -> DataFrame:
+    """(key, cluster) after a fixed number of Lloyd rounds.
+
+    The first centres are the ``k`` points with the smallest seeded hash of their key, so the result
+    does not depend on partitioning. Distances are compared at nine digits, ties go to the lower
+    cluster, and a centre without points stays where it is. Centres are all that leaves the tasks:
+    k rows per round, from sums with map-side combining.
+    """
+    rows = points.select(F.col(key), F.col(vector).cast("array<double>").alias("_v"))
+    draw = hash_uniform(F.col(key), F.lit(seed))
+    first = rows.orderBy(draw, key).limit(k).select("_v").collect()
+    centres = [list(r["_v"]) for r in first]
+    if not centres:
+        return rows.select(key, F.lit(None).cast("bigint").alias("cluster"))
+    width = len(centres[0])
+    for _ in range(rounds):
+        labelled = rows.withColumn("cluster", _nearest_centre(F.col("_v"), centres))
+        means = labelled.groupBy("cluster").agg(
+            *[F.avg(F.element_at("_v", i + 1)).alias(f"m{i}") for i in range(width)]
+        )
+        for row in means.collect():
+            centres[row["cluster"]] = [row[f"m{i}"] for i in range(width)]
+    return rows.select(key, _nearest_centre(F.col("_v"), centres).alias("cluster"))
+
+
+def _nearest_centre(v: Column, centres: list[list[float]]) -> Column:
+    """Number of the nearest centre; a struct minimum breaks ties by number."""
+    table = F.lit(centres) if len(centres) else F.array()
+    scored = F.transform(
+        table, lambda c, i: F.struct(F.round(euclidean(v, c), 9).alias("d"), i.alias("i"))
+    )
+    return F.array_min(scored)["i"].cast("bigint")
+
+
 def _min_label_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, root): smallest node of every connected component.
 

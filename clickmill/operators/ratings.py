@@ -9,24 +9,22 @@ from pyspark.sql import functions as F
 
 from .ranking import group_row_number
 
-# Most entries of one list-valued row; longer lists continue in the next chunk.
-CHUNK_ROWS = 65_536
 
+def rating_rows(interactions: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:
+    """Each user's articles and scores in order, in long form: (user_id, position, news_id, score).
 
-def rating_lists(
-    interactions: DataFrame, order_by: Sequence[Column | str], chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """Aligned article and score lists per user, in order: (user_id, chunk, news_id, scores).
-
-    A user with more than ``chunk_rows`` rows gets several chunks, so no list outgrows a task.
+    The shape is the same whatever a user's number of rows, and one user's rows may span many tasks.
     """
     placed = group_row_number(interactions, ["user_id"], order_by, "_pos")
-    chunk = F.floor((F.col("_pos") - 1) / chunk_rows).alias("chunk")
-    entry = F.struct("_pos", "news_id", "score")
-    lists = placed.groupBy("user_id", chunk).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return placed.select("user_id", (F.col("_pos") - 1).alias("position"), "news_id", "score")
+
+
+def rating_lists(rows: DataFrame) -> DataFrame:
+    """Aligned lists (user_id, news_id, scores) of ``rating_rows``, for users that fit a row."""
+    entry = F.struct("position", "news_id", "score")
+    lists = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     return lists.select(
         "user_id",
-        "chunk",
         F.transform("e", lambda x: x["news_id"]).alias("news_id"),
         F.transform("e", lambda x: x["score"]).alias("scores"),
     )
@@ -57,20 +55,11 @@ def user_cluster_by_item(interactions: DataFrame, user_clusters: DataFrame) -> D
     )
 
 
-def index_sets(coo: DataFrame, key: str, member: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Sorted set of the members observed with each key: (key, bucket, members).
-
-    A key with more than ``chunk_rows`` members is spread over hash buckets.
-    """
-    sizes = coo.groupBy(key).agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > chunk_rows).withColumn("parts", F.ceil(F.col("n") * 2 / chunk_rows))
-    spread = coo.join(large.select(key, "parts"), key, "left")
-    bucket = F.when(
-        F.col("parts").isNotNull(), F.pmod(F.xxhash64(member), F.col("parts"))
-    ).otherwise(F.lit(0))
-    return spread.groupBy(key, bucket.cast("bigint").alias("bucket")).agg(
-        F.sort_array(F.collect_set(member)).alias("members")
-    )
+def index_sets(coo: DataFrame, key: str, member: str) -> DataFrame:
+    """The members observed with each key, in order: (key, position, member), in long form."""
+    pairs = coo.select(key, member).distinct()
+    placed = group_row_number(pairs, [key], [member], "_pos")
+    return placed.select(key, (F.col("_pos") - 1).alias("position"), member)
 
 
 def seen_pairs(coo: DataFrame) -> DataFrame:

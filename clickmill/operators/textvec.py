@@ -85,6 +85,20 @@ def concatenated(*cols: str | Column) -> Column:
     return F.concat(*cols)
 
 
+def metric_scaled(weights: DataFrame, key: str, metric: str) -> DataFrame:
+    """Sparse non-negative rows (key, token, weight) scaled so that Euclidean distance is the metric's:
+    unit length for cosine, square roots of the shares for Hellinger (times the square root of 2)."""
+    per_row = Window.partitionBy(key)  # bounded by a document's own distinct words
+    w = F.col("weight")
+    if metric == "cosine":
+        w = F.try_divide(w, F.sqrt(F.sum(w * w).over(per_row)))
+    elif metric == "hellinger":
+        w = F.sqrt(F.try_divide(w, F.sum(w).over(per_row)))
+    elif metric != "euclidean":
+        raise ValueError(f"unknown metric {metric!r}")
+    return weights.withColumn("weight", F.coalesce(w, F.lit(0.0)))
+
+
 def random_projection(weights: DataFrame, key: str, dim: int, seed: int = 42) -> DataFrame:
     """Sparse rows (key, token, weight) to ``dim`` dense components, signs drawn per token."""
     signs = weights.select("token").distinct().select(

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as vec
 from ..operators import factorize as fa
 from ..operators import features as fe
 from ..operators import fm, ratings
@@ -37,13 +34,15 @@ def start(coo: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     return rows, cols
 
 
-def start_sql(coo: str = "coo_item", k: int = K, seed: int = 42, tag: str = "") -> dict[str, str]:
-    """SQL twin of ``start``: views u0 and v0."""
-    def side(col: str) -> str:
+def start_sql(
+    coo: str = "coo_item", k: int = K, seed: int = 42, tag: str = "", row_view: str = "", col_view: str = ""
+) -> dict[str, str]:
+    """SQL twin of ``start``: views u0 and v0, of the ids in ``coo`` or in the given views."""
+    def side(col: str, ids: str) -> str:
         cells = ", ".join(sql_hash_uniform(f"'{col}:' || {col}", str(f), str(seed)) for f in range(k))
-        return f"SELECT {col}, [{cells}] AS f FROM (SELECT DISTINCT {col} FROM {coo})"
+        return f"SELECT {col}, [{cells}] AS f FROM (SELECT DISTINCT {col} FROM ({ids or f'SELECT {col} FROM {coo}'}))"
 
-    return {f"{tag}u0": side("row_id"), f"{tag}v0": side("col_id")}
+    return {f"{tag}u0": side("row_id", row_view), f"{tag}v0": side("col_id", col_view)}
 
 
 def step_sql(
@@ -326,34 +325,80 @@ def _(t):
     return weights.unionByName(bias)
 
 
-@query("fm_2_held_out_trace")
+FM_ROUNDS = 3
+
+
+def _fm_trace_sql() -> str:
+    """Rounds of descent on the train rows, the error on the others after each."""
+    views = {
+        "keyed": KEYED_SQL, "cells": CELLS_SQL,
+        "parts": f"""SELECT interaction_id, score AS y, {sql_hash_uniform('interaction_id', '42')} < {fm.TRAIN_SHARE} AS train
+          FROM keyed""",
+        "p0": FM_VIEWS["params"], "b0": "SELECT 1.0::DOUBLE AS b",
+    }
+    parts = []
+
+    def scored(n: int) -> str:
+        return f"""SELECT interaction_id, y, train, s1, s2,
+            (SELECT b FROM b{n}) + lin + 0.5 * (s1 * s1 - q1 + s2 * s2 - q2) AS p FROM (
+          SELECT interaction_id, sum(w * x) AS lin, sum(v[1] * x) AS s1, sum(v[2] * x) AS s2,
+            sum(v[1] * x * v[1] * x) AS q1, sum(v[2] * x * v[2] * x) AS q2
+          FROM cells JOIN p{n} USING (feature) GROUP BY interaction_id) JOIN parts USING (interaction_id)"""
+
+    for n in range(1, FM_ROUNDS + 1):
+        views[f"f{n}"] = scored(n - 1)
+        views[f"e{n}"] = f"SELECT interaction_id, s1, s2, y - p AS e, count(*) OVER () AS n FROM f{n} WHERE train"
+        step = 2 * ALPHA
+        views[f"g{n}"] = f"""SELECT feature, {step} * sum(e * x) / any_value(n) AS gw, sum(e * x * s1) AS a1,
+            sum(e * x * s2) AS a2, sum(e * x * x) AS aa, {step} / any_value(n) AS r
+          FROM cells JOIN e{n} USING (interaction_id) GROUP BY feature"""
+        views[f"p{n}"] = f"""SELECT feature, w + coalesce(gw, 0) AS w,
+            [v[1] + coalesce(r * (a1 - v[1] * aa), 0), v[2] + coalesce(r * (a2 - v[2] * aa), 0)] AS v
+          FROM p{n - 1} LEFT JOIN g{n} USING (feature)"""
+        views[f"b{n}"] = f"SELECT b + {step} * (SELECT avg(e) FROM e{n}) AS b FROM b{n - 1}"
+        views[f"t{n}"] = scored(n)
+        parts.append(f"""SELECT {n}::BIGINT AS iteration,
+            round((SELECT sqrt(avg((y - p) ** 2)) FROM t{n} WHERE NOT train), 6) AS rmse,
+            round((SELECT max(greatest(abs(a.w - b.w), abs(a.v[1] - b.v[1]), abs(a.v[2] - b.v[2])))
+              FROM p{n} a JOIN p{n - 1} b USING (feature)), 6) AS max_update""")
+    return sql(" UNION ALL ".join(parts), "interactions", **views)
+
+
+@query("fm_2_held_out_trace", _fm_trace_sql())
 def _(t):
-    return fm.fm_trace(
-        keyed(t).withColumn("time", F.coalesce("time", F.lit("none"))), ROW_KEY, "score",
-        ["user_id", "news_id", "category"], [1, 5, 10], bins=1024)
+    trace = fm.fm_trace(cells(t), materialize(keyed(t).select(ROW_KEY, "score"), "target"), ROW_KEY, "score",
+                        FM_K, ALPHA, FM_ROUNDS)
+    return trace.select(
+        "iteration", F.round("rmse", 6).alias("rmse"), F.round("max_update", 6).alias("max_update"))
 
 
-@query("rnk_1_rating_predictions")
+@query("rnk_1_rating_predictions", sql(
+    f"""SELECT rating_id, user_rating, round(b + a * movie_year, 6) AS prediction FROM parts,
+          (SELECT regr_slope(user_rating, movie_year) AS a, regr_intercept(user_rating, movie_year) AS b
+           FROM parts WHERE train) WHERE NOT train""", "movie_ratings",
+    parts=f"""SELECT *, {sql_hash_uniform('rating_id', '42')} < {fm.TRAIN_SHARE} AS train FROM movie_ratings"""))
 def _(t):
-    rows = t.movie_ratings.withColumn("movie_id", F.col("movie_id").cast("string"))
-    return fm.rating_predictions(
-        rows, "rating_id", "user_rating", ["user_id", "movie_title", "movie_genre"], ["movie_year"], bins=1024)
+    found = fm.rating_predictions(t.movie_ratings, "rating_id", "user_rating", ["movie_year"])
+    return found.withColumn("prediction", F.round("prediction", 6))
+
+
+def _matrix_sql(name: str, cols: list[str]) -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT interaction_id, score, '{c}=' || {c} AS feature FROM keyed WHERE {c} IS NOT NULL" for c in cols)
+    return f"""SELECT '{name}' AS features, interaction_id, score::BIGINT AS score,
+        dense_rank() OVER (ORDER BY feature) - 1 AS col, 1.0::DOUBLE AS x FROM ({cells})"""
 
 
 @query("snk_3_design_matrices", sql(
-    " UNION ALL ".join(
-        f"SELECT '{name}' AS features, count(*) AS rows, sum(score)::BIGINT AS score, sum({' + '.join(f'({c} IS NOT NULL)::INTEGER' for c in cols)})::BIGINT AS ones FROM interactions"
-        for name, cols in fm.FEATURE_SETS.items()), "interactions"))
+    " UNION ALL ".join(_matrix_sql(n, c) for n, c in fm.FEATURE_SETS.items()), "interactions", keyed=KEYED_SQL))
 def _(t):
-    paths = sinks.write_design_matrices(keyed(t), ROW_KEY, "score", scratch_path(t.spark, "design"), bins=4096)
+    """The stored rows read back, cell by cell."""
+    paths = sinks.write_design_matrices(keyed(t), ROW_KEY, "score", scratch_path(t.spark, "design"))
     out = None
     for name, path in paths.items():
-        stored = t.spark.read.parquet(path)
-        # The hasher adds up what falls on one position, so the entries sum to the number of features.
-        entries = stored.agg(Summarizer.sum(F.col("features")).alias("s")).select(vector_to_array("s").alias("s"))
-        ones = entries.select(F.round(vec.total(F.col("s"))).cast("bigint").alias("ones")).scalar()
-        part = stored.agg(F.count("*").alias("rows"), F.sum("score").alias("score")).select(
-            F.lit(name).alias("features"), "rows", "score", ones.alias("ones"))
+        pairs = F.explode(F.arrays_zip("indices", "values")).alias("c")
+        part = t.spark.read.parquet(path).select(ROW_KEY, F.col("score").cast("bigint"), pairs).select(
+            F.lit(name).alias("features"), ROW_KEY, "score", F.col("c.indices").alias("col"), F.col("c.values").alias("x"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -15,7 +15,6 @@ from ..session import materialize, spread
 # Fixed values of the derivation.
 LOG_START = "1995-06-01"
 DAY = "2019-11-15 00:00:00"
-ROW_TOKENS = 512  # an order with more line items continues on further log rows
 ITEM_CLUSTERS, USER_CLUSTERS = 20, 10
 
 
@@ -31,15 +30,28 @@ _STORED: dict[tuple[str, str, str], DataFrame] = {}
 class Tables:
     """Given tables of one directory and the inputs derived from them.
 
-    The click log and the interaction table are written once per session and
-    directory, as the pipeline's own stored stages, and read by the later queries.
+    The click log and the interaction table are written once per session and state of the files,
+    as the pipeline's own stored stages, and read by the later queries.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def _state(self) -> str:
+        """Number, size and last change of the files behind the derived tables."""
+        parts = [
+            self.raw(name).select(
+                F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"),
+                F.col("_metadata.file_modification_time").alias("m"),
+            ).distinct()
+            for name in ("orders", "lineitem", "part")
+        ]
+        files = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return str(files.agg(F.count("f"), F.sum("s"), F.max("m")).first())
+
     def _stored(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, f"{name} {self._state}")
         if key not in _STORED:
             _STORED[key] = materialize(build(), name)
         return _STORED[key]
@@ -72,19 +84,10 @@ class Tables:
         return self._stored("order_tokens", self._encoded_orders)
 
     def _encoded_orders(self) -> DataFrame:
-        """Encoded line items per order and row part; oversized orders get several parts."""
-        cols = ["l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice"]
-        lines = self.raw("lineitem").select("l_orderkey", *cols)
-        oversized = (
-            lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).where(F.col("n") > ROW_TOKENS)
-        )
-        parts = F.ceil(F.col("n") * 2 / ROW_TOKENS)
-        part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(*cols), parts)).otherwise(F.lit(0))
+        """Encoded line items per order, as the raw log holds them: one list per order."""
         token = F.struct("l_linenumber", "l_partkey", "l_returnflag")
-        packed = (
-            lines.join(oversized, "l_orderkey", "left")
-            .groupBy("l_orderkey", part.alias("part"))
-            .agg(F.array_sort(F.collect_list(token)).alias("toks"))
+        packed = self.raw("lineitem").groupBy("l_orderkey").agg(
+            F.sort_array(F.collect_list(token)).alias("toks")
         )
 
         def label(t):
@@ -95,7 +98,6 @@ class Tables:
 
         return packed.select(
             "l_orderkey",
-            "part",
             F.array_join(F.transform("toks", article), " ").alias("items"),
             F.array_join(
                 F.transform("toks", lambda t: F.concat(article(t), F.lit("-"), label(t))), " "
@@ -118,11 +120,11 @@ class Tables:
             ["o_custkey"],
             [F.col("o_orderdate"), F.col("o_orderkey")],
         )
-        past = self._order_tokens.where(F.col("part") == 0).select("l_orderkey", "items")
+        past = self._order_tokens.select("l_orderkey", "items")
         history = early.join(past, F.col("o_orderkey") == F.col("l_orderkey")).select(
             "o_custkey", F.col("items").alias("history")
         )
-        shown = self._order_tokens.select("l_orderkey", "part", "impressions")
+        shown = self._order_tokens.select("l_orderkey", "impressions")
         seconds = (F.col("o_orderkey") * 7919 % 90000).cast("decimal(18,6)")
         offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
         return (
@@ -130,7 +132,7 @@ class Tables:
             .join(shown, F.col("o_orderkey") == F.col("l_orderkey"), "left")
             .join(history, "o_custkey", "left")
             .select(
-                (F.col("o_orderkey") + F.coalesce("part", F.lit(0)) * 10**12).alias("impression_id"),
+                F.col("o_orderkey").alias("impression_id"),
                 F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("user_id"),
                 (F.lit(DAY).cast("timestamp_ntz") + offset).alias("time"),
                 "history",

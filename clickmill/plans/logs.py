@@ -544,11 +544,15 @@ def _(t):
 @query("dt_3_rows_per_hour_edge", sql(
     """SELECT strftime(e, '%Y-%m-%d %H:%M') AS edge, count(b.impression_id) AS rows FROM
          generate_series(TIMESTAMP '2019-11-15', TIMESTAMP '2019-11-16', INTERVAL 1 HOUR) g(e)
-       LEFT JOIN behaviors b ON b.time > e - INTERVAL 1 HOUR AND b.time <= e
-         AND b.time > TIMESTAMP '2019-11-15' GROUP BY e""", "behaviors"))
-def _(t):
-    ends = t.behaviors.where(F.col("time") != F.lit(timebin.DAY_START).cast("timestamp_ntz"))
-    ends = ends.groupBy(timebin.bin_end(F.col("time")).alias("edge")).agg(F.count("*").alias("rows"))
+       LEFT JOIN behaviors b ON e > TIMESTAMP '2019-11-15' AND b.time <= e
+         AND (b.time > e - INTERVAL 1 HOUR
+           OR b.time = TIMESTAMP '2019-11-15' AND e = TIMESTAMP '2019-11-15 01:00:00') GROUP BY e""", "behaviors"))
+def _(t):
+    """The first bin holds the start of the day as well."""
+    start = F.lit(timebin.DAY_START).cast("timestamp_ntz")
+    hour = F.make_dt_interval(F.lit(0), F.lit(1), F.lit(0), F.lit(0))
+    end = F.when(F.col("time") == start, start + hour).otherwise(timebin.bin_end(F.col("time")))
+    ends = t.behaviors.groupBy(end.alias("edge")).agg(F.count("*").alias("rows"))
     joined = timebin.hour_spine(t.spark).join(ends, "edge", "left").na.fill(0, ["rows"])
     return joined.withColumn("edge", F.date_format("edge", "yyyy-MM-dd HH:mm"))
 

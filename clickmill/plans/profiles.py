@@ -97,19 +97,16 @@ def _(t):
     return fe.positive_counts(t.interactions, "category", values(t)[0])
 
 
-LISTS_SQL = """SELECT user_id, 0::BIGINT AS chunk,
-  string_agg(news_id, ' ' ORDER BY impression_id, interaction_type, pos) AS news_ids,
-  string_agg(score::VARCHAR, ' ' ORDER BY impression_id, interaction_type, pos) AS scores
-  FROM interactions GROUP BY user_id"""
+LISTS_SQL = """SELECT user_id, row_number() OVER (
+    PARTITION BY user_id ORDER BY impression_id, interaction_type, pos) - 1 AS position, news_id,
+  score::BIGINT AS score FROM interactions"""
 EVENT_ORDER = ["impression_id", "interaction_type", "pos"]
 
 
 @query("agg_8_rating_lists", sql(LISTS_SQL, "interactions"))
 def _(t):
-    lists = ratings.rating_lists(t.interactions, EVENT_ORDER)
-    return lists.select(
-        "user_id", "chunk", F.array_join("news_id", " ").alias("news_ids"),
-        F.array_join(F.col("scores").cast("array<string>"), " ").alias("scores"))
+    rows = ratings.rating_rows(t.interactions, EVENT_ORDER)
+    return rows.withColumn("score", F.col("score").cast("bigint"))
 
 
 @query("agg_9_users_without_positive", sql(
@@ -152,17 +149,17 @@ def _(t):
 
 
 @query("agg_14_index_sets", sql(
-    """SELECT 'user' AS side, row_id AS key, 0::BIGINT AS bucket,
-         string_agg(col_id::VARCHAR, ' ' ORDER BY col_id) AS members FROM coo_item GROUP BY row_id
-       UNION ALL SELECT 'cluster', col_id::VARCHAR, 0::BIGINT, string_agg(row_id, ' ' ORDER BY row_id)
-       FROM coo_item GROUP BY col_id""", "coo_item"))
+    """SELECT 'user' AS side, row_id AS key, col_id::VARCHAR AS member,
+         row_number() OVER (PARTITION BY row_id ORDER BY col_id) - 1 AS position FROM coo_item
+       UNION ALL SELECT 'cluster', col_id::VARCHAR, row_id,
+         row_number() OVER (PARTITION BY col_id ORDER BY row_id) - 1 FROM coo_item""", "coo_item"))
 def _(t):
     coo = materialize(ratings.user_by_item_cluster(t.interactions, t.item_clusters), "coo")
 
     def sets(side: str, key: str, member: str) -> DataFrame:
-        members = F.array_join(F.col("members").cast("array<string>"), " ").alias("members")
         return ratings.index_sets(coo, key, member).select(
-            F.lit(side).alias("side"), F.col(key).cast("string").alias("key"), "bucket", members)
+            F.lit(side).alias("side"), F.col(key).cast("string").alias("key"),
+            F.col(member).cast("string").alias("member"), "position")
 
     return sets("user", "row_id", "col_id").unionByName(sets("cluster", "col_id", "row_id"))
 
@@ -363,10 +360,8 @@ def _(t):
         sinks.write_table(df, f"{folder}/{name}")
     rows, items, users = readers.matrix_inputs(
         t.spark, f"{folder}/interactions", f"{folder}/items", f"{folder}/users")
-    lists = ratings.rating_lists(rows, EVENT_ORDER)
-    sums = lists.groupBy("user_id").agg(
-        F.sum(F.size("scores")).cast("bigint").alias("n"),
-        F.sum(F.aggregate("scores", F.lit(0), lambda a, x: a + x)).cast("bigint").alias("score"))
+    placed = ratings.rating_rows(rows, EVENT_ORDER)
+    sums = placed.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     known = rows.select("user_id", "news_id").distinct().join(items, "news_id")
     known = known.groupBy("user_id").agg(F.count("*").alias("items"))
     return sums.join(users.withColumn("cluster", F.col("cluster").cast("bigint")), "user_id").join(known, "user_id")

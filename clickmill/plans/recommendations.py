@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..operators import features as fe
 from ..operators import knn, ratings, retrieval
 from ..operators import recommend as rc
-from ..operators.factorize import predicted
+from ..operators.factorize import predicted, start_factors
 from ..session import materialize
 from . import profiles
-from .factors import item_side, start, start_sql
+from .factors import K, item_side, start, start_sql
 from .fixtures import Tables, sql
 from .registry import query
 
@@ -28,7 +28,8 @@ SIMILAR_SQL = {
       QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY score, other) <= 4""",
 }
 CANDIDATE_SQL = {
-    **start_sql(),
+    # Start factors of all users and all clusters, rated or not.
+    **start_sql(row_view="SELECT user_id AS row_id FROM user_vecs", col_view="SELECT item AS col_id FROM cluster_vecs"),
     **SIMILAR_SQL,
     "seen": "SELECT row_id AS user_id, col_id AS item FROM coo_item",
     "best": """SELECT user_id, item, round(list_dot_product(u0.f, v0.f), 9) AS p FROM seen
@@ -93,7 +94,8 @@ class Inputs:
         self.items = materialize(fe.aligned(named, ["item"], self.cols), "items")
         self.coo = item_side(t)
         self.seen = ratings.seen_pairs(self.coo)
-        self.rows, self.col_factors = start(self.coo)
+        self.rows = start_factors(self.users.select(F.col("user_id").alias("row_id")), "row_id", K)
+        self.col_factors = start_factors(self.items.select(F.col("item").alias("col_id")), "col_id", K)
 
     def candidates(self) -> DataFrame:
         return rc.all_candidates(
@@ -213,7 +215,7 @@ def _(t):
 @query("win_4_best_seen_items", rec_sql(
     "SELECT user_id, item::BIGINT AS item, round(p, 6) AS predicted FROM best"))
 def _(t):
-    coo = item_side(t)
+    coo = item_side(t)  # seen pairs have rated users and clusters only
     best = rc.best_seen(ratings.seen_pairs(coo), *start(coo))
     return best.select("user_id", F.col("item").cast("bigint"), F.round("predicted", 6).alias("predicted"))
 
@@ -255,9 +257,7 @@ def _(t):
 def _(t):
     data = Inputs(t)
     weighted = rc.preference_weights(data.allowed(), data.users, data.items)
-    # Only users with factors can be ranked later on.
-    known = weighted.join(data.rows.select(F.col("row_id").alias("user_id")), "user_id", "left_semi")
-    return known.select("user_id", F.col("item").cast("bigint"), F.round("weight", 6).alias("weight"))
+    return weighted.select("user_id", F.col("item").cast("bigint"), F.round("weight", 6).alias("weight"))
 
 
 def recs_out(df: DataFrame) -> DataFrame:
@@ -322,8 +322,10 @@ def _(t):
          row_number() OVER (PARTITION BY u0.row_id ORDER BY round(list_dot_product(u0.f, v0.f), 9) DESC,
            v0.col_id) AS rank FROM u0 CROSS JOIN v0 QUALIFY rank <= 5"""))
 def _(t):
-    coo = item_side(t)
-    best = rc.top_predicted(*start(coo), 5)
+    users = t.interactions.select(F.col("user_id").alias("row_id")).distinct()
+    clusters = t.item_clusters.select(F.col("cluster").alias("col_id")).distinct()
+    best = rc.top_predicted(
+        start_factors(users, "row_id", K), start_factors(clusters, "col_id", K), 5)
     return best.select(
         "user_id", F.col("item").cast("bigint"), F.round("predicted", 6).alias("predicted"), "rank")
 

@@ -36,9 +36,9 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _LOCAL_SCRATCH.setdefault(
-        sc.applicationId, tempfile.mkdtemp(prefix="clickmill-")
-    )
+    if sc.applicationId not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="clickmill-")
+    return _LOCAL_SCRATCH[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

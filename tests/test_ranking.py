@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickmill.operators import ranking, sequences, splits
-from clickmill.operators.ratings import index_sets, rating_lists
+from clickmill.operators.ratings import index_sets, rating_lists, rating_rows
 
 
 @pytest.fixture(scope="module")
@@ -104,24 +104,25 @@ def test_splits_do_not_depend_on_partitions(hot):
     assert tests(df.repartition(1)) == tests(df.repartition(8))
 
 
-def test_rating_lists_in_chunks(hot):
+def test_rating_rows_and_lists(hot):
     pdf, df = hot
     rows = df.select(F.col("key").alias("user_id"), F.col("id").alias("news_id"), "score")
-    lists = rating_lists(rows, ["news_id"], chunk_rows=64).toPandas()
-    assert lists["news_id"].map(len).max() == 64
-    hot_rows = lists[lists["user_id"] == "hot"].sort_values("chunk")
-    joined = [i for part in hot_rows["news_id"] for i in part]
-    assert joined == sorted(pdf.loc[pdf["key"] == "hot", "id"])
+    placed = rating_rows(rows, ["news_id"])
+    got = placed.toPandas()
+    hot_rows = got[got["user_id"] == "hot"].sort_values("position")
+    assert hot_rows["position"].tolist() == list(range(len(hot_rows)))
+    assert hot_rows["news_id"].tolist() == sorted(pdf.loc[pdf["key"] == "hot", "id"])
+    lists = rating_lists(placed).toPandas()
     assert all(len(a) == len(b) for a, b in zip(lists["news_id"], lists["scores"]))
+    assert list(lists.loc[lists["user_id"] == "hot", "news_id"].iloc[0]) == hot_rows["news_id"].tolist()
 
 
-def test_index_sets_in_buckets(hot):
+def test_index_sets(hot):
     pdf, df = hot
-    sets = index_sets(df, "key", "id", chunk_rows=100).toPandas()
-    assert sets["members"].map(len).max() <= 100
+    sets = index_sets(df, "key", "id").toPandas()
     for key in ("hot", "17"):
-        got = sorted(i for part in sets.loc[sets["key"] == key, "members"] for i in part)
-        assert got == sorted(pdf.loc[pdf["key"] == key, "id"])
+        got = sets[sets["key"] == key].sort_values("position")["id"].tolist()
+        assert got == sorted(set(pdf.loc[pdf["key"] == key, "id"]))
 
 
 def test_chunked_timelines_equal_whole_ones(hot):

@@ -2,13 +2,10 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from check_queries import TABLES, difference, open_tables
-from clickmill.functions.text import split_tokens
-from clickmill.operators import popularity
 from clickmill.plans import registry
-from clickmill.plans.fixtures import ROW_TOKENS, Tables
+from clickmill.plans.fixtures import LOG_START
 
 SOURCE = "/root/testdata/sf0.001"
 registry.load_all()
@@ -19,9 +16,13 @@ HOT_KEYS = {
     "lineitem": """SELECT * REPLACE (CASE WHEN l_suppkey % 3 = 0 THEN 11 ELSE l_partkey END AS l_partkey)
       FROM lineitem""",
 }
-HOT_ORDER = {
-    "lineitem": """SELECT * REPLACE (CASE WHEN l_suppkey % 3 = 0 THEN 5 ELSE l_orderkey END AS l_orderkey)
-      FROM lineitem""",
+# A third of the line items in one order of the log, a third in some user's first order.
+HOT_ORDERS = {
+    "lineitem": f"""SELECT * REPLACE (CASE WHEN l_suppkey % 3 = 0
+        THEN (SELECT min(o_orderkey) FROM orders WHERE o_orderdate >= TIMESTAMP '{LOG_START}')
+        WHEN l_suppkey % 3 = 1 THEN (SELECT arg_min(o_orderkey, (o_orderdate, o_orderkey)) FROM orders
+          WHERE o_orderdate < TIMESTAMP '{LOG_START}')
+        ELSE l_orderkey END AS l_orderkey) FROM lineitem""",
 }
 CHECKED = [
     "rsh_1_interactions", "join_1_article_lookup", "agg_1_article_clicks", "agg_2_article_history",
@@ -47,6 +48,11 @@ def hot_dir(tmp_path_factory):
     return tables(tmp_path_factory.mktemp("hot"), HOT_KEYS)
 
 
+@pytest.fixture(scope="module")
+def hot_orders_dir(tmp_path_factory):
+    return tables(tmp_path_factory.mktemp("orders"), HOT_ORDERS)
+
+
 @pytest.fixture
 def no_broadcast(spark):
     """Every join shuffles, as with large tables."""
@@ -64,15 +70,12 @@ def test_hot_user_and_article(spark, hot_dir, no_broadcast, name):
     assert difference(df, con, registry.ORACLES[name]) is None
 
 
-def test_hot_order_is_spread_over_bounded_rows(spark, tmp_path):
-    folder = tables(tmp_path, HOT_ORDER)
-    t = Tables(spark, folder)
-    longest = t.behaviors.agg(F.max(F.size(split_tokens("impressions")))).first()[0]
-    assert longest <= ROW_TOKENS
-    got = {r["news_id"]: r["popularity_impression"] for r in popularity.article_clicks(t.behaviors, t.news).collect()}
-    want = open_tables(folder).execute(
-        """SELECT 'N' || p_partkey, count(o_orderkey) FROM part LEFT JOIN (
-             SELECT l_partkey, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-             WHERE l_returnflag = 'R' AND o_orderdate >= TIMESTAMP '1995-06-01') ON p_partkey = l_partkey
-           GROUP BY p_partkey""").fetchall()
-    assert got == dict(want)
+@pytest.mark.parametrize("name", [
+    "src_1_log_tsv", "flt_3_rows_with_history", "rsh_1_interactions", "agg_2_article_history", "agg_5_counts_per_impression",
+    "win_1_first_history", "agg_8_rating_lists", "fea_2_user_features", "dt_4_hourly_clicks", "dt_3_rows_per_hour_edge",
+])
+def test_hot_orders(spark, hot_orders_dir, name):
+    """A large log order and a large first order: every token of both is there."""
+    con = open_tables(hot_orders_dir)
+    df = registry.QUERIES[name](spark, hot_orders_dir)
+    assert difference(df, con, registry.ORACLES[name]) is None
