@@ -17,40 +17,42 @@ def _digest(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
 
 
-def shuffled_take(df: DataFrame, key: str, n: int, skip: int = 0, seed: int = 42) -> DataFrame:
-    """Rows ``skip`` to ``skip + n`` of a seeded shuffle; keys must be unique.
+def split_counts(df: DataFrame, key: str, train: int, test: int, seed: int = 42) -> DataFrame:
+    """First ``train`` rows of a seeded shuffle and the ``test`` rows after them, tagged in ``part``.
 
-    The shuffle order is that of a hash. Counts per hash prefix tell which two buckets the range
-    starts and ends in; the rows between them are taken as they are and only those two buckets are
-    sorted.
+    The shuffle order is that of a hash; keys must be unique. One pass counts rows per hash prefix,
+    which tells the buckets that the two cuts fall in. Rows of all other buckets are tagged by their
+    prefix alone; only the two cut buckets are sorted.
     """
-    stop = skip + n
     marked = df.withColumn("_d", _digest(F.col(key), seed)).withColumn("_b", F.substring("_d", 1, _PREFIX))
     sizes = marked.groupBy("_b").agg(F.count("*").alias("_n"))
     # A million rows at most, whatever the size of the table.
     before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     spans = sizes.withColumn("_lo", F.coalesce(before, F.lit(0)))
     span = F.struct("_b", "_lo")
-    ends = one_row(
-        spans,
-        F.min(F.when(F.col("_lo") + F.col("_n") > skip, span)).alias("first"),
-        F.max(F.when(F.col("_lo") < stop, span)).alias("last"),
+    cuts = one_row(spans, *[
+        F.min(F.when(F.col("_lo") + F.col("_n") > at, span)).alias(name)
+        for name, at in (("train", train), ("test", train + test))
+    ])
+    bucket, one, two = F.col("_b"), cuts["train"], cuts["test"]
+    at_cut = F.coalesce((bucket == one["_b"]) | (bucket == two["_b"]), bucket == one["_b"], F.lit(False))
+    tag = F.when(one.isNull() | (bucket < one["_b"]), "train").when(
+        two.isNull() | (bucket < two["_b"]), "test"
     )
-    bucket, first, last = F.col("_b"), ends["first"], ends["last"]
-    inside = marked.where((bucket > first["_b"]) & (bucket < last["_b"]))
-    edge = marked.where((bucket == first["_b"]) | (bucket == last["_b"]))
-    start = F.when(bucket == first["_b"], first["_lo"]).otherwise(last["_lo"])
+    inside = marked.where(~at_cut).withColumn("part", tag).where("part is not null")
+    start = F.when(bucket == one["_b"], one["_lo"]).otherwise(two["_lo"])
     place = F.row_number().over(Window.partitionBy("_b").orderBy("_d", key))
-    edge = edge.withColumn("_p", place).withColumn("_p", F.col("_p") + start)
-    edge = edge.where((F.col("_p") > skip) & (F.col("_p") <= stop))
-    return inside.select(*df.columns).unionByName(edge.select(*df.columns))
+    edge = marked.where(at_cut).withColumn("_p", place).withColumn("_p", F.col("_p") + start)
+    edge = edge.where(F.col("_p") <= train + test).withColumn(
+        "part", F.when(F.col("_p") <= train, "train").otherwise("test")
+    )
+    kept = [*df.columns, "part"]
+    return inside.select(*kept).unionByName(edge.select(*kept))
 
 
-def split_counts(df: DataFrame, key: str, train: int, test: int, seed: int = 42) -> DataFrame:
-    """First ``train`` rows of the shuffle and the ``test`` rows after them, tagged in ``part``."""
-    first = shuffled_take(df, key, train, 0, seed).withColumn("part", F.lit("train"))
-    second = shuffled_take(df, key, test, train, seed).withColumn("part", F.lit("test"))
-    return first.unionByName(second)
+def shuffled_take(df: DataFrame, key: str, n: int, skip: int = 0, seed: int = 42) -> DataFrame:
+    """Rows ``skip`` to ``skip + n`` of the same shuffle."""
+    return split_counts(df, key, skip, n, seed).where("part = 'test'").select(*df.columns)
 
 
 def split_share(df: DataFrame, key: str, test_share: float, seed: int = 42) -> DataFrame:

@@ -138,8 +138,7 @@ def _(t):
     f"""SELECT {EVENT_SQL} FROM interactions QUALIFY row_number() OVER (
           ORDER BY impression_id, interaction_type, pos) <= 10000""", "interactions"))
 def _(t):
-    placed = ranking.global_row_number(t.interactions, EVENT_ORDER)
-    return event_columns(placed.where(F.col("row_num") <= 10000))
+    return event_columns(t.interactions.orderBy(*EVENT_ORDER).limit(10_000))
 
 
 @query("flt_3_rows_with_history", sql(
