@@ -1,7 +1,9 @@
 """Wall time of the headline queries; prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local threads. ``BENCH_QUERIES=all`` times
-every registered query.
+every registered query. The line also holds the machine and the time of a fixed calibration job, so
+that runs on different machines can be compared, and ``derive_inputs``, the writing of the click log
+and the interaction table that the queries read.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import time
 from pyspark.sql import SparkSession
 
 from clickmill.plans import registry
+from clickmill.plans.fixtures import Tables
 
 HEADLINE = [
     "rsh_1_interactions", "agg_1_article_clicks", "agg_4_article_table", "agg_4_category_table",
@@ -26,6 +29,12 @@ HEADLINE = [
 ]
 
 
+def timed(work) -> float:
+    start = time.perf_counter()
+    work()
+    return round(time.perf_counter() - start, 3)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -41,18 +50,26 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     registry.load_all()
+    calibration = timed(
+        lambda: spark.range(0, 400_000_000, 1, int(cpus)).selectExpr("sum(xxhash64(id) % 97)").collect()
+    )
+    tables = Tables(spark, sf_dir)
+    derive = timed(lambda: (tables.behaviors, tables.interactions))
     names = list(registry.QUERIES) if os.environ.get("BENCH_QUERIES") == "all" else HEADLINE
-    seconds = {}
+    seconds = {"derive_inputs": derive}
     for name in names:
-        start = time.perf_counter()
-        registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        seconds[name] = timed(
+            lambda: registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        )
     print(json.dumps({
         "metric": "headline_queries_total",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "calibration_sec": calibration,
+        "cpus": int(cpus),
+        "memory_gb": round(os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30),
     }))
     spark.stop()
 

@@ -148,6 +148,20 @@ def _ridge_sql(coo: str, side: str, fixed: str, lam: float) -> str:
       FROM {coo} JOIN {fixed} USING ({other}) GROUP BY {side})"""
 
 
+def fitted_sql(coo: str, lam: float, rounds: int, row_view: str, col_view: str) -> dict[str, str]:
+    """Views u0 and v0 after rounds of two-factor least squares over all ids; unrated ids are zero."""
+    views = start_sql(coo, 2, tag="r0_", row_view=row_view, col_view=col_view)
+
+    def solved(side: str, ids: str, fixed: str) -> str:
+        return (f"SELECT i.{side}, coalesce(f, [0.0, 0.0]::DOUBLE[]) AS f FROM (SELECT DISTINCT {side} FROM ({ids})) i "
+                f"LEFT JOIN ({_ridge_sql(coo, side, fixed, lam)}) s ON i.{side} = s.{side}")
+
+    for n in range(1, rounds + 1):
+        views[f"r{n}_u0"] = solved("row_id", row_view, f"r{n - 1}_v0")
+        views[f"r{n}_v0"] = solved("col_id", col_view, f"r{n}_u0")
+    return {**views, "u0": f"SELECT * FROM r{rounds}_u0", "v0": f"SELECT * FROM r{rounds}_v0"}
+
+
 @query("fac_2_least_squares_round", sql(
     factor_rows_sql("u1", "v1", 2), "coo_item", **start_sql("coo_item", 2),
     u1=_ridge_sql("coo_item", "row_id", "v0", 5.0), v1=_ridge_sql("coo_item", "col_id", "u1", 5.0)))
@@ -193,6 +207,35 @@ def _(t):
     return factor_rows(fit.rows, fit.cols)
 
 
+@query("fac_4_dispatch_item_least_squares", sql(
+    factor_rows_sql("u2", "v2", 2), "coo_item", **start_sql("coo_item", 2),
+    u1=_ridge_sql("coo_item", "row_id", "v0", 1.0), v1=_ridge_sql("coo_item", "col_id", "u1", 1.0),
+    u2=_ridge_sql("coo_item", "row_id", "v1", 1.0), v2=_ridge_sql("coo_item", "col_id", "u2", 1.0)))
+def _(t):
+    coo = item_side(t)
+    ids = ratings.matrix_ids(coo, "row_id"), ratings.matrix_ids(coo, "col_id")
+    fit = fa.factorize(coo, *ids, "als", 2, 1.0, max_iterations=2)
+    return factor_rows(fit.rows, fit.cols)
+
+
+@query("fac_4_dispatch_item_descent", sql(
+    factor_rows_sql("u2", "v2", 2), "coo_item", **step_sql("coo_item", 2, 2)))
+def _(t):
+    coo = item_side(t)
+    ids = ratings.matrix_ids(coo, "row_id"), ratings.matrix_ids(coo, "col_id")
+    fit = fa.factorize(coo, *ids, "gd", 2, LAM, max_iterations=2, rate=RATE)
+    return factor_rows(fit.rows, fit.cols)
+
+
+@query("fac_4_dispatch_user_descent", sql(
+    factor_rows_sql("u2", "v2", 2), "coo_user", **step_sql("coo_user", 2, 2)))
+def _(t):
+    coo = user_side(t)
+    ids = ratings.matrix_ids(coo, "row_id"), ratings.matrix_ids(coo, "col_id")
+    fit = fa.factorize(coo, *ids, "gd", 2, LAM, max_iterations=2, rate=RATE)
+    return factor_rows(fit.rows, fit.cols)
+
+
 @query("fac_5_predicted_ratings", sql(
     """SELECT row_id AS user_id, col_id::BIGINT AS item, round(list_dot_product(u0.f, v0.f), 6) AS predicted
        FROM coo_item JOIN u0 USING (row_id) JOIN v0 USING (col_id)""", "coo_item", **start_sql()))

@@ -1,7 +1,7 @@
 """Neighbours, hybrid recommendations and retrieval.
 
-Factors are the hash-seeded start factors, so that the ranking logic can be checked in SQL without
-an iterative fit; the fits themselves are checked in ``factors``.
+Most queries rank with the hash-seeded start factors, so that the ranking logic can be checked in SQL
+without an iterative fit; ``rec_5_fitted_top_n`` fits first.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..operators import features as fe
 from ..operators import knn, ratings, retrieval
 from ..operators import recommend as rc
-from ..operators.factorize import predicted, start_factors
+from ..operators.factorize import factorize, predicted, start_factors
 from ..session import materialize
 from . import profiles
-from .factors import K, item_side, start, start_sql
+from .factors import K, fitted_sql, item_side, start, start_sql
 from .fixtures import Tables, sql
 from .registry import query
 
@@ -27,9 +27,11 @@ SIMILAR_SQL = {
       FROM cluster_vecs a JOIN cluster_vecs b ON a.item <> b.item
       QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY score, other) <= 4""",
 }
+ALL_IDS = {
+    "row_view": "SELECT user_id AS row_id FROM user_vecs", "col_view": "SELECT item AS col_id FROM cluster_vecs",
+}
 CANDIDATE_SQL = {
-    # Start factors of all users and all clusters, rated or not.
-    **start_sql(row_view="SELECT user_id AS row_id FROM user_vecs", col_view="SELECT item AS col_id FROM cluster_vecs"),
+    **start_sql(**ALL_IDS),  # start factors of all users and all clusters, rated or not
     **SIMILAR_SQL,
     "seen": "SELECT row_id AS user_id, col_id AS item FROM coo_item",
     "best": """SELECT user_id, item, round(list_dot_product(u0.f, v0.f), 9) AS p FROM seen
@@ -76,14 +78,24 @@ REC_SQL = {
 }
 
 
+FIT_LAM, FIT_ROUNDS = 5.0, 2
+FITTED_SQL = {
+    **fitted_sql("coo_item", FIT_LAM, FIT_ROUNDS, **ALL_IDS),
+    **{name: text for name, text in REC_SQL.items() if name not in ("u0", "v0")},
+}
+
+
 def rec_sql(body: str, **extra: str) -> str:
     return sql(body, "coo_item", "user_vecs", "cluster_vecs", "news", "item_clusters", **REC_SQL, **extra)
 
 
 class Inputs:
-    """Feature vectors, seen pairs and factors of the item-cluster side."""
+    """Feature vectors, seen pairs and factors of the item-cluster side.
 
-    def __init__(self, t: Tables):
+    Factors are the start factors, or with ``fitted`` those of a few least-squares rounds from them.
+    """
+
+    def __init__(self, t: Tables, fitted: bool = False):
         cats, subs = profiles.values(t)
         users = fe.user_features(t.interactions, cats, subs)
         items = fe.item_features(profiles.popular(t), cats, subs)
@@ -94,8 +106,14 @@ class Inputs:
         self.items = materialize(fe.aligned(named, ["item"], self.cols), "items")
         self.coo = item_side(t)
         self.seen = ratings.seen_pairs(self.coo)
-        self.rows = start_factors(self.users.select(F.col("user_id").alias("row_id")), "row_id", K)
-        self.col_factors = start_factors(self.items.select(F.col("item").alias("col_id")), "col_id", K)
+        row_ids = self.users.select(F.col("user_id").alias("row_id"))
+        col_ids = self.items.select(F.col("item").alias("col_id"))
+        if fitted:
+            fit = factorize(self.coo, row_ids, col_ids, "als", 2, FIT_LAM, max_iterations=FIT_ROUNDS)
+            self.rows, self.col_factors = fit.rows, fit.cols
+        else:
+            self.rows = start_factors(row_ids, "row_id", K)
+            self.col_factors = start_factors(col_ids, "col_id", K)
 
     def candidates(self) -> DataFrame:
         return rc.all_candidates(
@@ -276,6 +294,14 @@ def _(t):
     return recs_out(Inputs(t).recommend(scales={BOOST: 2.0}))
 
 
+@query("rec_5_fitted_top_n", sql(
+    "SELECT user_id, item::BIGINT AS item, round(score, 6) AS score, rank FROM recs",
+    "coo_item", "user_vecs", "cluster_vecs", **FITTED_SQL))
+def _(t):
+    """Fit, then recommend."""
+    return recs_out(Inputs(t, fitted=True).recommend())
+
+
 STUDY_SQL = {
     "members": """SELECT news_id, cluster FROM item_clusters
       QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY news_id) <= 4""",
