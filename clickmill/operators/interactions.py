@@ -56,7 +56,7 @@ def interaction_events(behaviors: DataFrame, label_mode: str = "label") -> DataF
     """
     if label_mode not in ("label", "zero"):
         raise ValueError(f"unknown label_mode {label_mode!r}")
-    score: Column = F.try_to_number("label", F.lit("9")).cast("int")
+    score: Column = F.col("label").try_cast("int")
     if label_mode == "zero":
         score = F.lit(0)
     keep = ["impression_id", "user_id", "time"]

@@ -51,7 +51,7 @@ def _(t: Tables):
     path = scratch_path(t.spark, "log")
     stamp = F.date_format("time", timebin.RAW_TIME_FORMAT).alias("time")
     raw = t.behaviors.select("impression_id", "user_id", stamp, "history", "impressions")
-    sinks.write_table(raw, path, "tsv")
+    sinks.write_table(raw, path, "log")
     return log_columns(readers.behaviors_tsv(t.spark, path))
 
 

@@ -6,6 +6,8 @@ without an iterative fit; ``rec_5_fitted_top_n`` fits first.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,24 +98,48 @@ class Inputs:
     """
 
     def __init__(self, t: Tables, fitted: bool = False):
-        cats, subs = profiles.values(t)
-        users = fe.user_features(t.interactions, cats, subs)
-        items = fe.item_features(profiles.popular(t), cats, subs)
-        self.cols = fe.common_columns(users, items)
-        self.users = materialize(fe.aligned(users, ["user_id"], self.cols), "users")
-        sums = fe.cluster_sums(items.join(t.item_clusters, "news_id"), self.cols)
-        named = sums.withColumnRenamed("cluster", "item")
-        self.items = materialize(fe.aligned(named, ["item"], self.cols), "items")
-        self.coo = item_side(t)
-        self.seen = ratings.seen_pairs(self.coo)
+        self.t, self.fitted = t, fitted
+
+    @cached_property
+    def cols(self) -> list[str]:
+        cats, subs = profiles.values(self.t)
+        return sorted(fe.prefixed(fe.CAT, cats) + fe.prefixed(fe.SUB, subs))
+
+    @cached_property
+    def users(self) -> DataFrame:
+        users = fe.user_features(self.t.interactions, *profiles.values(self.t))
+        return materialize(fe.aligned(users, ["user_id"], self.cols), "users")
+
+    @cached_property
+    def items(self) -> DataFrame:
+        items = fe.item_features(profiles.popular(self.t), *profiles.values(self.t))
+        sums = fe.cluster_sums(items.join(self.t.item_clusters, "news_id"), self.cols)
+        return materialize(fe.aligned(sums.withColumnRenamed("cluster", "item"), ["item"], self.cols), "items")
+
+    @cached_property
+    def coo(self) -> DataFrame:
+        return item_side(self.t)
+
+    @property
+    def seen(self) -> DataFrame:
+        return ratings.seen_pairs(self.coo)
+
+    @cached_property
+    def _factors(self) -> tuple[DataFrame, DataFrame]:
         row_ids = self.users.select(F.col("user_id").alias("row_id"))
         col_ids = self.items.select(F.col("item").alias("col_id"))
-        if fitted:
+        if self.fitted:
             fit = factorize(self.coo, row_ids, col_ids, "als", 2, FIT_LAM, max_iterations=FIT_ROUNDS)
-            self.rows, self.col_factors = fit.rows, fit.cols
-        else:
-            self.rows = start_factors(row_ids, "row_id", K)
-            self.col_factors = start_factors(col_ids, "col_id", K)
+            return fit.rows, fit.cols
+        return start_factors(row_ids, "row_id", K), start_factors(col_ids, "col_id", K)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._factors[0]
+
+    @property
+    def col_factors(self) -> DataFrame:
+        return self._factors[1]
 
     def candidates(self) -> DataFrame:
         return rc.all_candidates(
@@ -384,11 +410,10 @@ def accuracy(t: Tables) -> DataFrame:
     rows, cols = start(coo)
     liked = t.interactions.where(F.col("score") == 1).groupBy("user_id", "news_id").agg(F.count("*").alias("times"))
     positives = liked.join(t.item_clusters, "news_id").select(
-        F.col("user_id").alias("query_id"), F.col("cluster").alias("candidate_id"),
-        F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one"))
+        F.col("user_id").alias("query_id"), F.col("cluster").alias("candidate_id"), "times")
     measured = retrieval.top_k_accuracy(
         positives, rows.select(F.col("row_id").alias("id"), F.col("factors").alias("vector")),
-        cols.select(F.col("col_id").alias("id"), F.col("factors").alias("vector")), [1, 5, 10])
+        cols.select(F.col("col_id").alias("id"), F.col("factors").alias("vector")), [1, 5, 10], "times")
     return measured.withColumn("accuracy", F.round("accuracy", 6))
 
 
