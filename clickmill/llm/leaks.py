@@ -22,7 +22,7 @@ RECALL = 0.99
 SAMPLED = 3
 AGREEMENT = 0.6
 BLOCK_WORDS = 200_000
-GROUP_WORDS = 1 << 18
+GROUP_WORDS = 1 << 20
 PADDING = -1
 _PUNCTUATION = string.punctuation.encode()
 
@@ -59,17 +59,20 @@ def embed_keys(windows: np.ndarray, tables: int, sampled: int) -> np.ndarray:
     kept = np.sort(rng.random((tables, sampled)) * 2 / 3, axis=1)
     kept = (kept * steps).astype(np.int64)
     padded = np.concatenate([windows, np.full((count, 1), PADDING, windows.dtype)], axis=1)
-    row = np.arange(count)[None, :]
+    symbols = padded.astype(np.int64).view(np.uint64).ravel()
+    row = (np.arange(count) * (length + 1))[None, :]
     at = np.zeros((tables, count), dtype=np.int64)
     keys = np.full((tables, count), length, dtype=np.uint64)
     salt = np.arange(1, tables + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    for step in range(int(kept.max()) + 1):
-        symbol = padded[row, at].astype(np.int64).view(np.uint64)
-        for k in range(sampled):
-            here = kept[:, k] == step
-            if here.any():
-                keys[here] = _mix(keys[here] * np.uint64(0x94D049BB133111EB) + symbol[here])
-        bits = _mix(symbol * np.uint64(0xD6E8FEB86659FD93) + salt + np.uint64(step * 0x632BE5AB))
+    samplers = defaultdict(list)  # tables that keep the symbol of a step
+    for table, of_table in enumerate(kept.tolist()):
+        for step in of_table:
+            samplers[step].append(table)
+    for step in range(max(samplers) + 1):
+        symbol = symbols[row + at]
+        for table in samplers.get(step, ()):
+            keys[table] = _mix(keys[table] * np.uint64(0x94D049BB133111EB) + symbol[table])
+        bits = _mix(symbol * np.uint64(0xD6E8FEB86659FD93) + (salt + np.uint64(step * 0x632BE5AB)))
         at = np.minimum(at + (bits >> np.uint64(63)).astype(np.int64), length)
     return keys
 
@@ -102,12 +105,22 @@ class ItemBlock:
         self.vocab = {w: k for k, w in enumerate(vocab, 1)}
         self.size = len(vocab) + 1
         self.items = [np.array([self.vocab[w] for w in item]) for item in self.words]
-        pairs = [i[:-1] * self.size + i[1:] for i in self.items]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         by_length = defaultdict(list)
         for k, item in enumerate(self.items):
             by_length[len(item)].append(k)
         self.lengths = sorted(by_length)
+        # The pairs of adjacent words of the items of each length, all in one sorted table.
+        codes = [
+            np.unique(np.concatenate([
+                self.items[k][:-1] * self.size + self.items[k][1:] for k in by_length[n]
+            ])) for n in self.lengths
+        ]
+        code = np.concatenate([np.zeros(0, np.int64), *codes])
+        place = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        order = np.argsort(code, kind="stable")
+        self.pairs, first = np.unique(code[order], return_index=True)
+        self.pair_places = place[order]
+        self.pair_edges = np.append(first, len(code))
         self.index: dict[int, list[dict[int, list[int]]]] = {}
         for length, members in by_length.items():
             keys = embed_keys(np.stack([self.items[k] for k in members]), self.tables, self.sampled)
@@ -130,54 +143,60 @@ class ItemBlock:
             flat += words
             flat += [None] * gap
         stream = np.fromiter(map(self.vocab.get, flat, repeat(0)), np.int64, len(flat))
-        known = (stream[:-1] > 0) & (stream[1:] > 0)
-        hit = np.zeros(len(stream), dtype=np.int64)
-        where = np.flatnonzero(known)
+        where = np.flatnonzero((stream[:-1] > 0) & (stream[1:] > 0))
         codes = stream[where] * self.size + stream[where + 1]
         at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
-        hit[where[self.pairs[at] == codes]] = 1
-        found = []
-        total = np.concatenate([[0], np.cumsum(hit)])
-        dense = self._dense(total)
-        if not dense.any():
-            return found
-        origin = np.array(starts)
-        for length in self.lengths:
-            found += self._of_length(length, stream, total, ids, origin)
+        hit = self.pairs[at] == codes
+        where, at = where[hit], at[hit]
+        # One entry for each length that has an item with the pair, by length and position.
+        sizes = self.pair_edges[at + 1] - self.pair_edges[at]
+        begin = np.repeat(self.pair_edges[at] - (np.cumsum(sizes) - sizes), sizes)
+        place = self.pair_places[begin + np.arange(len(begin))]
+        position = np.repeat(where, sizes)
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], np.arange(len(self.lengths) + 1))
+        origin, found = np.array(starts), []
+        for k, length in enumerate(self.lengths):
+            own = position[order[edges[k]:edges[k + 1]]]
+            found += self._of_length(length, stream, own, ids, origin)
         return found
 
-    def _dense(self, total: np.ndarray) -> np.ndarray:
-        """Whether any short stretch has as many item pairs as the edit limit asks for."""
-        short = max(1, min(8, self.lengths[0] - 1))
-        need = min(
-            math.ceil(short * max(0, n - 1 - 2 * self.edits(n)) / (n - 1 + self.edits(n))) - 1
-            if self.edits(n) else short
-            for n in self.lengths
-        )
-        return total[short:] - total[:-short] >= max(1, need)
-
-    def _of_length(self, length, stream, total, ids, origin) -> list[tuple]:
+    def _of_length(self, length, stream, hits, ids, origin) -> list[tuple]:
+        """Finds of the items of one length, around the positions ``hits`` of their pairs."""
         edits = self.edits(length)
-        last = len(stream) - length + 1
-        if last <= 0:
-            return []
         # An edit takes at most two of the item's pairs of adjacent words.
-        begin = np.arange(last)
-        end = np.minimum(begin + length - 1 + edits, len(stream))
-        begin = begin[total[end] - total[begin] >= length - 1 - 2 * edits]
+        need = max(1, length - 1 - 2 * edits)
+        span = length - 1 + edits
+        if len(hits) < need:
+            return []
+        first, last = hits[: len(hits) - need + 1], hits[need - 1:]
+        close = last - first < span
+        low = np.maximum(last[close] - span + 1, 0)
+        high = np.minimum(first[close], len(stream) - length)
+        if not len(low):
+            return []
+        sizes = np.maximum(high - low + 1, 0)
+        begin = np.unique(np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()))
         if not len(begin):
             return []
         windows = stream[begin[:, None] + np.arange(length)[None, :]]
         keys = embed_keys(windows, self.tables, self.sampled)
         candidates = set()
-        for t, table in enumerate(self.index[length]):
-            for pos, key in zip(begin.tolist(), keys[t].tolist()):
+        for table, own in zip(self.index[length], keys.tolist()):
+            for pos, key in zip(begin.tolist(), own):
                 for item in table.get(key, ()):
-                    candidates.add((pos, item))
+                    candidates.add((item, pos))
+        # Starts of one item within an alignment of each other are checked as one region.
+        regions: list[list[int]] = []
+        for item, pos in sorted(candidates):
+            if regions and regions[-1][0] == item and pos - regions[-1][2] <= 2 * edits + 1:
+                regions[-1][2] = pos
+            else:
+                regions.append([item, pos, pos])
         out = []
-        for pos, item in sorted(candidates):
-            low = max(0, pos - edits)
-            region = stream[low:pos + length + edits]
+        for item, low, high in regions:
+            low = max(0, low - edits)
+            region = stream[low:high + length + edits]
             distance, stop = edit_distance_within(self.items[item], region)
             if distance <= edits:
                 # Read backwards from its end, the nearest stretch ends where it starts.
@@ -257,8 +276,8 @@ def find_leaks(
     ``n_words`` give the nearest stretch, the first of equals.
 
     Every position of every text is the start of a window as long as each item. A window that
-    holds enough of the items' pairs of adjacent words (an edit takes two at most, so none is lost)
-    is embedded by the CGK walk; tables of sampled symbols propose items, enough of them for the
+    holds enough pairs of adjacent words of the items of its length (an edit takes two at most, so
+    none is lost) is embedded by the CGK walk; tables of sampled symbols propose items, enough of them for the
     target ``recall``, and the exact edit distance decides.
 
     Items travel to the tasks in blocks of at most about ``block_words`` words, one pass over the
