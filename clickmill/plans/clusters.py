@@ -16,7 +16,7 @@ from ..session import materialize, scratch_path
 from . import profiles
 from .fixtures import Tables, sql, sql_hash_uniform
 from .registry import query
-from .texts import tfidf
+from .texts import _STOPS, tfidf
 
 TEXT_DIM = 16
 
@@ -25,8 +25,8 @@ def vectors(t: Tables) -> DataFrame:
     return t.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>"))
 
 
-def article_vectors(t: Tables, metric: str = "hellinger") -> DataFrame:
-    """Dense text vectors (news_id, embedding) of the catalogue.
+def article_vectors(t: Tables, metric: str = "hellinger", weights: str = "tfidf") -> DataFrame:
+    """Dense text vectors (news_id, embedding) of the catalogue, from counts or TF-IDF.
 
     The metric's transform comes first, on the sparse weights, none of which is negative; the signed
     projection keeps the distances that it sets.
@@ -34,8 +34,10 @@ def article_vectors(t: Tables, metric: str = "hellinger") -> DataFrame:
     from ..functions.text import joined_text
 
     bow = materialize(textvec.bag_of_words(t.news, "news_id", joined_text(["abstract", "title"])), "bow")
-    weights = textvec.metric_scaled(textvec.tf_idf(bow, "news_id", t.news), "news_id", metric)
-    return materialize(textvec.random_projection(weights, "news_id", TEXT_DIM), "text")
+    rows = textvec.tf_idf(bow, "news_id", t.news) if weights == "tfidf" else bow.withColumn(
+        "weight", F.col("tf").cast("double"))
+    rows = textvec.metric_scaled(rows.select("news_id", "token", "weight"), "news_id", metric)
+    return materialize(textvec.random_projection(rows, "news_id", TEXT_DIM), "text")
 
 
 def user_vectors(t: Tables) -> DataFrame:
@@ -90,21 +92,49 @@ def _(t):
     return reduced(flat, "doc_id", "embedding", 2, "cosine")
 
 
-def lloyd_sql(source: str, key: str, k: int, rounds: int, seed: int = cluster.SEED) -> dict[str, str]:
-    """Views of ``cluster.lloyd_labels`` over ``source`` (key, v): labels are in a{rounds}."""
-    views = {"c0": f"""SELECT row_number() OVER (ORDER BY {sql_hash_uniform(key, str(seed))}, {key}) - 1 AS cluster, v
+def lloyd_sql(
+    source: str, key: str, k: int, rounds: int, seed: int = cluster.SEED, tag: str = ""
+) -> dict[str, str]:
+    """Views of ``cluster.lloyd_labels`` over ``source`` (key, v): labels are in {tag}a{rounds}."""
+    views = {f"{tag}c0": f"""SELECT row_number() OVER (ORDER BY {sql_hash_uniform(key, str(seed))}, {key}) - 1 AS cluster, v
       FROM {source} QUALIFY cluster < {k}"""}
     for i in range(rounds + 1):
-        views[f"a{i}"] = f"""SELECT {key}, p.v, cluster FROM {source} p CROSS JOIN c{i} c
+        views[f"{tag}a{i}"] = f"""SELECT {key}, p.v, cluster FROM {source} p CROSS JOIN {tag}c{i} c
           QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(list_distance(p.v, c.v), 9), cluster) = 1"""
-        views[f"m{i}"] = f"""SELECT cluster, list(x ORDER BY place) AS v FROM (
+        views[f"{tag}m{i}"] = f"""SELECT cluster, list(x ORDER BY place) AS v FROM (
             SELECT cluster, place, avg(x) AS x FROM (
-              SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i})
+              SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM {tag}a{i})
             GROUP BY cluster, place) GROUP BY cluster"""
-        views[f"c{i + 1}"] = f"SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cluster)"
+        views[f"{tag}c{i + 1}"] = (
+            f"SELECT c.cluster, coalesce(m.v, c.v) AS v FROM {tag}c{i} c LEFT JOIN {tag}m{i} m USING (cluster)")
     return views
 
 
+WORDS_SQL = {
+    "bow": f"""SELECT news_id, token, count(*)::DOUBLE AS tf FROM (
+        SELECT news_id, unnest(regexp_extract_all(lower(coalesce(abstract, ' . ') || title),
+          '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS token FROM news) WHERE token NOT IN ({_STOPS}) GROUP BY ALL""",
+    "freq": "SELECT token, count(*) AS df FROM bow GROUP BY token",
+    "signs": "SELECT token, [" + ", ".join(
+        f"CASE WHEN {sql_hash_uniform('token', str(d), '42')} < 0.5 THEN -1.0 ELSE 1.0 END" for d in range(TEXT_DIM)
+    ) + "] AS g FROM freq",
+    "counts": "SELECT news_id, token, tf AS w FROM bow",
+    "tfidf": """SELECT news_id, token, tf * (ln((1.0 + (SELECT count(*) FROM news)) / (1.0 + df)) + 1) AS w
+      FROM bow JOIN freq USING (token)""",
+}
+
+
+def text_vectors_sql(weights: str, metric: str, tag: str) -> dict[str, str]:
+    """View {tag}v (news_id, v) of ``article_vectors``."""
+    per = "OVER (PARTITION BY news_id)"
+    scaled = f"w / sqrt(sum(w * w) {per})" if metric == "cosine" else f"sqrt(w / sum(w) {per})"
+    cells = ", ".join(f"sum(x * g[{d + 1}]) * {1.0 / TEXT_DIM ** 0.5!r}" for d in range(TEXT_DIM))
+    return {
+        f"{tag}x": f"SELECT news_id, token, {scaled} AS x FROM {weights}",
+        f"{tag}v": f"SELECT news_id, [{cells}] AS v FROM {tag}x JOIN signs USING (token) GROUP BY news_id",
+    }
+
+
 ROUNDS = 3
 
 
@@ -155,7 +185,19 @@ def _(t):
     return cluster.density_labels(flat, "vec_id", 2, 0.15, 5, 20)
 
 
-@query("clu_3_item_clusters")
+TEXT_K = 10
+
+
+@query("clu_3_item_clusters", sql(
+    f"SELECT news_id, title, cluster FROM a{ROUNDS} JOIN news USING (news_id)", "news", **WORDS_SQL,
+    **text_vectors_sql("tfidf", "hellinger", "t_"), **lloyd_sql("t_v", "news_id", TEXT_K, ROUNDS)))
+def _(t):
+    """Articles by text: TF-IDF, Hellinger geometry, projection, labels, attached by id."""
+    labels = cluster.lloyd_labels(article_vectors(t), "news_id", "embedding", TEXT_K, ROUNDS)
+    return cluster.attach_labels(t.news.select("news_id", "title"), labels, "news_id")
+
+
+@query("clu_3_item_clusters_of_components")
 def _(t):
     cats, subs = profiles.values(t)
     items = fe.item_features(profiles.popular(t), cats, subs)
@@ -187,6 +229,33 @@ def _(t):
     return cluster.user_clusters(user_vectors(t), "features", 50).select("user_id", "cluster")
 
 
+SWEEP = [(w, m, k) for w in ("counts", "tfidf") for m in ("cosine", "hellinger") for k in (5, 10)]
+
+
+def _sweep_sql() -> str:
+    views, parts = dict(WORDS_SQL), []
+    for n, (weights, metric, k) in enumerate(SWEEP):
+        views |= text_vectors_sql(weights, metric, f"t{n}_")
+        views |= lloyd_sql(f"t{n}_v", "news_id", k, 1, tag=f"l{n}_")
+        parts.append(f"""SELECT '{weights}' AS vectors, '{metric}' AS metric, {k}::BIGINT AS k, news_id, cluster
+          FROM l{n}_a1""")
+    return sql(" UNION ALL ".join(parts), "news", **views)
+
+
+@query("clu_5_item_label_sweep", _sweep_sql())
+def _(t):
+    """Labels of every parameter set: both vectorisations, both metrics, several k."""
+    out, built = None, {}
+    for weights, metric, k in SWEEP:
+        if (weights, metric) not in built:
+            built[weights, metric] = article_vectors(t, metric, weights)
+        labels = cluster.lloyd_labels(built[weights, metric], "news_id", "embedding", k, 1).select(
+            F.lit(weights).alias("vectors"), F.lit(metric).alias("metric"),
+            F.lit(k).cast("bigint").alias("k"), "news_id", "cluster")
+        out = labels if out is None else out.unionByName(labels)
+    return out
+
+
 @query("clu_5_item_sweep")
 def _(t):
     sets = {m: article_vectors(t, m).withColumnRenamed("news_id", "id") for m in ("cosine", "hellinger")}
