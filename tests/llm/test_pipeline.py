@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import zlib
+from collections import defaultdict
+
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
 
-from .helpers import documents, edge_rows, prose, split_words
+from .helpers import BLANKS, documents, edge_rows, lower_ascii, prose, split_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,7 +68,100 @@ def test_edge_rows_pass_through(spark, tmp_path):
         assert n >= 0
 
 
-def test_whole_run(spark):
-    out = p.run(spark, SF)
-    assert out.where("length > 2048 or length < 1").count() == 0
-    assert out.select("doc_id").distinct().count() > 100
+def _quality(rows: list) -> list:
+    """Rows that the quality stage keeps, by the rules in plain Python."""
+    holders = defaultdict(set)
+    hosts = defaultdict(set)
+    for r in rows:
+        hosts[r.source].add(r.text)
+    for host, texts in hosts.items():
+        for t in texts:
+            for line in t.split("\n"):
+                if line.strip(BLANKS):
+                    holders[host, lower_ascii(line.strip(BLANKS))].add(t)
+
+    def mark(t):
+        return int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+
+    owner = {
+        key: min(texts, key=mark) for key, texts in holders.items()
+        if len(texts) >= 10 and len(texts) >= 0.01 * len(hosts[key[0]])
+    }
+    kept = []
+    for r in rows:
+        words = split_words(r.text)
+        windows = defaultdict(list)
+        for i in range(len(words) - 7):
+            windows[tuple(words[i:i + 8])].append(i)
+        repeated = {p for at in windows.values() if len(at) > 1 for i in at for p in range(i, i + 8)}
+        lost = sum(
+            len(split_words(line)) for line in r.text.split("\n")
+            if owner.get((r.source, lower_ascii(line.strip(BLANKS))), r.text) != r.text
+        )
+        if len(words) >= 20 and 100 * len(repeated) <= 30 * len(words) and len(words) - lost >= 20:
+            kept.append(r)
+    return kept
+
+
+def _line_dedup(texts: dict) -> dict:
+    seen = defaultdict(set)
+    for k, t in texts.items():
+        for line in t.split("\n"):
+            seen[lower_ascii(line.strip(BLANKS))].add(k)
+    gone = {key: max(ids) for key, ids in seen.items() if len(key) >= 40 and len(ids) >= 5}
+    return {
+        k: "\n".join(
+            line for line in t.split("\n") if gone.get(lower_ascii(line.strip(BLANKS)), k) == k
+        ) for k, t in texts.items()
+    }
+
+
+def _near_dedup(texts: dict) -> dict:
+    sets = {}
+    for k, t in texts.items():
+        w = split_words(lower_ascii(t))
+        sets[k] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in itertools.combinations(sorted(texts), 2):
+        both = len(sets[x] & sets[y])
+        if both and 100 * both >= 80 * len(sets[x] | sets[y]):
+            i, j = find(x), find(y)
+            root[max(i, j)] = min(i, j)
+    return {k: t for k, t in texts.items() if find(k) == k}
+
+
+def _clean(texts: dict, items: list) -> dict:
+    def norm(t):
+        return " " + " ".join(split_words("".join(c for c in lower_ascii(t) if c.isalnum() or c in " \n"))) + " "
+
+    needles = [norm(i) for i in items]
+    return {k: t for k, t in texts.items() if not any(n in norm(t) for n in needles)}
+
+
+def test_whole_run_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text for r in _quality(rows)}
+    texts = _clean(_near_dedup(_line_dedup(texts)), items)
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {k: [*tok.encode(t, add_special_tokens=False).ids, 1] for k, t in texts.items()}
+    got, filled = defaultdict(list), defaultdict(list)
+    for r in p.run(spark, SF).collect():
+        got[r.doc_id].append(r)
+        filled[r.sequence_id].append(r)
+    assert set(got) == set(want)
+    for k, ids in want.items():
+        at = 0
+        for r in sorted(got[k], key=lambda r: r.start):
+            part = np.array(ids[at:at + r.length], "<u4").tobytes()
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(part))
+            at += r.length
+        assert at == len(ids)
+    for parts in filled.values():
+        assert sum(r.length for r in parts) <= 2048
