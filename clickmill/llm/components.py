@@ -54,9 +54,11 @@ def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFr
     ordered = edges.where("u <> r").select(
         F.greatest("u", "r").alias("u"), F.least("u", "r").alias("r")
     )
-    current = materialize(ordered.distinct(), "edges")
+    current = materialize(ordered, "edges")
     while True:
-        tasks = max(1, -(-current.count() // edges_per_task))
+        tasks = -(-current.count() // edges_per_task)
+        if tasks <= 1:  # one task has every edge that is left, so its stars are the components
+            return materialize(current.coalesce(1).mapInArrow(_contract, _STAR_SQL), "stars")
         stars = current.repartition(tasks, "u").mapInArrow(_contract, _STAR_SQL)
         stars = materialize(stars.distinct(), "stars")
         up = stars.groupBy("u").agg(F.min("r").alias("above"))

@@ -174,7 +174,7 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _scan(rows: DataFrame, prefix: int, reach: int, listing: bool) -> tuple[DataFrame, DataFrame]:
-    """(scan output, distinct pairs a < b) of (tree, key, node, root) rows in sorted order."""
+    """(listed rows, pairs) of (tree, key, node, root) rows in sorted order."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "key", "node"]
     found = materialize(
@@ -182,17 +182,22 @@ def _scan(rows: DataFrame, prefix: int, reach: int, listing: bool) -> tuple[Data
         .sortWithinPartitions(*order)
         .mapInArrow(_neighbours(prefix, reach, listing), _SCAN_SQL), "forest",
     )
-    # The seam between two tasks: the last row of one and the first of the next.
-    ends = found.where("kind = 'last'").select(
-        (F.col("part") + 1).alias("part"), F.col("tree").alias("t"), F.col("key").alias("k"),
-        F.col("a").alias("x"), F.col("b").alias("rx"),
-    )
-    seam = ends.join(found.where("kind = 'first'"), "part").where(
-        (F.col("t") == F.col("tree")) & (F.col("rx") != F.col("b"))
-        & (F.substring("k", 1, prefix) == F.substring("key", 1, prefix))
-    ).select("tree", F.col("x").alias("a"), F.col("a").alias("b"))
-    pairs = found.where("kind = 'pair'").select("tree", "a", "b").unionByName(seam)
-    return found, pairs
+    listed = found.where("kind = 'row'").select("tree", "key", F.col("a").alias("node"))
+    pairs = found.where("kind = 'pair'").select("tree", "a", "b")
+    # The seams between tasks: two rows per task, whatever the number of documents.
+    ends = found.where("kind in ('first', 'last')").drop("kind").collect()
+    ends.sort(key=lambda r: (r["part"], r["tree"], bytes(r["key"]), r["a"]))
+    met = [
+        (x, y) for x, y in zip(ends, ends[1:])
+        if x["part"] != y["part"] and x["tree"] == y["tree"] and x["key"][:prefix] == y["key"][:prefix]
+    ]
+    if met:
+        spark = rows.sparkSession
+        across = [(x["tree"], x["a"], y["a"]) for x, y in met if x["b"] != y["b"]]
+        pairs = pairs.unionByName(spark.createDataFrame(across, "tree int, a long, b long"))
+        edge = [(r["tree"], bytes(r["key"]), r["a"]) for pair in met for r in pair]
+        listed = listed.unionByName(spark.createDataFrame(edge, "tree int, key binary, node long"))
+    return listed, pairs
 
 
 def _agree(percent: int):
@@ -289,20 +294,17 @@ def near_duplicates(
         F.col("signature").substr(F.col("tree") * width + 1, F.lit(width)).alias("key"),
         "node", F.col("node").alias("root"),
     )
-    found, pairs = _scan(rows, prefix, 0, True)
-    listed = found.where("kind in ('row', 'first', 'last')")
-    active = materialize(
-        listed.select("tree", "key", F.col("a").alias("node")).distinct(), "active"
-    )
+    active, pairs = _scan(rows, prefix, 0, True)
     sets = _candidate_sets(base, classes, active, words)
     pairs = pairs.where(F.col("tree") < first_trees)
     tried = stars = None
     while True:
         wanted = pairs.select(
-            F.greatest("a", "b").alias("u"), F.least("a", "b").alias("r")
-        ).distinct()
+            F.greatest("a", "b").alias("u"), F.least("a", "b").alias("r"), F.lit(0).alias("seen")
+        )
         if tried is not None:
-            wanted = wanted.join(tried, ["u", "r"], "left_anti")
+            wanted = wanted.unionByName(tried.withColumn("seen", F.lit(1)))
+        wanted = wanted.groupBy("u", "r").agg(F.max("seen").alias("seen")).where("seen = 0")
         judged = materialize(
             wanted.join(sets.select(F.col("node").alias("u"), F.col("blob").alias("x")), "u")
             .join(sets.select(F.col("node").alias("r"), F.col("blob").alias("y")), "r")
@@ -329,12 +331,10 @@ def _candidate_sets(
     base: DataFrame, classes: DataFrame, active: DataFrame, words: int
 ) -> DataFrame:
     """(node, blob): the full sets of the classes that have a candidate, from one text each."""
-    needed = classes.join(active.select("node").distinct(), "node").select(
-        "node", F.col("low").alias("holder")
-    )
+    needed = classes.join(active, "node", "left_semi").select("node", F.col("low").alias("holder"))
     texts = base.join(needed, F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text")
-    blobs = texts.mapInArrow(_set_blobs(words), "node long, blob binary")
-    return materialize(blobs.dropDuplicates(["node"]), "sets")
+    # Rows that share an id and a set give a node twice, which only repeats its pairs.
+    return materialize(texts.mapInArrow(_set_blobs(words), "node long, blob binary"), "sets")
 
 
 def _labelled(sketches: DataFrame, classes: DataFrame, stars: DataFrame) -> DataFrame:
@@ -342,7 +342,9 @@ def _labelled(sketches: DataFrame, classes: DataFrame, stars: DataFrame) -> Data
     rooted = classes.select("node", "low").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
     )
+    # Stored, so that the join below can split the root of a very large component.
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = materialize(lowest, "components")
     labels = rooted.join(lowest, "root").select("node", "component_id")
     named = sketches.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
