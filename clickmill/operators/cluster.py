@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import euclidean, hash_uniform
+from ..functions.vectors import hash_uniform
 from ..session import materialize
 from .ranking import global_row_number
 from .reduce import mean_imputed, reduced
 
 SEED = 42
+LABEL_ROWS = 512  # rows per block of distances
 
 
 def kmeans_labels(embeddings: DataFrame, key: str, k: int = 10, seed: int = SEED) -> DataFrame:
@@ -44,22 +47,29 @@ def lloyd_labels(
         return rows.select(key, F.lit(None).cast("bigint").alias("cluster"))
     width = len(centres[0])
     for _ in range(rounds):
-        labelled = rows.withColumn("cluster", _nearest_centre(F.col("_v"), centres))
-        means = labelled.groupBy("cluster").agg(
+        means = _labelled(rows, key, centres).groupBy("cluster").agg(
             *[F.avg(F.element_at("_v", i + 1)).alias(f"m{i}") for i in range(width)]
         )
         for row in means.collect():
             centres[row["cluster"]] = [row[f"m{i}"] for i in range(width)]
-    return rows.select(key, _nearest_centre(F.col("_v"), centres).alias("cluster"))
+    return _labelled(rows, key, centres).select(key, "cluster")
 
 
-def _nearest_centre(v: Column, centres: list[list[float]]) -> Column:
-    """Number of the nearest centre; a struct minimum breaks ties by number."""
-    table = F.lit(centres) if len(centres) else F.array()
-    scored = F.transform(
-        table, lambda c, i: F.struct(F.round(euclidean(v, c), 9).alias("d"), i.alias("i"))
-    )
-    return F.array_min(scored)["i"].cast("bigint")
+def _labelled(rows: DataFrame, key: str, centres: list[list[float]]) -> DataFrame:
+    """(key, _v, cluster): number of the nearest centre, the lowest of equals."""
+    table = np.array(centres)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for k in range(0, len(batch), LABEL_ROWS):
+                block = np.stack(batch["_v"].iloc[k:k + LABEL_ROWS].to_list())
+                gaps = block[:, None, :] - table[None, :, :]
+                found.append(np.round(np.sqrt((gaps * gaps).sum(axis=2)), 9).argmin(axis=1))
+            yield batch.assign(cluster=np.concatenate([np.zeros(0, np.int64), *found]))
+
+    return rows.mapInPandas(label, f"{key} {kind}, _v array<double>, cluster bigint")
 
 
 def _min_label_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200) -> DataFrame:
