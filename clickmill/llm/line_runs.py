@@ -95,7 +95,7 @@ class LineRuns:
         if not names:
             return None
         one = names[0] if len(names) == 1 else self._merge(names)
-        self.levels = [[]] * 0 + [[] for _ in self.levels[:-1]] + [[one]]
+        self.levels = [*([] for _ in self.levels[1:]), [one]]
         return self.spark.table(one)
 
 
