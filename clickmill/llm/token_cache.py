@@ -95,6 +95,8 @@ def count_tokens(
     fresh = texts.mapInArrow(encode, "digest binary, n_tokens long")
     cache.append(fresh.withColumn("version", F.lit(version)))
     n = F.col("n_tokens")
-    return known.join(cache.counts(version), "digest").select(
+    # Stored, so that the join can split the digest of a text with very many copies.
+    counts = materialize(cache.counts(version), "counts")
+    return known.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (n > limit).alias("over_limit")
     )
