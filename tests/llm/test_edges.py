@@ -241,6 +241,23 @@ def test_near_duplicate_groups(spark):
     assert {i: r.component_id for i, r in got.items()} == {i: find(i) for i in sets}
 
 
+def test_near_duplicates_among_a_template(spark):
+    """Pairs within the limit among many documents of one template that lie just under it."""
+    template = prose(5, 200)
+    tails = [[f"own{k}w{j}" for j in range(21)] for k in range(600)]
+    for k in range(0, 120, 2):  # planted pairs
+        tails[k + 1][:8] = tails[k][:8]
+    rows = [(k, template + " " + " ".join(t), "s") for k, t in enumerate(tails)]
+    sets = [{tuple(w[j:j + 3]) for j in range(len(w) - 2)} for _, t, _ in rows for w in [split_words(t)]]
+    linked = [
+        (a, b) for a in range(600) for b in range(a + 1, 600)
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    ]
+    assert linked == [(k, k + 1) for k in range(0, 120, 2)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, rows), words=3, similarity=85).collect()}
+    assert got == {k: k - 1 if k < 120 and k % 2 else k for k in range(600)}
+
+
 def test_components_in_many_tasks(spark):
     from clickmill.llm.components import components
 
