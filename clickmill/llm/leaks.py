@@ -21,6 +21,7 @@ MIN_ITEM_WORDS = 5
 RECALL = 0.99
 SAMPLED = 3
 AGREEMENT = 0.6
+PIECE_WORDS = 40
 BLOCK_WORDS = 200_000
 GROUP_WORDS = 1 << 20
 PADDING = -1
@@ -90,9 +91,20 @@ def edit_distance_within(item: np.ndarray, region: np.ndarray) -> tuple[int, int
     return int(row[end]), end
 
 
+def piece_edges(length: int, longest: int) -> list[int]:
+    """Edges of the fewest even pieces of at most ``longest`` words that make up an item."""
+    count = -(-length // longest)
+    return [k * length // count for k in range(count + 1)]
+
+
 @dataclass
 class ItemBlock:
-    """A bounded number of items with everything a task needs to find them."""
+    """A bounded number of items with everything a task needs to find them.
+
+    Walks of long items that are edited all along do not meet again, so longer items are cut into
+    pieces. If an item is within its edit share, at least one of its pieces is within the same share
+    of its own words; so pieces propose items, and whole items are checked.
+    """
 
     ids: list
     words: list[list[bytes]]
@@ -105,14 +117,18 @@ class ItemBlock:
         self.vocab = {w: k for k, w in enumerate(vocab, 1)}
         self.size = len(vocab) + 1
         self.items = [np.array([self.vocab[w] for w in item]) for item in self.words]
+        self.pieces = [
+            (k, low, item[low:high]) for k, item in enumerate(self.items)
+            for edges in [piece_edges(len(item), PIECE_WORDS)] for low, high in zip(edges, edges[1:])
+        ]
         by_length = defaultdict(list)
-        for k, item in enumerate(self.items):
-            by_length[len(item)].append(k)
+        for n, (_, _, piece) in enumerate(self.pieces):
+            by_length[len(piece)].append(n)
         self.lengths = sorted(by_length)
-        # The pairs of adjacent words of the items of each length, all in one sorted table.
+        # The pairs of adjacent words of the pieces of each length, all in one sorted table.
         codes = [
             np.unique(np.concatenate([
-                self.items[k][:-1] * self.size + self.items[k][1:] for k in by_length[n]
+                self.pieces[k][2][:-1] * self.size + self.pieces[k][2][1:] for k in by_length[n]
             ])) for n in self.lengths
         ]
         code = np.concatenate([np.zeros(0, np.int64), *codes])
@@ -123,7 +139,7 @@ class ItemBlock:
         self.pair_edges = np.append(first, len(code))
         self.index: dict[int, list[dict[int, list[int]]]] = {}
         for length, members in by_length.items():
-            keys = embed_keys(np.stack([self.items[k] for k in members]), self.tables, self.sampled)
+            keys = embed_keys(np.stack([self.pieces[k][2] for k in members]), self.tables, self.sampled)
             tables = [defaultdict(list) for _ in range(self.tables)]
             for t in range(self.tables):
                 for key, k in zip(keys[t].tolist(), members):
@@ -135,7 +151,7 @@ class ItemBlock:
 
     def find(self, ids: list, texts: list[list[bytes]]) -> list[tuple]:
         """(doc_id, item_id, start, n_words, distance) in a group of documents."""
-        gap = self.edits(self.lengths[-1]) + 1 if self.lengths else 1
+        gap = self.edits(max(map(len, self.items), default=0)) + 1
         flat: list = []
         starts = []
         for words in texts:
@@ -148,64 +164,76 @@ class ItemBlock:
         at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
         hit = self.pairs[at] == codes
         where, at = where[hit], at[hit]
-        # One entry for each length that has an item with the pair, by length and position.
+        # One entry for each length that has a piece with the pair, by length and position.
         sizes = self.pair_edges[at + 1] - self.pair_edges[at]
         begin = np.repeat(self.pair_edges[at] - (np.cumsum(sizes) - sizes), sizes)
         place = self.pair_places[begin + np.arange(len(begin))]
         position = np.repeat(where, sizes)
         order = np.argsort(place, kind="stable")
         edges = np.searchsorted(place[order], np.arange(len(self.lengths) + 1))
-        origin, found = np.array(starts), []
+        candidates: set[tuple[int, int]] = set()
         for k, length in enumerate(self.lengths):
             own = position[order[edges[k]:edges[k + 1]]]
-            found += self._of_length(length, stream, own, ids, origin)
-        return found
-
-    def _of_length(self, length, stream, hits, ids, origin) -> list[tuple]:
-        """Finds of the items of one length, around the positions ``hits`` of their pairs."""
-        edits = self.edits(length)
-        # An edit takes at most two of the item's pairs of adjacent words.
+            candidates |= self._of_length(length, stream, own)
+        return self._checked(candidates, stream, ids, np.array(starts))
+
+    def _of_length(self, length, stream, hits) -> set[tuple[int, int]]:
+        """(item, its start) proposed by the pieces of one length, around their pairs ``hits``."""
+        # The share of a piece may be a whole number that the float falls short of.
+        edits = int(length * self.edit_share + 1e-9)
+        # An edit takes at most two of the piece's pairs of adjacent words.
         need = max(1, length - 1 - 2 * edits)
         span = length - 1 + edits
         if len(hits) < need:
-            return []
+            return set()
         first, last = hits[: len(hits) - need + 1], hits[need - 1:]
         close = last - first < span
         low = np.maximum(last[close] - span + 1, 0)
         high = np.minimum(first[close], len(stream) - length)
         if not len(low):
-            return []
+            return set()
         sizes = np.maximum(high - low + 1, 0)
         begin = np.unique(np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()))
         if not len(begin):
-            return []
+            return set()
         windows = stream[begin[:, None] + np.arange(length)[None, :]]
         keys = embed_keys(windows, self.tables, self.sampled)
         candidates = set()
         for table, own in zip(self.index[length], keys.tolist()):
             for pos, key in zip(begin.tolist(), own):
-                for item in table.get(key, ()):
-                    candidates.add((item, pos))
+                for piece in table.get(key, ()):
+                    item, offset, _ = self.pieces[piece]
+                    candidates.add((item, pos - offset))
+        return candidates
+
+    def _checked(self, candidates, stream, ids, origin) -> list[tuple]:
+        """Finds by exact edit distance around the proposed starts of items."""
         # Starts of one item within an alignment of each other are checked as one region.
         regions: list[list[int]] = []
         for item, pos in sorted(candidates):
-            if regions and regions[-1][0] == item and pos - regions[-1][2] <= 2 * edits + 1:
+            reach = 2 * self.edits(len(self.items[item])) + 1
+            if regions and regions[-1][0] == item and pos - regions[-1][2] <= reach:
                 regions[-1][2] = pos
             else:
                 regions.append([item, pos, pos])
+        ends = np.append(origin[1:], len(stream))
         out = []
         for item, low, high in regions:
-            low = max(0, low - edits)
-            region = stream[low:high + length + edits]
-            distance, stop = edit_distance_within(self.items[item], region)
-            if distance <= edits:
-                # Read backwards from its end, the nearest stretch ends where it starts.
-                _, size = edit_distance_within(self.items[item][::-1], region[:stop][::-1])
-                start = low + stop - size
-                doc = int(np.searchsorted(origin, start, side="right")) - 1
-                out.append((
-                    ids[doc], self.ids[item], start - int(origin[doc]), size, distance
-                ))
+            length = len(self.items[item])
+            edits = self.edits(length)
+            # A piece may lie shifted by the edits before it, and its window by those within it.
+            low, high = max(0, low - 2 * edits), min(len(stream), high + length + 2 * edits)
+            first = int(np.searchsorted(origin, low, side="right")) - 1
+            for doc in range(first, int(np.searchsorted(origin, high, side="left"))):
+                begin = max(low, int(origin[doc]))
+                region = stream[begin:min(high, int(ends[doc]))]
+                distance, stop = edit_distance_within(self.items[item], region)
+                if distance <= edits:
+                    # Read backwards from its end, the nearest stretch ends where it starts.
+                    _, size = edit_distance_within(self.items[item][::-1], region[:stop][::-1])
+                    out.append((
+                        ids[doc], self.ids[item], begin + stop - size - int(origin[doc]), size, distance
+                    ))
         return out
 
 
@@ -278,7 +306,8 @@ def find_leaks(
     Every position of every text is the start of a window as long as each item. A window that
     holds enough pairs of adjacent words of the items of its length (an edit takes two at most, so
     none is lost) is embedded by the CGK walk; tables of sampled symbols propose items, enough of them for the
-    target ``recall``, and the exact edit distance decides.
+    target ``recall``, and the exact edit distance decides. Items of more than ``PIECE_WORDS`` words are
+    proposed by even pieces of at most that length: one piece at least is within the edit share.
 
     Items travel to the tasks in blocks of at most about ``block_words`` words, one pass over the
     documents each, so memory is bounded whatever the size of the benchmark. Texts are not shuffled;

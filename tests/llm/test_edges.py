@@ -209,6 +209,34 @@ def test_edited_items_are_found(spark):
     assert len(got) >= 0.95 * len(items)
 
 
+@pytest.mark.parametrize("kind", ["deletion", "insertion", "substitution"])
+@pytest.mark.parametrize("length", [100, 200])
+def test_long_edited_items_are_found(length, kind):
+    """Recall over long items with edits of one kind at the limit."""
+    import random
+
+    from clickmill.llm.leaks import AGREEMENT, RECALL, SAMPLED, ItemBlock, repetitions
+
+    rng = random.Random(length)
+    vocab = [b"w%d" % k for k in range(3000)]
+    items = [rng.choices(vocab, k=length) for _ in range(60)]
+    texts = []
+    for item in items:
+        words = list(item)
+        for at in sorted(rng.sample(range(length), length // 10), reverse=True):
+            if kind == "deletion":
+                del words[at]
+            elif kind == "insertion":
+                words.insert(at, b"more")
+            else:
+                words[at] = b"other"
+        texts.append(rng.choices(vocab, k=30) + words + rng.choices(vocab, k=30))
+    block = ItemBlock(list(range(60)), items, 0.1, repetitions(RECALL, SAMPLED, AGREEMENT), SAMPLED)
+    found = block.find(list(range(60)), texts)
+    assert {(d, i) for d, i, *_ in found} == {(k, k) for k in range(60)}
+    assert all(e <= length // 10 for *_, e in found)
+
+
 def test_near_duplicate_groups(spark):
     """A large group of near copies holds together and equals the brute-force components."""
     import random
