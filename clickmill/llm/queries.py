@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
+from .alignment import align_tokenizers
 from .chat import rotate_perspectives
+from .divergence import audit_sources
 from .encoding import TokenizerFile
+from .language_id import identify_languages
 from .leaks import find_leaks
 from .line_quality import judge_documents
 from .line_runs import drop_repeated_lines
@@ -47,6 +50,16 @@ def word_tokenizer() -> TokenizerFile:
     return TokenizerFile(public_tokenizers.path("word_bpe_49k.json"), blank_free=True)
 
 
+def pair_of_tokenizers() -> tuple[TokenizerFile, TokenizerFile]:
+    """The two public tokenizers that are aligned: byte-level pairs, and pieces with byte fallback."""
+    import public_tokenizers
+
+    return (
+        TokenizerFile(public_tokenizers.path("byte_bpe_50k.json")),
+        TokenizerFile(public_tokenizers.path("piece_bpe_32k.model"), library="sentencepiece"),
+    )
+
+
 def sha256(c: str) -> Column:
     return F.sha2(F.col(c).cast("binary"), 256)
 
@@ -228,3 +241,55 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_context_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+# Compressed sizes have no SQL form; the test repeats them in plain Python and measures accuracy.
+@query("op11_zstd_languages")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+# Token ids are the libraries'; the test aligns every text by brute force.
+@query("op12_merge_path_groups")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), *pair_of_tokenizers()).documents()
+
+
+@query("op13_one_hot_gaps", oracle=r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                        'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+o AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+z AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+g AS (SELECT d.lang, d.source, coalesce(any_value(z.n), 0) AS n, coalesce(any_value(v.v), 0) AS v,
+             coalesce(any_value(v.n), 0) AS lang_n
+      FROM d LEFT JOIN z USING (lang, source) LEFT JOIN v ON v.lang = d.lang GROUP BY d.lang, d.source),
+p AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c,
+           (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v))::HUGEINT AS p,
+           (1 + (1000000000::HUGEINT * (k.total + 2)) // (g.lang_n + 2 * g.v))::HUGEINT AS q
+    FROM g JOIN k ON k.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source),
+r AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q),
+t AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part
+                                 ORDER BY value DESC, encode(item))::INTEGER AS rank FROM r)
+SELECT * FROM t WHERE part = 'pair' OR rank <= 10
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
