@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_uniform
 from ..session import materialize
+from .density import neighbourhood_labels, star_components
 from .ranking import global_row_number
 from .reduce import mean_imputed, reduced
 
@@ -72,30 +73,6 @@ def _labelled(rows: DataFrame, key: str, centres: list[list[float]]) -> DataFram
     return rows.mapInPandas(label, f"{key} {kind}, _v array<double>, cluster bigint")
 
 
-def _min_label_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, root): smallest node of every connected component.
-
-    Each round takes the smallest root among a node and its neighbours, then jumps to the root of
-    that root, so the number of rounds grows with the logarithm of a component's length.
-    """
-    state = materialize(nodes.select("node", F.col("node").alias("root")), "components")
-    for _ in range(max_rounds):
-        around = edges.join(state.withColumnRenamed("node", "dst"), "dst").select(
-            F.col("src").alias("node"), "root"
-        )
-        lower = state.unionByName(around).groupBy("node").agg(F.min("root").alias("root"))
-        roots = lower.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = lower.join(roots, "root").select("node", F.col("above").alias("root"))
-        fresh = materialize(
-            jumped.join(state.withColumnRenamed("root", "was"), "node"), "components"
-        )
-        changed = fresh.where(F.col("root") != F.col("was")).limit(1).count()
-        state = fresh.select("node", "root")
-        if not changed:
-            return state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def density_labels(
     embeddings: DataFrame,
     key: str,
@@ -127,7 +104,16 @@ def density_labels(
     )
     links = materialize(links, "links")
     edges = links.join(dense.select(F.col("node").alias("src")), "src")
-    components = _min_label_components(edges, dense)
+    # The components work on numbers: a cell's place in the order of cells.
+    numbers = materialize(global_row_number(dense, ["node"], "number"), "numbers")
+    by_number = edges.join(numbers.select(F.col("node").alias("src"), F.col("number").alias("s")), "src").join(
+        numbers.select(F.col("node").alias("dst"), F.col("number").alias("d")), "dst")
+    roots = star_components(
+        by_number.select(F.col("s").alias("src"), F.col("d").alias("dst")), numbers.select(F.col("number").alias("node")))
+    components = roots.withColumnRenamed("node", "number").join(numbers, "number").join(
+        numbers.select(F.col("number").alias("root"), F.col("node").alias("root_node")), "root"
+    ).select("node", F.col("root_node").alias("root"))
+    components = materialize(components, "components")
     fringe = links.join(dense.select(F.col("node").alias("src")), "src", "left_anti").join(
         components.withColumnRenamed("node", "dst"), "dst"
     ).groupBy(F.col("src").alias("node")).agg(F.min("root").alias("root"))
@@ -157,6 +143,8 @@ def item_clusters(
     if method == "kmeans":
         labels = kmeans_labels(flat, "news_id", k)
     elif method == "density":
+        labels = neighbourhood_labels(flat, "news_id", 2, eps, min_samples, min_cluster_size)
+    elif method == "grid":
         labels = density_labels(flat, "news_id", 2, eps, min_samples, min_cluster_size)
     else:
         raise ValueError(f"unknown method {method!r}")

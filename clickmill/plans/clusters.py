@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from ..operators import cluster, textvec
+from ..operators import cluster, density, textvec
 from ..operators import features as fe
 from ..operators import recommend as rc
 from ..operators.reduce import reduced, stored_or_computed
@@ -179,10 +179,41 @@ def _(t):
     return labels.withColumn("cluster", F.col("cluster").cast("bigint"))
 
 
+REACH, CORE_SAMPLES, CORE_SIZE = 0.12, 5, 12
+POINT_SQL = {
+    "near": f"""SELECT a.id AS x, b.id AS y FROM pts a CROSS JOIN pts b
+      WHERE round(list_distance(a.v, b.v), 9) <= {{eps}}""",
+    "cores": "SELECT x AS id FROM near GROUP BY x HAVING count(*) >= {samples}",
+    "core_edges": "SELECT x, y FROM near WHERE x IN (SELECT id FROM cores) AND y IN (SELECT id FROM cores)",
+    "reach": """SELECT id, id AS root FROM cores
+      UNION SELECT e.y, r.root FROM reach r JOIN core_edges e ON e.x = r.id""",
+    "comps": "SELECT id, min(root) AS root FROM reach GROUP BY id",
+    "placed": """SELECT id, root FROM comps UNION ALL
+      SELECT x, min(root) FROM near JOIN comps ON y = id WHERE x NOT IN (SELECT id FROM cores) GROUP BY x""",
+    "numbered": """SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (
+      SELECT root FROM placed GROUP BY root HAVING count(*) >= {size})""",
+}
+
+
+def point_density_sql(source: str, key: str, eps: float, samples: int, size: int, **views: str) -> str:
+    """Twin of ``density.neighbourhood_labels`` over ``source`` (id, v), by comparing all points."""
+    own = {n: v.format(eps=eps, samples=samples, size=size) for n, v in POINT_SQL.items()}
+    body = f"""SELECT p.id AS {key}, coalesce(n.cluster, -1)::INTEGER AS cluster FROM pts p
+       LEFT JOIN placed USING (id) LEFT JOIN numbered n USING (root)"""
+    return sql(body, **views, pts=source, **own).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("clu_2_point_density", point_density_sql(
+    "SELECT vec_id AS id, v FROM sketch", "vec_id", REACH, CORE_SAMPLES, CORE_SIZE, sketch=SKETCH_SQL))
+def _(t):
+    """Density around each vector, after a projection of all components."""
+    return density.neighbourhood_labels(sketched(t), "vec_id", 2, REACH, CORE_SAMPLES, CORE_SIZE)
+
+
 @query("clu_2_density_of_components")
 def _(t):
     flat = materialize(reduced(vectors(t), "vec_id", "embedding", 2, "euclidean"), "flat")
-    return cluster.density_labels(flat, "vec_id", 2, 0.15, 5, 20)
+    return density.neighbourhood_labels(flat, "vec_id", 2, 0.05, 5, 20)
 
 
 TEXT_K = 10
