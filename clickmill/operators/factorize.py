@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, largest_update, random_factors
+from ..functions.vectors import dot, hash_uniform, largest_update, random_factors
 from ..session import materialize
+from .blockfit import FIGURES, Cells, Model, figures, spans
 
 ROW, COL = "row_id", "col_id"
-# Up to this many factors a normal equation is summed column by column.
+# Up to this many factors a normal equation is summed cell by cell, beyond by products per id.
 SUMMED_FACTORS = 10
-# Cells of one id that a task sums up when there are more factors.
+# Cells of one id that one block sums up; the cells of a larger id are dealt over several.
 SHARE_ROWS = 65_536
 
 
@@ -37,46 +37,95 @@ def start_factors(ids: DataFrame, id_col: str, k: int, seed: int = 42) -> DataFr
     )
 
 
-def _residuals(coo: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """Observed cells with both factor arrays and the residual ``e``."""
-    u = rows.select(ROW, F.col("factors").alias("u"))
-    v = cols.select(COL, F.col("factors").alias("v"))
-    cells = coo.join(v, COL).join(u, ROW)
-    return cells.withColumn("e", F.col("rating") - dot(F.col("u"), F.col("v")))
+def random_start(ids: DataFrame, id_col: str, models: Sequence[Model]) -> DataFrame:
+    """Start factors of all models end to end; models of one seed share the draws of an id."""
+    key = F.concat_ws(":", F.lit(id_col), F.col(id_col))
+    width = {m.seed: max(x.k for x in models if x.seed == m.seed) for m in models}
 
+    def drawn(seed: int, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: hash_uniform(key, f, F.lit(seed)))
 
-def _descend(
-    side: DataFrame, id_col: str, cells: DataFrame, other: str, k: int, rate: float, lam: float
-) -> DataFrame:
-    """One gradient step of one side: (id, factors, old, sq, n).
+    draws = {f"_s{seed}": drawn(seed, k) for seed, k in width.items()}
+    parts = [F.slice(f"_s{m.seed}", 1, m.k) for m in models]
+    return ids.select(id_col).withColumns(draws).select(id_col, F.concat(*parts).alias("factors"))
 
-    The gradient sums are ordinary sums, combined before the shuffle, so a row or column that owns
-    much of the matrix costs one partial row per task.
-    """
-    sums = [F.sum(F.col("e") * F.element_at(other, i + 1)).alias(f"g{i}") for i in range(k)]
-    grads = cells.groupBy(id_col).agg(
-        *sums, F.sum(F.col("e") * F.col("e")).alias("sq"), F.count_if(F.col("e") != 0).alias("n")
-    )
-    grad = F.array(*[F.coalesce(F.col(f"g{i}"), F.lit(0.0)) for i in range(k)])
-    moved = F.zip_with("old", "grad", lambda x, g: x + rate * (g - lam * x))
-    joined = side.select(id_col, F.col("factors").alias("old")).join(grads, id_col, "left")
-    return joined.withColumn("grad", grad).select(id_col, moved.alias("factors"), "old", "sq", "n")
+
+def _cells(coo: DataFrame, models: Sequence[Model]) -> Cells:
+    coo = materialize(coo.select(ROW, COL, "rating"), "coo")
+    return Cells(coo, ROW, COL, models, SHARE_ROWS, SUMMED_FACTORS)
 
 
 def gradient_step(
     coo: DataFrame, rows: DataFrame, cols: DataFrame, k: int, rate: float, lam: float
 ) -> tuple[DataFrame, DataFrame]:
     """Rows move first; columns move on the residuals of the moved rows."""
-    new_rows = materialize(_descend(rows, ROW, _residuals(coo, rows, cols), "v", k, rate, lam), "u")
-    cells = _residuals(coo, new_rows, cols)
-    new_cols = materialize(_descend(cols, COL, cells, "u", k, rate, lam), "v")
+    cells = _cells(coo, [Model(k, lam)])
+    rates = np.array([rate])
+    new_rows, _ = cells.descend(cells.by_row, rows, cols, rates, False)
+    new_cols, _ = cells.descend(cells.by_col, cols, new_rows, rates, False)
     return new_rows, new_cols
 
 
-def _change(first: bool) -> Column:
-    """Largest relative change of a row; the first step compares with zeros."""
-    old = F.transform("factors", lambda _: F.lit(0.0)) if first else F.col("old")
-    return F.max(largest_update(F.col("factors"), old))
+def _with_old(table: DataFrame, id_col: str, models: Sequence[Model], kept: Sequence[bool]) -> DataFrame:
+    """Factors after a step, those of the ``kept`` models as before it."""
+    if not any(kept):
+        return table.select(id_col, "factors")
+    parts = [
+        F.slice("old" if k else "factors", s.start + 1, s.stop - s.start)
+        for s, k in zip(spans(models), kept)
+    ]
+    return table.select(id_col, F.concat(*parts).alias("factors"))
+
+
+def _updates(found: dict[str, list[float]], n: int) -> list[float]:
+    """Largest change per model over both sides; a side without ids has none."""
+    row, col = (found[side] or [0.0] * n for side in ("row", "col"))
+    return [max(x, y) for x, y in zip(row, col)]
+
+
+def descend_all(
+    coo: DataFrame, rows: DataFrame, cols: DataFrame, models: Sequence[Model], rate: float,
+    max_iterations: int, threshold: float,
+) -> list[Fit]:
+    """Full-batch descent of all models in one pass over the cells per half round.
+
+    ``rows`` and ``cols`` hold the models' factors end to end, and so do the fits returned. A model
+    stops with its previous factors once its largest relative update is below ``threshold``; the
+    rounds end when all have stopped.
+    """
+    cells = _cells(coo, models)
+    n = len(models)
+    fits = [Fit(rows, cols) for _ in models]
+    rows, cols = materialize(rows.select(ROW, "factors"), "u"), materialize(cols.select(COL, "factors"), "v")
+    active = [True] * n
+    for step in range(max_iterations):
+        rates = np.where(active, rate, 0.0)
+        new_rows, _ = cells.descend(cells.by_row, rows, cols, rates, step == 0)
+        new_cols, sums = cells.descend(cells.by_col, cols, new_rows, rates, step == 0)
+        found = figures([
+            ("row", new_rows, "change", "max"), ("col", new_cols, "change", "max"),
+            ("errors", sums.where(F.col("kind") == FIGURES), "packed", "sum"),
+        ])
+        updates, errors = _updates(found, n), found["errors"] or [0.0] * 2 * n
+        for m, fit in enumerate(fits):
+            if not active[m]:
+                continue
+            fit.updates.append(updates[m])
+            active[m] = updates[m] >= threshold
+            if active[m]:
+                squares, count = errors[m], errors[n + m]
+                fit.rmse.append(float(np.sqrt(squares / count)) if count else float("nan"))
+        stopped = [not a for a in active]
+        rows, cols = (_with_old(t, c, models, stopped) for t, c in ((new_rows, ROW), (new_cols, COL)))
+        if not any(active):
+            break
+    return _shared(fits, rows, cols)
+
+
+def _shared(fits: list[Fit], rows: DataFrame, cols: DataFrame) -> list[Fit]:
+    for fit in fits:
+        fit.rows, fit.cols = rows, cols
+    return fits
 
 
 def gradient_descent(
@@ -93,176 +142,78 @@ def gradient_descent(
 
     Stops with the previous factors once the largest relative update is below ``threshold``.
     """
-    coo = materialize(coo.select(ROW, COL, "rating"), "coo")
-    fit = Fit(materialize(rows.select(ROW, "factors"), "u"), materialize(cols.select(COL, "factors"), "v"))
-    for step in range(max_iterations):
-        new_rows, new_cols = gradient_step(coo, fit.rows, fit.cols, k, rate, lam)
-        change = _change(step == 0)
-        row_change = new_rows.agg(change).first()[0]
-        col_change, sq, n = new_cols.agg(change, F.sum("sq"), F.sum("n")).first()
-        fit.updates.append(max(row_change or 0.0, col_change or 0.0))
-        if fit.updates[-1] < threshold:
-            break
-        fit.rmse.append(float(np.sqrt(sq / n)) if n else float("nan"))
-        fit.rows, fit.cols = new_rows.select(ROW, "factors"), new_cols.select(COL, "factors")
-    return fit
-
-
-def _solve(packed: np.ndarray, k: int, lam: float) -> np.ndarray:
-    """Ridge solutions of packed systems: upper triangle of the Gram matrix, then the right side."""
-    upper = np.triu_indices(k)
-    size = len(upper[0])
-    a = np.zeros((len(packed), k, k))
-    a[:, upper[0], upper[1]] = packed[:, :size]
-    a[:, upper[1], upper[0]] = packed[:, :size]
-    a += lam * np.eye(k)
-    return np.linalg.solve(a, packed[:, size:, None])[:, :, 0]
-
-
-def _systems_by_sums(cells: DataFrame, id_col: str, k: int, lam: float) -> DataFrame:
-    """Few factors: the packed system is a handful of ordinary sums with map-side combining."""
-    f = [F.element_at("factors", i + 1) for i in range(k)]
-    sums = [F.sum(f[i] * f[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums += [F.sum(F.col("rating") * f[i]).alias(f"b{i}") for i in range(k)]
-    summed = cells.groupBy(id_col).agg(*sums)
-    packed = F.array(*[F.col(c) for c in summed.columns if c != id_col])
-
-    @F.pandas_udf("array<double>")
-    def solve(rows: pd.Series) -> pd.Series:
-        if not len(rows):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(_solve(np.stack(rows.to_list()), k, lam)))
-
-    return summed.select(id_col, solve(packed).alias("factors"))
-
-
-def _folded(
-    batches: Iterator[pd.DataFrame], id_col: str, part: Callable[[pd.DataFrame, int, int], np.ndarray]
-) -> Iterator[tuple[list, np.ndarray]]:
-    """Sums over runs of equal ids in sorted batches; a run may go on in the next batch."""
-    last, held = None, None
-    for batch in batches:
-        ids = batch[id_col].to_numpy()
-        if not len(ids):
-            continue
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        done_ids, done = [], []
-        for start, end in zip(starts, [*starts[1:], len(ids)]):
-            value = part(batch, start, end)
-            if held is not None and ids[start] == last:
-                held = held + value
-                continue
-            if held is not None:
-                done_ids.append(last)
-                done.append(held)
-            last, held = ids[start], value
-        if done:
-            yield done_ids, np.stack(done)
-    if held is not None:
-        yield [last], held[None]
+    return descend_all(coo, rows, cols, [Model(k, lam)], rate, max_iterations, threshold)[0]
 
 
-def _systems_by_batches(cells: DataFrame, id_col: str, salt: str, k: int, lam: float) -> DataFrame:
-    """Many factors: matrix products over sorted batches.
+def alternate_all(
+    coo: DataFrame, rows: DataFrame, cols: DataFrame, models: Sequence[Model], max_iterations: int,
+    threshold: float,
+) -> list[Fit]:
+    """Alternating ridge solutions of all models in one pass over the cells per half round.
 
-    Cells are shuffled by id and salt, so a hot id is worked on by many tasks, and only one packed
-    system per id and task goes into the final sum.
+    The error is over every cell, unobserved ones counting as 0: its unobserved part follows from
+    the Gram matrices, and its cross part from the right sides of the columns' equations. A model
+    stops on a small change of the error after the third round, or on a small update.
     """
-    upper = np.triu_indices(k)
-    id_type = cells.schema[id_col].dataType.simpleString()
-
-    def part_of_cells(batch: pd.DataFrame, start: int, end: int) -> np.ndarray:
-        block = np.stack(batch["factors"].iloc[start:end].to_list())
-        rhs = batch["rating"].iloc[start:end].to_numpy(dtype=np.float64) @ block
-        return np.concatenate([(block.T @ block)[upper], rhs])
-
-    def part_of_systems(batch: pd.DataFrame, start: int, end: int) -> np.ndarray:
-        return np.stack(batch["packed"].iloc[start:end].to_list()).sum(axis=0)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, systems in _folded(batches, id_col, part_of_cells):
-            yield pd.DataFrame({id_col: ids, "packed": list(systems)})
-
-    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, systems in _folded(batches, id_col, part_of_systems):
-            yield pd.DataFrame({id_col: ids, "factors": list(_solve(systems, k, lam))})
-
-    sorted_cells = cells.select(id_col, salt, "rating", "factors").repartition(id_col, salt)
-    systems = sorted_cells.sortWithinPartitions(id_col).mapInPandas(
-        partial, f"{id_col} {id_type}, packed array<double>")
-    return systems.repartition(id_col).sortWithinPartitions(id_col).mapInPandas(
-        solved, f"{id_col} {id_type}, factors array<double>")
-
-
-def _salted(coo: DataFrame, id_col: str, other: str, rows: int) -> DataFrame:
-    """Adds the share of each cell among those of its id: one share per ``rows`` cells."""
-    sizes = coo.groupBy(id_col).agg(F.ceil(F.count("*") / rows).alias("_shares"))
-    large = sizes.where(F.col("_shares") > 1)
-    joined = coo.join(large, id_col, "left")
-    share = F.pmod(F.xxhash64(other), F.coalesce("_shares", F.lit(1).cast("bigint")))
-    return joined.withColumn(f"{id_col}_salt", share).drop("_shares")
-
-
-def least_squares_side(
-    coo: DataFrame, ids: DataFrame, id_col: str, fixed: DataFrame, fixed_col: str, k: int, lam: float
-) -> DataFrame:
-    """Ridge solution of one side given the other; ids without cells get zeros."""
-    cells = coo.join(fixed.select(fixed_col, "factors"), fixed_col)
-    if k <= SUMMED_FACTORS:
-        solved = _systems_by_sums(cells, id_col, k, lam)
-    else:
-        solved = _systems_by_batches(cells, id_col, f"{id_col}_salt", k, lam)
-    zeros = F.array(*[F.lit(0.0)] * k)
-    return ids.join(solved, id_col, "left").withColumn("factors", F.coalesce("factors", zeros))
-
-
-def _gram_by_batches(side: DataFrame, k: int) -> list[float]:
-    """Upper triangle of the Gram matrix: one partial per task, added up entry by entry."""
-    upper = np.triu_indices(k)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
-        for batch in batches:
-            if len(batch):
-                f = np.stack(batch["factors"].to_list())
-                total += f.T @ f
-        yield pd.DataFrame({"packed": [total[upper]]})
-
-    parts = side.select("factors").mapInPandas(partial, "packed array<double>")
-    entries = parts.select(F.posexplode("packed").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x"))
-    return [r["x"] for r in sorted(entries.collect(), key=lambda r: r["pos"])]
-
-
-def _side_figures(side: DataFrame, k: int, change: Column) -> tuple[np.ndarray, int, float]:
-    """Gram matrix, number of ids and largest change of one side."""
-    upper = np.triu_indices(k)
-    sums = []
-    if k <= SUMMED_FACTORS:
-        sums = [
-            F.sum(F.element_at("factors", int(i) + 1) * F.element_at("factors", int(j) + 1)).alias(f"c{i}_{j}")
-            for i, j in zip(*upper)
+    cells = _cells(coo, models)
+    n = len(models)
+    rating = F.col("rating").cast("double")
+    square = coo.agg(F.sum(rating * rating)).first()[0] or 0.0
+    rows, cols = materialize(rows.select(ROW, "factors"), "u"), materialize(cols.select(COL, "factors"), "v")
+    every = rows.count() * cols.count()
+
+    def changed(side: DataFrame) -> DataFrame:
+        zeros = F.transform("factors", lambda _: F.lit(0.0))
+        parts = [
+            largest_update(F.slice("factors", s.start + 1, m.k), F.slice(zeros, s.start + 1, m.k))
+            for s, m in zip(spans(models), models)
         ]
-    n, most, *entries = side.agg(F.count("*").alias("n"), change.alias("most"), *sums).first()
-    gram = np.zeros((k, k))
-    gram[upper] = entries or _gram_by_batches(side, k)
-    return gram + np.triu(gram, 1).T, n, most or 0.0
-
-
-def _all_cells_figures(
-    coo: DataFrame, rows: DataFrame, cols: DataFrame, k: int, change: Column
-) -> tuple[float, float]:
-    """Error over every cell, unobserved ones counting as 0, and the largest change.
-
-    The unobserved part follows from the two Gram matrices; the dense matrix is never built.
-    """
-    r = F.col("rating").cast("double")
-    square, cross = _residuals(coo, rows, cols).agg(
-        F.sum(r * r).alias("square"), F.sum(r * (r - F.col("e"))).alias("cross")
-    ).first()
-    row_gram, n_rows, row_change = _side_figures(rows, k, change)
-    col_gram, n_cols, col_change = _side_figures(cols, k, change)
-    sse = square - 2 * cross + float((row_gram * col_gram).sum())
-    return float(np.sqrt(max(sse, 0.0) / (n_rows * n_cols))), max(row_change, col_change)
+        return side.select(F.array(*parts).alias("change"))
+
+    def errors(found: dict[str, list[float]]) -> list[float]:
+        at, out = 0, []
+        for m, model in enumerate(models):
+            size = model.k * (model.k + 1) // 2
+            u, v = (np.array(found[g][at:at + size] or np.zeros(size)) for g in ("row_gram", "col_gram"))
+            # An entry off the diagonal stands for two.
+            twice = np.where(np.equal(*np.triu_indices(model.k)), 1.0, 2.0)
+            cross = found["cross"][m] if found["cross"] else 0.0
+            sse = square - 2 * cross + float((twice * u * v).sum())
+            out.append(float(np.sqrt(max(sse, 0.0) / every)) if every else float("nan"))
+            at += size
+        return out
+
+    def measured(a: DataFrame, b: DataFrame, changes: list, cross: tuple) -> tuple[list[float], list[float]]:
+        found = figures([
+            ("row", changes[0], "change", "max"), ("col", changes[1], "change", "max"), cross,
+            ("row_gram", cells.grams(a), "packed", "sum"), ("col_gram", cells.grams(b), "packed", "sum"),
+        ])
+        return errors(found), _updates(found, n)
+
+    fits = [Fit(rows, cols) for _ in models]
+    rmse, updates = measured(
+        rows, cols, [changed(rows), changed(cols)],
+        ("cross", cells.start_cross(rows, cols), "packed", "sum"))
+    for m, fit in enumerate(fits):
+        fit.rmse.append(rmse[m])
+        fit.updates.append(updates[m])
+    active = [True] * n
+    for step in range(1, max_iterations + 1):
+        new_rows = cells.least_squares(cells.by_row, rows, cols)
+        new_cols = cells.least_squares(cells.by_col, cols, new_rows)
+        rmse, updates = measured(
+            new_rows, new_cols, [new_rows, new_cols], ("cross", new_cols, "cross", "sum"))
+        stopped = [not a for a in active]
+        rows, cols = (_with_old(t, c, models, stopped) for t, c in ((new_rows, ROW), (new_cols, COL)))
+        for m, fit in enumerate(fits):
+            if active[m]:
+                fit.rmse.append(rmse[m])
+                fit.updates.append(updates[m])
+                settled = step > 3 and abs(fit.rmse[-1] - fit.rmse[-2]) < threshold
+                active[m] = not settled and updates[m] >= threshold
+        if not any(active):
+            break
+    return _shared(fits, rows, cols)
 
 
 def alternating_least_squares(
@@ -278,32 +229,13 @@ def alternating_least_squares(
 
     Stops on a small change of the error after the third round, or on a small update.
     """
-    coo = coo.select(ROW, COL, "rating")
-    if k > SUMMED_FACTORS:
-        coo = _salted(_salted(materialize(coo, "coo"), ROW, COL, SHARE_ROWS), COL, ROW, SHARE_ROWS)
-    coo = materialize(coo, "coo")
-    fit = Fit(materialize(rows.select(ROW, "factors"), "u"), materialize(cols.select(COL, "factors"), "v"))
-    rmse, update = _all_cells_figures(coo, fit.rows, fit.cols, k, _change(True))
-    fit.rmse.append(rmse)
-    fit.updates.append(update)
-    for step in range(1, max_iterations + 1):
-        new_rows = least_squares_side(coo, fit.rows.select(ROW), ROW, fit.cols, COL, k, lam)
-        new_rows = materialize(
-            new_rows.join(fit.rows.withColumnRenamed("factors", "old"), ROW), "u"
-        )
-        new_cols = least_squares_side(coo, fit.cols.select(COL), COL, new_rows, ROW, k, lam)
-        new_cols = materialize(
-            new_cols.join(fit.cols.withColumnRenamed("factors", "old"), COL), "v"
-        )
-        fit.rows, fit.cols = new_rows.select(ROW, "factors"), new_cols.select(COL, "factors")
-        rmse, update = _all_cells_figures(coo, new_rows, new_cols, k, _change(False))
-        fit.rmse.append(rmse)
-        fit.updates.append(update)
-        if step > 3 and abs(fit.rmse[-1] - fit.rmse[-2]) < threshold:
-            break
-        if fit.updates[-1] < threshold:
-            break
-    return fit
+    return alternate_all(coo, rows, cols, [Model(k, lam)], max_iterations, threshold)[0]
+
+
+def model_factors(side: DataFrame, id_col: str, models: Sequence[Model], m: int) -> DataFrame:
+    """(id, factors) of model ``m`` out of the factors of all models."""
+    s = spans(models)[m]
+    return side.select(id_col, F.slice("factors", s.start + 1, s.stop - s.start).alias("factors"))
 
 
 def factorize(
@@ -352,20 +284,24 @@ def parameter_grid(
     max_iterations: int,
     rate: float = 1e-7,
 ) -> DataFrame:
-    """Traces of every combination; ``sides`` maps a name to (cells, row ids, column ids)."""
+    """Traces of every combination; ``sides`` maps a name to (cells, row ids, column ids).
+
+    All combinations of a side and method are fitted together: a round reads the cells once per
+    half and runs the same number of jobs whatever the size of the grid.
+    """
+    models = [Model(k, float(lam), seed) for seed in seeds for k in ks for lam in lams]
     fits = []
     for side, (coo, row_ids, col_ids) in sides.items():
-        coo = materialize(coo, "grid")
+        rows, cols = random_start(row_ids, ROW, models), random_start(col_ids, COL, models)
         for method in methods:
-            for seed in seeds:
-                for k in ks:
-                    for lam in lams:
-                        fit = factorize(
-                            coo, row_ids, col_ids, method, k, lam, seed, max_iterations, rate
-                        )
-                        params = {"seed": seed, "clustering_type": side, "alg": method, "k": k,
-                                  "lambda_reg": float(lam)}
-                        fits.append((params, fit))
+            if method == "gd":
+                found = descend_all(coo, rows, cols, models, rate, max_iterations, 1e-3)
+            else:
+                found = alternate_all(coo, rows, cols, models, max_iterations, 1e-3)
+            for model, fit in zip(models, found):
+                params = {"seed": model.seed, "clustering_type": side, "alg": method, "k": model.k,
+                          "lambda_reg": model.lam}
+                fits.append((params, fit))
     return trace_table(coo.sparkSession, fits)
 
 

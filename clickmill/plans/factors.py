@@ -245,26 +245,68 @@ def _(t):
     return scored.select("user_id", F.col("item").cast("bigint"), F.round("predicted", 6).alias("predicted"))
 
 
-GRID = [(side, seed, lam) for side in ("item", "user") for seed in (42, 43) for lam in (1, 5)]
-GRID_STEPS, GRID_K, GRID_RATE = 2, 5, 1e-4
+GRID_SEEDS, GRID_KS, GRID_LAMS = range(42, 48), (5, 25, 50), (1, 5)
+GRID_STEPS, GRID_RATE = 2, 1e-4
 
 
 def _grid_sql() -> str:
-    views, parts = {}, []
-    for n, (side, seed, lam) in enumerate(GRID):
-        views |= step_sql(f"coo_{side}", GRID_STEPS, GRID_K, GRID_RATE, lam, seed, f"g{n}_")
-        params = f"{seed}::BIGINT AS seed, '{side}' AS clustering_type, {lam}::DOUBLE AS lambda_reg,"
-        parts.append(_trace_sql(GRID_STEPS, f"g{n}_", params))
+    """Descent of all models at once: the model's number is a key of the factor views."""
+    models = [(seed, k, lam) for seed in GRID_SEEDS for k in GRID_KS for lam in GRID_LAMS]
+    values = ", ".join(f"({n}, {seed}, {k}, {lam}::DOUBLE)" for n, (seed, k, lam) in enumerate(models))
+    views, parts = {"models": f"SELECT * FROM (VALUES {values}) t(m, seed, k, lam)"}, []
+    for side in ("item", "user"):
+        coo, s = f"coo_{side}", side[0]
+
+        def start(col: str) -> str:
+            cell = sql_hash_uniform(f"'{col}:' || {col}", "i", "seed")
+            return (f"SELECT m, lam, {col}, list_transform(range(k), lambda i: {cell}) AS f "
+                    f"FROM (SELECT DISTINCT {col} FROM {coo}) CROSS JOIN models")
+
+        def cells(u: str, v: str) -> str:
+            return (f"SELECT m, row_id, col_id, u.f AS u, v.f AS v, rating - list_dot_product(u.f, v.f) AS e "
+                    f"FROM {coo} JOIN {u} u USING (row_id) JOIN {v} v USING (col_id, m)")
+
+        def moved(old: str, col: str, residuals: str, other: str) -> str:
+            return f"""SELECT m, lam, {col}, list_transform(list_zip(f, g),
+                lambda t: t[1] + {GRID_RATE} * (t[2] - lam * t[1])) AS f FROM {old} JOIN (
+              SELECT m, {col}, list(g ORDER BY p) AS g FROM (
+                SELECT m, {col}, p, sum(e * x) AS g FROM (
+                  SELECT m, {col}, e, unnest({other}) AS x, generate_subscripts({other}, 1) AS p FROM {residuals})
+                GROUP BY ALL) GROUP BY m, {col}) USING (m, {col})"""
+
+        def largest(new: str, old: str, col: str, first: bool) -> str:
+            ratio = f"CASE WHEN x = 0 THEN 0 ELSE {MAX_SQL} END" if first else "abs((x - y) / y)"
+            return (f"SELECT m, max({ratio}) AS c FROM (SELECT a.m, unnest(a.f) AS x, unnest(b.f) AS y "
+                    f"FROM {new} a JOIN {old} b USING (m, {col})) GROUP BY m")
+
+        views |= {f"{s}u0": start("row_id"), f"{s}v0": start("col_id")}
+        for i in range(1, GRID_STEPS + 1):
+            u, v = f"{s}u{i}", f"{s}v{i}"
+            before = f"{s}u{i - 1}", f"{s}v{i - 1}"
+            views[f"{s}d{i}"] = cells(*before)
+            views[u] = moved(before[0], "row_id", f"{s}d{i}", "v")
+            views[f"{s}e{i}"] = cells(u, before[1])
+            views[v] = moved(before[1], "col_id", f"{s}e{i}", "u")
+            parts.append(f"""SELECT seed::BIGINT AS seed, '{side}' AS clustering_type, k::BIGINT AS k,
+                lam AS lambda_reg, {i - 1}::BIGINT AS iteration, round(rmse, 6) AS rmse,
+                round(log10(least(greatest(a.c, b.c), 1e12)), 6) AS log_max_update
+              FROM models JOIN (SELECT m, sqrt(avg(e * e) FILTER (WHERE e <> 0)) AS rmse FROM {s}e{i} GROUP BY m)
+                USING (m) JOIN ({largest(u, before[0], 'row_id', i == 1)}) a USING (m)
+              JOIN ({largest(v, before[1], 'col_id', i == 1)}) b USING (m)""")
     return sql(" UNION ALL ".join(parts), "coo_item", "coo_user", **views)
 
 
 @query("fac_6_parameter_grid", _grid_sql())
 def _(t):
+    """Both sides, six seeds, three ranks and two penalties: 72 models, two rounds."""
     sides = {}
     for name, coo in (("item", item_side(t)), ("user", user_side(t))):
         sides[name] = (coo, ratings.matrix_ids(coo, "row_id"), ratings.matrix_ids(coo, "col_id"))
-    grid = fa.parameter_grid(sides, ["gd"], [42, 43], [GRID_K], [1, 5], GRID_STEPS, GRID_RATE)
-    return shown_trace(grid, "seed", "clustering_type", "lambda_reg")
+    grid = fa.parameter_grid(sides, ["gd"], GRID_SEEDS, GRID_KS, GRID_LAMS, GRID_STEPS, GRID_RATE)
+    # Updates are relative, and huge where a factor was near zero: shown by their logarithm.
+    return grid.select(
+        "seed", "clustering_type", "k", "lambda_reg", "iteration", F.round("rmse", 6).alias("rmse"),
+        F.round(F.log10(F.least("max_update", F.lit(1e12))), 6).alias("log_max_update"))
 
 
 @query("fac_7_feature_start")
