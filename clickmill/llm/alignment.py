@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..session import materialize, spread
 from .columns import renamed
-from .encoding import TokenizerFile
+from .encoding import WORD_PATTERN, TokenizerFile
 
 PIECE_STEPS = 1 << 18
 SLICE_BYTES = 1 << 20
@@ -120,15 +120,16 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Ids of whole texts and the bytes of each id."""
+    """Ids of texts, each with a blank before it, and the bytes of each id."""
 
-    def __init__(self, spec: TokenizerFile, first: str, inner: str, last: str):
+    def __init__(self, spec: TokenizerFile, inner: str, last: str):
         if spec.library == "sentencepiece":
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=spec.path)
-            self.encode = lambda texts: model.encode(texts, num_threads=1)
             self.bytes = [self._piece(model, i) for i in range(model.get_piece_size())]
+            # The model puts the blank there itself.
+            self._ids = lambda texts: model.encode(texts, num_threads=1)
         else:
             import os
 
@@ -139,20 +140,30 @@ class Vocabulary:
             tok.no_truncation()
             tok.no_padding()
             tok.encode_special_tokens = True  # their strings inside texts are plain text
-            self.encode = lambda texts: [
-                e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-            ]
             letters = _byte_letters()
-            vocab = tok.get_vocab()
-            self.bytes = [b""] * (max(vocab.values()) + 1)
-            for token, i in vocab.items():
-                if all(c in letters for c in token):
-                    self.bytes[i] = bytes(letters[c] for c in token)
-                else:
-                    self.bytes[i] = token.encode()
+            special = {i: t.content for i, t in tok.get_added_tokens_decoder().items()}
+            vocab = {i: bytes(letters[c] for c in t) for t, i in tok.get_vocab().items() if i not in special}
+            self.bytes = [vocab.get(i, b"") for i in range(max([*vocab, *special]) + 1)]
+            if spec.byte_ranks:
+                import tiktoken
+
+                ranked = tiktoken.Encoding(
+                    spec.path, pat_str=WORD_PATTERN, special_tokens={},
+                    mergeable_ranks={b: i for i, b in vocab.items()},
+                )
+                self._ids = lambda texts: [
+                    ranked.encode_to_numpy(" " + t, disallowed_special=()) for t in texts
+                ]
+            else:
+                self._ids = lambda texts: [
+                    e.ids
+                    for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+                ]
         self.lens = np.array([len(b) for b in self.bytes], np.int64)
+        self._starts = np.cumsum(self.lens) - self.lens
+        self._flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         # An id's decimals with the mark that follows it: inside a group, or as its last one.
-        self.marked = [f"{first}{i}{m}".encode() for i in range(len(self.bytes)) for m in (inner, last)]
+        self.marked = [f"{i}{m}".encode() for i in range(len(self.bytes)) for m in (inner, last)]
 
     @staticmethod
     def _piece(model, i: int) -> bytes:
@@ -160,13 +171,26 @@ class Vocabulary:
             return bytes([int(model.id_to_piece(i)[3:-1], 16)])
         return b"" if model.is_control(i) else model.id_to_piece(i).replace("▁", " ").encode()
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(ids, np.int64) for ids in self._ids(texts)]
+
+    def joined(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each text's tokens."""
+        tokens = np.concatenate([np.zeros(0, np.int64), *ids])
+        lens = self.lens[tokens]
+        ends = np.cumsum(lens)
+        shift = np.repeat(self._starts[tokens] - (ends - lens), lens)
+        flat = self._flat[shift + np.arange(len(shift))].tobytes()
+        edges = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        return [flat[i:j] for i, j in zip(edges[:-1], edges[1:])]
+
 
 def _vocabularies(a: TokenizerFile, b: TokenizerFile) -> tuple[Vocabulary, Vocabulary]:
     """The vocabularies of this worker process, kept between tasks."""
     kept = sys.modules.setdefault(_KEEPER, types.ModuleType(_KEEPER)).__dict__
     key = f"{a}|{b}"
     if key not in kept:
-        kept[key] = (Vocabulary(a, "", ",", "|"), Vocabulary(b, "", ",", ";"))
+        kept[key] = (Vocabulary(a, ",", "|"), Vocabulary(b, ",", ";"))
     return kept[key]
 
 
@@ -185,26 +209,20 @@ class _Slice:
     groups: list[bytes]
 
 
-def _joined(vocabulary: Vocabulary, ids: list[int]) -> bytes:
-    return b"".join(map(vocabulary.bytes.__getitem__, ids))
-
-
 def _align(texts: list[str | None], va: Vocabulary, vb: Vocabulary) -> _Slice:
     size = len(texts)
     some = [k for k, t in enumerate(texts) if t]
     wanted = [texts[k] for k in some]
-    used, ids_a, ids_b = [], [], []
-    for k, text, x, y in zip(some, wanted, va.encode(wanted), vb.encode(wanted)):
-        raw = (" " + text).encode()
-        if _joined(va, x) == raw and _joined(vb, y) == raw:
-            used.append(k)
-            ids_a.append(x)
-            ids_b.append(y)
+    ids_a, ids_b = va.encode(wanted), vb.encode(wanted)
+    found = [
+        k for k, (text, x, y) in enumerate(zip(wanted, va.joined(ids_a), vb.joined(ids_b)))
+        if x == y and x == (" " + text).encode()
+    ]
+    used, ids_a, ids_b = ([part[k] for k in found] for part in (some, ids_a, ids_b))
     n_a, n_b, n_groups = (np.zeros(size, np.int64) for _ in range(3))
     n_a[used] = [len(x) for x in ids_a]
     n_b[used] = [len(y) for y in ids_b]
-    a = np.array([i for x in ids_a for i in x], np.int64)
-    b = np.array([i for y in ids_b for i in y], np.int64)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *ids]) for ids in (ids_a, ids_b))
     link_a, link_b, close_a, close_b = overlaps(np.cumsum(va.lens[a]), np.cumsum(vb.lens[b]))
     text_of_a = np.repeat(np.arange(size), n_a)
     n_groups += np.bincount(text_of_a[close_a], minlength=size)

@@ -14,6 +14,10 @@ PIECE_BYTES = 4 << 20
 REMEMBERED_WORDS = 800_000
 JOINED_WORDS = 200
 _KEEPER = "_kept_encoders"
+# Fixed value: how byte-level vocabularies cut words.
+WORD_PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 
 
 @dataclass(frozen=True)
@@ -22,11 +26,15 @@ class TokenizerFile:
 
     ``blank_free`` states that the tokenizer only ends words at white space and gives it no ids, so
     that a text's ids are those of its words in order; the encoder then remembers words.
+    ``byte_ranks`` states that a byte-level vocabulary has its ids in the order of its merges, each
+    merge being the last one that its token goes through, and cuts words by ``WORD_PATTERN``; then
+    pairs may be merged by the id they give, which a faster library does.
     """
 
     path: str
     library: str = "tokenizers"
     blank_free: bool = False
+    byte_ranks: bool = False
 
     def version(self) -> str:
         """Digest of the file's bytes."""

@@ -55,7 +55,7 @@ def pair_of_tokenizers() -> tuple[TokenizerFile, TokenizerFile]:
     import public_tokenizers
 
     return (
-        TokenizerFile(public_tokenizers.path("byte_bpe_50k.json")),
+        TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"), byte_ranks=True),
         TokenizerFile(public_tokenizers.path("piece_bpe_32k.model"), library="sentencepiece"),
     )
 

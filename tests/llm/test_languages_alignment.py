@@ -199,6 +199,41 @@ def test_alignment_of_odd_texts(spark, chunk):
     assert align_tokenizers(docs.where("false"), a, b).documents().count() == 0
 
 
+def test_merging_by_rank_gives_the_library_ids():
+    """What ``byte_ranks`` states of the file: each merge is its token's last, in the order of ids,
+    and words are cut alike around every character."""
+    import json
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from clickmill.llm.alignment import _byte_letters
+    from clickmill.llm.encoding import WORD_PATTERN
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    letters, spec = _byte_letters(), json.load(open(path))
+    assert spec["normalizer"] is None and spec["pre_tokenizer"]["use_regex"]
+    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i != 50256}
+    for n, merge in enumerate(spec["model"]["merges"]):
+        a, b = (bytes(letters[c] for c in p) for p in (merge.split(" ") if isinstance(merge, str) else merge))
+        parts, rank = [bytes([x]) for x in a + b], ranks[a + b]
+        assert rank == 256 + n
+        while True:
+            low, i = min((ranks.get(x + y, rank), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            if low >= rank:
+                break
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [a, b]
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    ranked = tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # Every character of the first plane's start, then every 37th of all; all were compared once.
+    for c in [*range(0x3100), *range(0x3100, 0x110000, 37)]:
+        if not 0xD800 <= c <= 0xDFFF:
+            s = f" x{chr(c)}y1{chr(c)}2.{chr(c)}. {chr(c)} "
+            assert ranked.encode_ordinary(s) == tok.encode(s, add_special_tokens=False).ids
+
+
 def test_merge_pieces_of_any_size():
     rng = np.random.default_rng(5)
     for _ in range(40):
