@@ -148,7 +148,7 @@ def test_scores(spark):
 
 
 def test_url_rules_against_brute_force(spark):
-    from clickmill.llm.url_rules import MIN_CONFIDENCE, MIN_SUPPORT, url_parts, url_tokens
+    from clickmill.llm.url_rules import MIN_CONFIDENCE, MIN_COUNT, MIN_SUPPORT, url_parts, url_tokens
     from pyspark.sql import functions as F
 
     host, path = url_parts(F.col("url"))
@@ -165,13 +165,14 @@ def test_url_rules_against_brute_force(spark):
     def confident(tokens):
         """The best confidence of any token combination of a page that passes the limits."""
         best = None
-        sets = {frozenset(tokens & t) for t, _ in seen} | {
-            frozenset(x & y & tokens) for (x, _), (y, _) in itertools.combinations(seen, 2)
+        near = [tokens & t for t, _ in seen]
+        sets = {frozenset(x) for x in near} | {
+            frozenset(x & y) for x, y in itertools.combinations(near, 2)
         }
         for s in sets - {frozenset()}:
             hits = [b for t, b in seen if s <= t]
             bad = sum(hits)
-            if bad and bad >= math.ceil(MIN_SUPPORT * len(seen)) and bad / len(hits) >= max(
+            if bad >= max(MIN_COUNT, math.ceil(MIN_SUPPORT * len(seen))) and bad / len(hits) >= max(
                 MIN_CONFIDENCE, bad_share + 1e-12
             ):
                 best = max(best or 0, bad / len(hits))
