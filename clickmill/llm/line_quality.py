@@ -12,7 +12,6 @@ SPAN = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_DOCS = 10
-MAX_SHARE = 0.01
 
 
 def _covered(rows: DataFrame) -> DataFrame:
@@ -46,14 +45,17 @@ def _covered(rows: DataFrame) -> DataFrame:
 
 
 def text_figures(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One row per document with its counts and, per line that has a word, key and word count."""
+    """One row per document with its counts and, per line that has a word, key, words and place.
+
+    ``content`` is the whole MD5 of the text, which tells copies from other texts.
+    """
     base = renamed(docs, doc_id=doc_id, text=text, host=host).select(
         "doc_id", whole("text").alias("t"), F.coalesce("host", F.lit("")).alias("host")
     )
     split = base.select(
         "doc_id", "host", "t", words(F.col("t")).alias("w"),
         F.filter(lines(F.col("t")), lambda x: strip_blanks(x) != "").alias("l"),
-        F.conv(F.substring(F.md5("t"), 1, 15), 16, 10).cast("long").alias("content"),
+        F.unhex(F.md5("t")).alias("content"),
     )
     hashed = split.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
     windows = hashed.withColumn(
@@ -89,15 +91,15 @@ def judge_documents(
     text: str = "text",
     host: str = "source",
     min_docs: int = MIN_DOCS,
-    max_share: float = MAX_SHARE,
+    with_text: bool = False,
 ) -> DataFrame:
     """One row per document: text figures, words on lines above the limit, and the verdict.
 
     A line is compared after stripping white space and lower-casing A-Z. It is above the limit when
-    at least ``min_docs`` distinct texts of the host hold it and they are at least ``max_share`` of
-    the host's distinct texts. Such a line counts as removed from all texts of the host but one
-    (the text with the smallest digest, and its exact copies), so no line is lost from a host. A
-    document fails the base rules with fewer than 20 words or over 30 % words in repeated 8-word
+    at least ``min_docs`` distinct texts of the host hold it, however many texts the host has. Such
+    a line is removed from all texts of the host but one (the text with the smallest digest, and its
+    exact copies), so no line is lost from a host; ``with_text`` adds ``cleaned_text``, the text
+    without those lines. A document fails the base rules with fewer than 20 words or over 30 % words in repeated 8-word
     windows, and is rejected as depleted when removal leaves fewer than 20 words.
 
     Texts are read once; the joins and counts move hashes and numbers only. Counts are combined
@@ -118,22 +120,39 @@ def judge_documents(
     holders = distinct.groupBy("host", "key").agg(
         F.count(F.lit(1)).alias("held"), F.min("content").alias("owner")
     ).where(F.col("held") >= min_docs)
-    sizes = figures.groupBy("host", "content").agg(F.lit(1).alias("_one")).groupBy("host").agg(
-        F.count(F.lit(1)).alias("texts")
-    )
-    above = materialize(
-        holders.join(sizes, "host").where(F.col("held") >= max_share * F.col("texts"))
-        .select("host", "key", "owner"), "above-limit",
-    )
+    above = materialize(holders.select("host", "key", "owner"), "above-limit")
     removed = (
         distinct.join(above, ["host", "key"]).where(F.col("content") != F.col("owner"))
         .groupBy("host", "content").agg(F.sum("n").alias("n_removed_words"))
     )
     n, out = F.col("n_words"), F.coalesce(F.col("n_removed_words"), F.lit(0))
     failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
-    return figures.drop("keyed").join(removed, ["host", "content"], "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    judged = figures.drop("keyed").join(removed, ["host", "content"], "left").select(
+        "doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (n - out >= MIN_WORDS)).alias("kept"),
         out.alias("n_removed_words"),
     )
+    if not with_text:
+        return judged.drop("host", "content")
+    texts = _without_lines(docs, text, host, above)
+    return judged.join(texts, ["host", "content"]).drop("host", "content")
+
+
+def _without_lines(docs: DataFrame, text: str, host: str, above: DataFrame) -> DataFrame:
+    """(host, content, cleaned_text): each distinct text of a host without its lines above the limit."""
+    texts = renamed(docs, text=text, host=host).select(
+        F.coalesce("host", F.lit("")).alias("host"), whole("text").alias("t")
+    ).withColumn("content", F.unhex(F.md5("t"))).groupBy("host", "content").agg(F.first("t").alias("t"))
+    texts = materialize(texts.withColumn("l", lines(F.col("t"))).drop("t"), "host-texts")
+    bare = strip_blanks(F.col("line"))
+    gone = texts.select("host", "content", F.posexplode("l").alias("pos", "line")).where(bare != "").select(
+        "host", "content", "pos", F.xxhash64("host", lower_ascii(bare)).alias("key")
+    ).join(above, ["host", "key"]).where(F.col("content") != F.col("owner")).groupBy(
+        "host", "content").agg(F.collect_set("pos").alias("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("gone"))
+    return texts.join(gone, ["host", "content"], "left").select(
+        "host", "content",
+        F.array_join(F.when(F.col("gone").isNull(), F.col("l")).otherwise(
+            F.transform(left, lambda i: F.get("l", i))), "\n").alias("cleaned_text"),
+    )

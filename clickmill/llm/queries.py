@@ -175,14 +175,11 @@ lk AS (
                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
            len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
     FROM (SELECT host, t, unnest(l) AS x FROM texts)),
-sizes AS (SELECT host, count(*) AS texts FROM texts GROUP BY host),
 above AS (
-    SELECT host, key, min(('0x' || substr(md5(t), 1, 15))::BIGINT) AS owner
-    FROM lk JOIN sizes USING (host) GROUP BY host, key, texts
-    HAVING count(DISTINCT t) >= 10 AND count(DISTINCT t) >= 0.01 * texts),
+    SELECT host, key, min(md5(t)) AS owner FROM lk GROUP BY host, key HAVING count(DISTINCT t) >= 10),
 gone AS (
     SELECT host, t, sum(n)::BIGINT AS n FROM lk JOIN above USING (host, key)
-    WHERE ('0x' || substr(md5(t), 1, 15))::BIGINT <> owner GROUP BY host, t),
+    WHERE md5(t) <> owner GROUP BY host, t),
 f AS (
     SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
            length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,

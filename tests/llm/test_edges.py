@@ -16,7 +16,7 @@ from clickmill.llm.mixing import score_documents
 from clickmill.llm.packing import pack_documents
 from clickmill.llm.repeats import drop_repeated_passages
 from clickmill.llm.token_cache import TokenCache, count_tokens
-from clickmill.llm.url_rules import judge_urls
+from clickmill.llm.url_rules import judge_urls, url_tokens
 
 from .helpers import documents, edge_rows, prose, split_words
 
@@ -151,6 +151,43 @@ def test_chat_edges(spark):
     assert rotate_perspectives(turns.where("false")).count() == 0
 
 
+def test_lines_above_the_limit_of_a_large_host(spark):
+    """Ten texts suffice on a host of two thousand, and the text comes back without the line."""
+    shared = "menu home news contact about legal terms privacy help more"
+    rows = [(k, (shared + "\n" if k < 15 else "") + prose(k, 25) + f"\n own {k}", "big") for k in range(2000)]
+    rows += [(5000 + k, shared + "\n" + prose(9000 + k, 25), "small") for k in range(9)] + [(None, None, None)]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r for r in judge_documents(docs, with_text=True).collect()}
+    assert len(got) == len(rows)
+    hit = [k for k in range(15) if got[k].n_removed_words == 10]
+    assert len(hit) == 14 and all(got[k].cleaned_text == rows[k][1].split("\n", 1)[1] for k in hit)
+    for i, t, _ in rows:
+        if i not in hit:
+            assert got[i].n_removed_words == 0 and got[i].cleaned_text == (t or "")
+
+
+def test_long_labelled_urls_do_not_widen_the_search(spark):
+    """Forty words on one bad page, and on a whole family of pages, are one item or none."""
+    alone = "https://bad.example.org/" + "/".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    family = [f"https://shop.test/{'/'.join('tpl' + chr(97 + k) for k in range(25))}/{i}" for i in range(30)]
+    mixed = [f"https://ok.test/{'/'.join('w' + chr(97 + k) for k in range(26) if (i * 2654435761 >> k) & 1)}" for i in range(200)]
+    urls = [alone, *family, *mixed]
+    pages = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id long, url string, tokens int")
+    labels = spark.createDataFrame(
+        [(k, int(k > 30 and k % 3 > 0), 0, "x") for k in range(len(urls))],
+        "doc_id long, quality int, toxic int, bad string")
+    got = {r.page_id: r for r in judge_urls(pages, labels).collect()}
+    assert got[0].verdict == "allow" and got[0].confidence is None
+    assert all(got[k].verdict == "block" and got[k].confidence == 1.0 for k in range(1, 31))
+
+
+def test_url_tokens_are_not_doubled(spark):
+    row = spark.createDataFrame([("https://a.my-shop.com/x",)], "url string").select(
+        url_tokens(F.lit("a.my-shop.com"), F.lit("/x"), F.col("url")).alias("t")).first()
+    assert sorted(row.t) == sorted([
+        "host:a", "host:my-shop", "host:com", "word:my", "word:shop", "path:x", "scheme:https"])
+
+
 def test_url_edges(spark):
     pages = spark.createDataFrame(
         [(1, None, 0), (2, "no scheme", 0), (3, "HTTP://WWW.Example.COM/en/?q", 0), (3, "http://x.net/fr/a", 0),
