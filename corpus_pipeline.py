@@ -16,49 +16,85 @@ from clickmill.llm.line_runs import drop_repeated_lines
 from clickmill.llm.lsh_forest import near_duplicates
 from clickmill.llm.packing import pack_documents
 from clickmill.llm.queries import word_tokenizer
+from clickmill.operators.ranking import global_row_number
 from clickmill.session import materialize, tune
 
+ROW = "_row_key"
 
-def _keep(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The documents whose id is (left_semi) or is not (left_anti) among ``ids``; null ids count."""
-    wanted = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")), how)
+def by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, in the order of ids.
+
+    The key is the id where ids are unique and not null. Otherwise rows are numbered by id, null ids
+    first, and by content; the numbered rows are stored, so that all jobs of a stage see one numbering.
+    """
+    n, distinct = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n == distinct:
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.xxhash64(*docs.columns)]
+    return global_row_number(docs, order, ROW)
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return docs.join(rows.select(ROW), ROW, "left_anti").drop(ROW)
+
+
+def _own(found: DataFrame) -> DataFrame:
+    return found.withColumnRenamed("doc_id", ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted; texts stay as they are."""
-    rejected = judge_documents(docs).where(~F.col("kept"))
-    return _keep(docs, rejected, "left_anti")
+    """Documents that pass the base rules and are not depleted; texts stay as they are.
+
+    Each row is judged for itself: null and repeated ids take no other row along. Null and empty
+    texts have no words and go; copies share a verdict; an empty table stays empty.
+    """
+    docs = by_row(docs)
+    rejected = _own(judge_documents(docs, doc_id=ROW).where(~F.col("kept")))
+    return _without(docs, rejected).select(docs.drop(ROW).columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that five or more share; ``n_chars`` follows the text."""
-    kept = drop_repeated_lines(docs).where("n_dropped > 0").select(
-        F.col("doc_id").alias("_id"), "kept_text"
-    ).dropDuplicates(["_id"])
+    """Documents without the lines that five or more share; ``n_chars`` follows the text.
+
+    A line stays in the row that comes last by id. All rows stay, also those with null or repeated
+    ids, each with its own text; null texts stay null; an empty table stays empty.
+    """
+    docs = by_row(docs)
+    kept = _own(drop_repeated_lines(docs, doc_id=ROW).where("n_dropped > 0")).select(ROW, "kept_text")
     text = F.coalesce("kept_text", "text")
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left").withColumns({
+    return docs.join(kept, ROW, "left").withColumns({
         "text": text,
         "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(
             F.char_length("kept_text").cast("long")
         ),
-    }).select(docs.columns)
+    }).select(docs.drop(ROW).columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    dropped = near_duplicates(docs).where("not kept and doc_id is not null")
-    return _keep(docs, dropped, "left_anti")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more).
+
+    The row that comes first by id stays, whether ids are null, repeated or neither. Null and empty
+    texts are like nothing and stay; an empty table stays empty.
+    """
+    docs = by_row(docs)
+    return _without(docs, _own(near_duplicates(docs, doc_id=ROW).where("not kept"))).select(
+        docs.drop(ROW).columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Only rows that hold one go, whatever their ids; null and empty texts hold none; null items are
+    not searched; an empty table stays empty.
+    """
+    docs = by_row(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _keep(docs, find_leaks(docs, benchmark), "left_anti")
+    return _without(docs, _own(find_leaks(docs, benchmark, doc_id=ROW)).select(ROW).distinct()).select(
+        docs.drop(ROW).columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences; each row is a document of its own, a null text the end id alone."""
     return pack_documents(docs, word_tokenizer()).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
         "offset",
