@@ -86,6 +86,29 @@ def _(t):
     return out
 
 
+def axes_sql(source: str, key: str) -> dict[str, str]:
+    """Views of ``reduce.reduced`` to two components of two columns (key, v): closed form."""
+    return {
+        "spread": f"""SELECT var_pop(v[1]) AS a, covar_pop(v[1], v[2]) AS b, var_pop(v[2]) AS c FROM {source}""",
+        "lead": "SELECT (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l, a, b, c FROM spread",
+        # The axis of the larger variance l is (b, l - a); the other one is at a right angle to it.
+        "axis": "SELECT b / sqrt(b * b + (l - a) ** 2) AS x, (l - a) / sqrt(b * b + (l - a) ** 2) AS y FROM lead",
+        "axes": """SELECT CASE WHEN greatest(x, y) >= -least(x, y) THEN [x, y] ELSE [-x, -y] END AS first,
+            CASE WHEN greatest(-y, x) >= -least(-y, x) THEN [-y, x] ELSE [y, -x] END AS second FROM axis""",
+        "turned": f"""SELECT {key}, [list_dot_product(v, first), list_dot_product(v, second)] AS v
+          FROM {source} CROSS JOIN axes""",
+    }
+
+
+@query("red_1_two_columns", sql(
+    "SELECT vec_id, round(v[1], 6) AS e0, round(v[2], 6) AS e1 FROM turned", sketch=SKETCH_SQL,
+    **axes_sql("sketch", "vec_id")))
+def _(t):
+    """Both components of two columns, which SQL finds in closed form."""
+    flat = reduced(sketched(t), "vec_id", "embedding", 2, "euclidean")
+    return flat.select("vec_id", *[F.round(F.element_at("embedding", d + 1), 6).alias(f"e{d}") for d in range(2)])
+
+
 @query("red_1_documents")
 def _(t):
     flat = materialize(textvec.random_projection(tfidf(t), "doc_id", 32), "projected")
