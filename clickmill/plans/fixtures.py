@@ -39,16 +39,18 @@ class Tables:
 
     @cached_property
     def _state(self) -> str:
-        """Number, size and last change of the files behind the derived tables."""
-        parts = [
-            self.raw(name).select(
-                F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"),
-                F.col("_metadata.file_modification_time").alias("m"),
-            ).distinct()
-            for name in ("orders", "lineitem", "part")
-        ]
-        files = parts[0].unionByName(parts[1]).unionByName(parts[2])
-        return str(files.agg(F.count("f"), F.sum("s"), F.max("m")).first())
+        """Number, size and last change of the files behind the derived tables, from their listing."""
+        found = []
+        for name in ("orders", "lineitem", "part"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+            files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(path, True)
+            n = size = last = 0
+            while files.hasNext():
+                file = files.next()
+                n, size = n + 1, size + file.getLen()
+                last = max(last, file.getModificationTime())
+            found.append((name, n, size, last))
+        return str(found)
 
     def _stored(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, f"{name} {self._state}")
