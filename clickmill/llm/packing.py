@@ -21,6 +21,7 @@ MIN_CUT = 16
 MERGE_PARTITIONS = 64
 END_ID = 1
 ROWS_PER_BATCH = 2048
+TEXTS_PER_SLICE = 1024
 
 _PIECE = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -171,10 +172,10 @@ def pack_documents(
         packer = _Packer(window, open_windows, min_cut, TaskContext.get().partitionId() << 32)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1)
-            for k in range(0, len(keys), 256):
-                part = enc.ids(texts.slice(k, 256).to_pylist())
-                for key, ids in zip(keys[k:k + 256], part):
-                    packer.add(key, np.append(ids, np.uint32(end_id)).astype("<u4"))
+            for k in range(0, len(keys), TEXTS_PER_SLICE):
+                part = enc.ids(texts.slice(k, TEXTS_PER_SLICE).to_pylist(), end_id)
+                for key, ids in zip(keys[k:k + TEXTS_PER_SLICE], part):
+                    packer.add(key, ids.astype("<u4", copy=False))
                 if len(packer.rows) >= ROWS_PER_BATCH:
                     yield packer.batch()
         packer.finish()
