@@ -589,6 +589,27 @@ def _(t):
     return found.withColumn("prediction", F.round("prediction", 6))
 
 
+RATING_WORDS, RATING_NUMBERS = ["user_id", "movie_title", "movie_genre"], ["one", "movie_year", "timestamp"]
+
+
+def rating_blocks(t: Tables, part) -> fmblocks.FeatureBlocks:
+    rows = t.movie_ratings.withColumns({
+        "one": F.lit(1.0), "movie_year": (F.col("movie_year") - 2000) / 10, "timestamp": F.col("timestamp") / 3e7 - 27})
+    return fmblocks.FeatureBlocks(rows.where(part), "rating_id", "user_rating", RATING_WORDS, RATING_NUMBERS)
+
+
+# A regression over all users and titles has no closed form; the single feature above has, and the
+# test holds the solver against a dense one.
+@query("rnk_1_all_features")
+def _(t):
+    """Ratings of the held-out rows from user, title, genre, year and time."""
+    draw = hash_uniform(F.col("rating_id"), F.lit(42))
+    train, test = rating_blocks(t, draw < fm.TRAIN_SHARE), rating_blocks(t, draw >= fm.TRAIN_SHARE)
+    params, _residuals = fmblocks.conjugate_gradient(train)
+    found = fmblocks.linear_scores(test, params).withColumnRenamed("score", "prediction")
+    return found.join(t.movie_ratings.select("rating_id", "user_rating"), "rating_id")
+
+
 def _matrix_sql(name: str, cols: list[str]) -> str:
     cells = " UNION ALL ".join(
         f"SELECT interaction_id, score, '{c}=' || {c} AS feature FROM keyed WHERE {c} IS NOT NULL" for c in cols)
