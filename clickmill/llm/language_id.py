@@ -15,6 +15,7 @@ from .columns import renamed
 UNDETERMINED = "und"
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_TEXTS = 256
+SHARES = 64
 MAX_LANGUAGES = 256
 PIECE_BYTES = 4096
 LEVEL = 6
@@ -68,11 +69,13 @@ def learn_dictionaries(
     )
     distinct_values(rows, "lang", max_languages)
     hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    drawn = (
-        hashed.select("lang", "h").distinct()
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_texts)
-    )
+    # First within shares: however many tasks send their smallest hashes, no task ranks them all.
+    drawn = hashed.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(SHARES)))
+    for group in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy("h")
+        drawn = drawn.withColumn("rank", F.row_number().over(order)).where(
+            F.col("rank") <= sample_texts)
+    drawn = drawn.drop("part")
     share = F.ceil(dictionary_bytes / F.max("rank").over(Window.partitionBy("lang"))).cast("int")
     drawn = drawn.withColumn("share", share)
     room = F.greatest(F.char_length("text") - F.col("share"), F.lit(0))
