@@ -28,12 +28,17 @@ def users_without_positive(interactions: DataFrame) -> DataFrame:
     return totals.where(F.col("score") == 0)
 
 
-def _profile_cells(categories: Sequence[str], sub_categories: Sequence[str]) -> list[Column]:
-    liked = F.col("score") == 1
-    cells = [F.count_if(liked & (F.col("category") == c)).alias(CAT + c) for c in categories]
-    return cells + [
-        F.count_if(liked & (F.col("sub_category") == c)).alias(SUB + c) for c in sub_categories
-    ]
+def taste_counts(interactions: DataFrame) -> DataFrame:
+    """(user_id, name, n): positive counts per user and prefixed value, in long form.
+
+    Every user has a row per value met, also where none of the interactions is positive; there is no
+    limit on the number of values.
+    """
+    names = F.array(
+        F.concat(F.lit(CAT), F.col("category")), F.concat(F.lit(SUB), F.col("sub_category"))
+    )
+    liked = (F.col("score") == 1).cast("int")
+    return interactions.select("user_id", F.explode(names).alias("name"), liked.alias("n"))
 
 
 def taste_profile(
@@ -41,9 +46,11 @@ def taste_profile(
 ) -> DataFrame:
     """Positive counts per user for categories and sub-categories; zero rows for the others.
 
-    One map-side combined aggregate yields all columns and all users.
+    Counts are made per user and value, and only they are turned into columns.
     """
-    return interactions.groupBy("user_id").agg(*_profile_cells(categories, sub_categories))
+    names = [*prefixed(CAT, categories), *prefixed(SUB, sub_categories)]
+    wide = taste_counts(interactions).groupBy("user_id").pivot("name", names).agg(F.sum("n"))
+    return wide.na.fill(0, names)
 
 
 def row_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -66,11 +73,9 @@ def median_hours(interactions: DataFrame) -> DataFrame:
 def user_features(
     interactions: DataFrame, categories: Sequence[str], sub_categories: Sequence[str]
 ) -> DataFrame:
-    """Category shares, sub-category shares and scaled median hour per user, in one shuffle."""
-    median = F.median(F.col("time").cast("int")) / HOURS_PER_DAY
-    raw = interactions.groupBy("user_id").agg(
-        *_profile_cells(categories, sub_categories), median.alias("median_time")
-    )
+    """Category shares, sub-category shares and scaled median hour per user."""
+    hours = median_hours(interactions).select("user_id", "median_time")
+    raw = taste_profile(interactions, categories, sub_categories).join(hours, "user_id")
     shares = row_shares(raw, prefixed(CAT, categories))
     return row_shares(shares, prefixed(SUB, sub_categories))
 

@@ -72,6 +72,24 @@ def interaction_events(behaviors: DataFrame, label_mode: str = "label") -> DataF
     return both.withColumn("time", end_hour(F.col("ts")))
 
 
+def events_of_long_log(log: DataFrame, shown: DataFrame, past: DataFrame) -> DataFrame:
+    """The events of ``interaction_events`` from a log whose lists are rows already.
+
+    ``log`` is (impression_id, user_id, time), ``shown`` (impression_id, pos, news_id, label) and
+    ``past`` (user_id, pos, news_id), a user's history. A list of any length is many rows that meet
+    their log row by key, so no row and no task holds a list as a whole.
+    """
+    with_past = log.join(past.select("user_id").distinct(), "user_id", "left_semi")
+    first = first_per_group(with_past, ["user_id"], [F.col("time"), F.col("impression_id")])
+    keep = ["impression_id", "user_id", "time", "pos", "news_id"]
+    history = past.join(first, "user_id").select(
+        *keep, F.lit("history").alias("interaction_type"), F.lit(1).alias("score"))
+    impressions = shown.join(log, "impression_id").select(
+        *keep, F.lit("impression").alias("interaction_type"), F.col("label").try_cast("int").alias("score"))
+    both = history.unionByName(impressions).withColumnRenamed("time", "ts")
+    return both.withColumn("time", end_hour(F.col("ts")))
+
+
 def with_article(events: DataFrame, news: DataFrame, cols: Sequence[str] = ARTICLE_COLUMNS) -> DataFrame:
     """Article attributes per event; unknown articles drop out (see ``unknown_articles``).
 

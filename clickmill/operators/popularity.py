@@ -126,10 +126,8 @@ def interaction_counts(
 ) -> DataFrame:
     """Log rows with one history and one click counter per category."""
     tokens = interaction_counts_long(behaviors, news, ["impression_id"])
-    cells = {
-        f"{c}_{kind}": F.count_if((F.col("kind") == kind) & (F.col("category") == c))
-        for kind in ("history", "impression")
-        for c in categories
-    }
-    counts = tokens.groupBy("impression_id").agg(*[v.alias(n) for n, v in cells.items()])
-    return behaviors.join(counts, "impression_id", "left").na.fill(0, list(cells))
+    names = [f"{c}_{kind}" for kind in ("history", "impression") for c in categories]
+    # Counted per row and name first; only those counts become columns.
+    named = tokens.select("impression_id", F.concat_ws("_", "category", "kind").alias("name"))
+    counts = named.groupBy("impression_id").pivot("name", names).agg(F.count(F.lit(1)))
+    return behaviors.join(counts, "impression_id", "left").na.fill(0, names)

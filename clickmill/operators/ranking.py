@@ -11,6 +11,7 @@ from ..session import materialize
 
 _SLOT, _PART = "_slot", "_part"
 GROUP_LIMIT = 1000  # Spark's default for pushing a rank filter below the shuffle
+LOCAL_ROWS = 100_000  # rows of one key that a task numbers by itself
 SHARES = 64
 _SLOT_BITS = 33  # low bits of monotonically_increasing_id: index within the partition
 
@@ -59,11 +60,34 @@ def group_row_number(
     order_by: Sequence[Column | str],
     out: str = "row_num",
     size: str | None = None,
+    local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """1-based position within each key; one key's rows may span many partitions.
 
-    ``size`` names a further column with the key's number of rows. Keys must not be null.
+    Keys of up to ``local_rows`` rows are numbered by a window, with one shuffle. Larger ones, found
+    by a count, are sorted by range, so that their rows are dealt over many tasks. ``size`` names a
+    further column with the key's number of rows. Keys must not be null; ``df`` is read twice.
     """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > local_rows)
+    large = materialize(sizes.select(*keys), "large-keys")
+    if not large.limit(1).count():
+        return _numbered_locally(df, keys, order_by, out, size)
+    small = df.join(large, list(keys), "left_anti")
+    return _numbered_locally(small, keys, order_by, out, size).unionByName(
+        _numbered_by_range(df.join(large, list(keys), "left_semi"), keys, order_by, out, size))
+
+
+def _numbered_locally(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], out: str, size: str | None
+) -> DataFrame:
+    whole = Window.partitionBy(*keys)
+    placed = df.withColumn(out, F.row_number().over(whole.orderBy(*[_col(c) for c in order_by])).cast("long"))
+    return placed.withColumn(size, F.count("*").over(whole)) if size else placed
+
+
+def _numbered_by_range(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], out: str, size: str | None
+) -> DataFrame:
     stored = _stored_in_order(df, [*keys, *order_by])
     runs = stored.groupBy(*keys, _PART).agg(F.min(_SLOT).alias("_first"), F.count("*").alias("_run"))
     # A key has at most one run per range partition, so these windows stay short.

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_bin
-from ..operators.interactions import decompose_interactions
-from ..operators.ranking import first_per_group
+from ..operators.interactions import events_of_long_log, with_article
+from ..operators.ranking import first_per_group, group_row_number
 from ..session import materialize, spread
 
 # Fixed values of the derivation.
@@ -82,71 +82,81 @@ class Tables:
         )
 
     @cached_property
-    def _order_tokens(self) -> DataFrame:
-        return self._stored("order_tokens", self._encoded_orders)
-
-    def _encoded_orders(self) -> DataFrame:
-        """Encoded line items per order, as the raw log holds them: one list per order."""
-        token = F.struct("l_linenumber", "l_partkey", "l_returnflag")
-        packed = self.raw("lineitem").groupBy("l_orderkey").agg(
-            F.sort_array(F.collect_list(token)).alias("toks")
+    def _order_items(self) -> DataFrame:
+        return self._stored("order_items", self._long_orders)
+
+    def _long_orders(self) -> DataFrame:
+        """Line items in long form: (l_orderkey, pos, news_id, label), positions from 0."""
+        items = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+        placed = group_row_number(
+            items, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_returnflag"], "place")
+        return placed.select(
+            "l_orderkey", (F.col("place") - 1).cast("int").alias("pos"),
+            F.concat(F.lit("N"), F.col("l_partkey").cast("string")).alias("news_id"),
+            F.when(F.col("l_returnflag") == "R", "1").otherwise("0").alias("label"),
         )
 
-        def label(t):
-            return F.when(t["l_returnflag"] == "R", "1").otherwise("0")
-
-        def article(t):
-            return F.concat(F.lit("N"), t["l_partkey"].cast("string"))
-
-        return packed.select(
-            "l_orderkey",
-            F.array_join(F.transform("toks", article), " ").alias("items"),
-            F.array_join(
-                F.transform("toks", lambda t: F.concat(article(t), F.lit("-"), label(t))), " "
-            ).alias("impressions"),
+    @cached_property
+    def _log(self) -> DataFrame:
+        """(o_custkey, impression_id, user_id, time): one row per order from the log start on."""
+        seconds = (F.col("o_orderkey") * 7919 % 90000).cast("decimal(18,6)")
+        offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+        orders = self.raw("orders").where(F.col("o_orderdate") >= F.lit(LOG_START).cast("timestamp_ntz"))
+        return orders.select(
+            "o_custkey", F.col("o_orderkey").alias("impression_id"),
+            F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("user_id"),
+            (F.lit(DAY).cast("timestamp_ntz") + offset).alias("time"),
         )
 
+    @cached_property
+    def _first_orders(self) -> DataFrame:
+        """(o_custkey, o_orderkey): each user's first order, if it lies before the log start."""
+        orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        return first_per_group(
+            orders.where(F.col("o_orderdate") < F.lit(LOG_START).cast("timestamp_ntz")),
+            ["o_custkey"],
+            [F.col("o_orderdate"), F.col("o_orderkey")],
+        ).select("o_custkey", "o_orderkey")
+
     @cached_property
     def behaviors(self) -> DataFrame:
         return self._stored("behaviors", self._behaviors)
 
     def _behaviors(self) -> DataFrame:
-        """Log rows: one per order from the log start on.
+        """The log in its own format, with one encoded list per order, which must fit a row.
 
         A user's history is the item list of their first order, if that lies before the log start.
+        Only queries on that format read it; interactions come from the items in long form.
         """
-        orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        start = F.lit(LOG_START).cast("timestamp_ntz")
-        early = first_per_group(
-            orders.where(F.col("o_orderdate") < start),
-            ["o_custkey"],
-            [F.col("o_orderdate"), F.col("o_orderkey")],
-        )
-        past = self._order_tokens.select("l_orderkey", "items")
-        history = early.join(past, F.col("o_orderkey") == F.col("l_orderkey")).select(
-            "o_custkey", F.col("items").alias("history")
+        token = F.struct("pos", "news_id", "label")
+        packed = self._order_items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(token)).alias("t"))
+        encoded = packed.select(
+            "l_orderkey", F.array_join(F.col("t.news_id"), " ").alias("items"),
+            F.array_join(
+                F.transform("t", lambda x: F.concat(x["news_id"], F.lit("-"), x["label"])), " "
+            ).alias("impressions"),
         )
-        shown = self._order_tokens.select("l_orderkey", "impressions")
-        seconds = (F.col("o_orderkey") * 7919 % 90000).cast("decimal(18,6)")
-        offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+        past = encoded.select(F.col("l_orderkey").alias("o_orderkey"), F.col("items").alias("history"))
+        history = self._first_orders.join(past, "o_orderkey").select("o_custkey", "history")
+        shown = encoded.select(F.col("l_orderkey").alias("impression_id"), "impressions")
         return (
-            orders.where(F.col("o_orderdate") >= start)
-            .join(shown, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+            self._log.join(shown, "impression_id", "left")
             .join(history, "o_custkey", "left")
-            .select(
-                F.col("o_orderkey").alias("impression_id"),
-                F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("user_id"),
-                (F.lit(DAY).cast("timestamp_ntz") + offset).alias("time"),
-                "history",
-                "impressions",
-            )
+            .select("impression_id", "user_id", "time", "history", "impressions")
         )
 
     @cached_property
     def interactions(self) -> DataFrame:
-        return self._stored(
-            "interactions", lambda: decompose_interactions(self.behaviors, self.news)
-        )
+        return self._stored("interactions", self._interactions)
+
+    def _interactions(self) -> DataFrame:
+        """One row per event, an order's items being rows throughout."""
+        items = self._order_items
+        shown = items.withColumnRenamed("l_orderkey", "impression_id")
+        past = self._first_orders.join(
+            items.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey"
+        ).select(F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("user_id"), "pos", "news_id")
+        return with_article(events_of_long_log(self._log.drop("o_custkey"), shown, past), self.news)
 
     @cached_property
     def item_clusters(self) -> DataFrame:

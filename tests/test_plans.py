@@ -3,11 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clickmill.operators import popularity
+from clickmill.operators import features, popularity, sequences
 from clickmill.operators.interactions import first_history
 from clickmill.operators.ranking import top_n_per_group
 from clickmill.plans import registry
 from clickmill.plans.fixtures import Tables
+from clickmill.session import materialize
 
 SF_DIR = "/root/testdata/sf0.001"
 registry.load_all()
@@ -53,3 +54,27 @@ def test_popularity_is_counted_before_the_join(spark):
     text = plan(popularity.article_popularity(t.behaviors, t.news))
     assert "partial_count" in text
     assert text.index("Join") < text.index("HashAggregate")
+
+
+def test_no_predicate_per_value(spark):
+    """Wide counts are pivoted from counts per key and value."""
+    t = Tables(spark, SF_DIR)
+    many = [f"v{n}" for n in range(50)]
+    for text in (
+        plan(features.taste_profile(t.interactions, many, many)),
+        plan(popularity.interaction_counts(t.behaviors, t.news, many)),
+    ):
+        assert "count_if" not in text and "CASE WHEN" not in text and "pivotfirst" in text
+
+
+def test_interactions_hold_no_list(spark):
+    text = plan(Tables(spark, SF_DIR)._interactions())
+    assert "collect_list" not in text and "split(" not in text
+
+
+def test_sequence_contexts_take_one_exchange(spark):
+    t = Tables(spark, SF_DIR)
+    ratings = materialize(t.movie_ratings, "ratings")
+    found = sequences.next_item_examples(
+        ratings, "user_id", ["timestamp", "rating_id"], "movie_id", {"movie_year": F.lit(0)})
+    assert plan(found).count("Exchange") == 1

@@ -27,9 +27,11 @@ def test_global_row_number(hot):
     assert got["id"].tolist() == want["id"].tolist()
 
 
-def test_group_row_number(hot):
+@pytest.mark.parametrize("local_rows", [0, 100, 100_000])
+def test_group_row_number(hot, local_rows):
+    """By windows, by ranges, and the hot key alone by ranges."""
     pdf, df = hot
-    got = ranking.group_row_number(df, ["key"], ["score", "id"]).toPandas()
+    got = ranking.group_row_number(df, ["key"], ["score", "id"], local_rows=local_rows).toPandas()
     want = pdf.sort_values(["key", "score", "id"])
     want["row_num"] = want.groupby("key").cumcount() + 1
     merged = got.merge(want, on=["key", "score", "id"], suffixes=("", "_want"))
@@ -44,7 +46,8 @@ def test_hot_key_spans_partitions(hot):
     try:
         stored = ranking._stored_in_order(df, ["key", "score", "id"])
         assert stored.where("key = 'hot'").select("_part").distinct().count() > 2
-        placed = ranking.group_row_number(df, ["key"], ["score", "id"], size="n").where("key = 'hot'")
+        placed = ranking.group_row_number(
+            df, ["key"], ["score", "id"], size="n", local_rows=100).where("key = 'hot'")
         low, high, n, size = placed.agg(
             F.min("row_num"), F.max("row_num"), F.countDistinct("row_num"), F.max("n")).first()
         assert (low, high, n) == (1, size, size)
