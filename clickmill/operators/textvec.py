@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, plain_words, words
 from ..functions.vectors import hash_uniform
-from ..session import one_row
+from ..session import materialize, one_row
 from .vocab import frequency_vocabulary
 
+DICTIONARY_BYTES = 32 << 20
+
 
 def word_rows(df: DataFrame, key: str, text: Column, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """One row per word that is not a stop word."""
@@ -41,31 +46,63 @@ def tf_idf(bow: DataFrame, key: str, documents: DataFrame) -> DataFrame:
 
 
 def token_ids(
-    df: DataFrame, key: str, text: Column, max_tokens: int, length: int | None = None
+    df: DataFrame, key: str, text: Column, max_tokens: int, length: int | None = None,
+    dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> DataFrame:
     """Token ids per text: 0 pads, 1 unknown, then by falling frequency.
 
     The vocabulary has at most ``max_tokens`` entries; texts keep all their tokens unless
-    ``length`` asks for fixed-size rows.
+    ``length`` asks for fixed-size rows. A vocabulary of at most ``dictionary_bytes`` goes to the
+    tasks, which code the texts where they are read; a larger one is joined to the tokens.
     """
     rows = df.select(key, F.posexplode(plain_words(text)).alias("pos", "token"))
-    vocab = frequency_vocabulary(rows, "token", max_tokens, first_index=2)
-    coded = rows.join(vocab.select("token", "idx"), "token", "left").select(
+    vocab = materialize(
+        frequency_vocabulary(rows, "token", max_tokens, first_index=2).select("token", "idx"), "vocabulary")
+    size = vocab.agg(F.sum(F.octet_length("token") + 8)).first()[0] or 0
+    if size <= dictionary_bytes:
+        ids = _coded_in_place(df.select(key, plain_words(text).alias("words")), key, vocab)
+    else:
+        ids = _coded_by_join(df.select(key), rows, key, vocab)
+    if length is None:
+        return ids
+    filler = F.array_repeat(F.lit(0).cast("bigint"), length)
+    return ids.withColumn("ids", F.slice(F.concat("ids", filler), 1, length))
+
+
+def _coded_in_place(texts: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    """(key, ids) of word lists, by a dictionary in each task; the rows are neither split nor moved."""
+    entries = sorted((r["idx"], r["token"]) for r in vocab.collect())
+    tokens = pa.array([t for _, t in entries], pa.string())
+    numbers = pa.array([i for i, _ in entries], pa.int64())
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            at = pc.index_in(lists.flatten(), value_set=tokens)
+            ids = pc.fill_null(numbers.take(at), 1)
+            # Null lists have no words; offsets count from the first word of the batch.
+            lens = pc.fill_null(pc.list_value_length(lists), 0)
+            ends = np.concatenate([[0], np.cumsum(lens.to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.ListArray.from_arrays(pa.array(ends), ids)], ["key", "ids"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.mapInArrow(code, f"`{key}` {kind}, ids array<bigint>")
+
+
+def _coded_by_join(keys: DataFrame, rows: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    coded = rows.join(vocab, "token", "left").select(
         key, "pos", F.coalesce("idx", F.lit(1).cast("bigint")).alias("idx")
     )
     packed = coded.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("pairs")
     )
-    ids = df.select(key).join(packed, key, "left").select(
+    return keys.join(packed, key, "left").select(
         key,
         F.coalesce(
             F.transform("pairs", lambda p: p["idx"]), F.array().cast("array<bigint>")
         ).alias("ids"),
     )
-    if length is None:
-        return ids
-    filler = F.array_repeat(F.lit(0).cast("bigint"), length)
-    return ids.withColumn("ids", F.slice(F.concat("ids", filler), 1, length))
 
 
 def mean_embedding(ids: DataFrame, key: str, vectors: DataFrame, dim: int) -> DataFrame:

@@ -212,3 +212,16 @@ def test_token_ids_keep_whole_texts(spark):
     assert whole == {1: [2, 3, 2, 1], 2: []}
     fixed = {r["id"]: r["ids"] for r in textvec.token_ids(df, "id", F.col("t"), 4, length=5).collect()}
     assert fixed == {1: [2, 3, 2, 1, 0], 2: [0] * 5}
+
+
+def test_token_ids_by_dictionary_and_by_join(spark):
+    """The same ids either way; a dictionary moves no rows."""
+    rows = [(k, None if k == 3 else " ".join(f"w{(k * j) % 11}" for j in range(k % 17))) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    for length in (None, 6):
+        small, large = (
+            textvec.token_ids(df, "id", F.col("t"), 7, length, size) for size in (1 << 20, 0))
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    plan = textvec.token_ids(spark.range(5).select("id", F.lit("a b").alias("t")), "id", F.col("t"), 7)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "explode" not in text
