@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .columns import renamed, whole
 
 MAX_EDIT_SHARE = 0.1
@@ -310,7 +311,8 @@ def find_leaks(
     proposed by even pieces of at most that length: one piece at least is within the edit share.
 
     Items travel to the tasks in blocks of at most about ``block_words`` words, one pass over the
-    documents each, so memory is bounded whatever the size of the benchmark. Texts are not shuffled;
+    documents each, whose finds are stored before the next block is read; so the memory of driver and
+    tasks is bounded whatever the size of the benchmark. Texts are not shuffled;
     only finds are.
 
     Defined cases: null or empty texts hold nothing. Items with fewer than ``min_item_words`` words
@@ -325,7 +327,8 @@ def find_leaks(
     ).where("item_id is not null and text is not null")
     found = base.sparkSession.createDataFrame([], _FOUND_SQL)
     for block in item_blocks(items, block_words, edit_share, min_item_words, recall):
-        found = found.unionByName(base.mapInArrow(_search(block), _FOUND_SQL))
+        # Stored before the next block is read, so that one block at a time is in the driver.
+        found = found.unionByName(materialize(base.mapInArrow(_search(block), _FOUND_SQL), "leaks"))
     best = F.min(F.struct("distance", "start", "n_words")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "b.start", "b.n_words", "b.distance"
