@@ -56,6 +56,12 @@ def lloyd_labels(
     return _labelled(rows, key, centres).select(key, "cluster")
 
 
+def nearest_centres(block: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of every row, at nine digits, the lowest of equals."""
+    gaps = block[:, None, :] - table[None, :, :]
+    return np.round(np.sqrt((gaps * gaps).sum(axis=2)), 9).argmin(axis=1)
+
+
 def _labelled(rows: DataFrame, key: str, centres: list[list[float]]) -> DataFrame:
     """(key, _v, cluster): number of the nearest centre, the lowest of equals."""
     table = np.array(centres)
@@ -66,8 +72,7 @@ def _labelled(rows: DataFrame, key: str, centres: list[list[float]]) -> DataFram
             found = []
             for k in range(0, len(batch), LABEL_ROWS):
                 block = np.stack(batch["_v"].iloc[k:k + LABEL_ROWS].to_list())
-                gaps = block[:, None, :] - table[None, :, :]
-                found.append(np.round(np.sqrt((gaps * gaps).sum(axis=2)), 9).argmin(axis=1))
+                found.append(nearest_centres(block, table))
             yield batch.assign(cluster=np.concatenate([np.zeros(0, np.int64), *found]))
 
     return rows.mapInPandas(label, f"{key} {kind}, _v array<double>, cluster bigint")
@@ -136,12 +141,19 @@ def attach_labels(features: DataFrame, labels: DataFrame, key: str) -> DataFrame
 def item_clusters(
     items: DataFrame, text_vectors: DataFrame, k: int, dim_in: int, metric: str = "hellinger",
     method: str = "kmeans", eps: float = 0.05, min_samples: int = 10, min_cluster_size: int = 50,
+    rounds: int = 20,
 ) -> DataFrame:
-    """Items with a cluster from their text vectors (news_id, embedding)."""
+    """Items with a cluster from their text vectors (news_id, embedding).
+
+    ``method`` is ``kmeans`` (the library's), ``lloyd`` (``rounds`` rounds from hashed centres),
+    ``density`` or ``grid``.
+    """
     flat = reduced(text_vectors, "news_id", "embedding", min(2, dim_in), metric)
     flat = materialize(mean_imputed(flat, "embedding", 2), "items2d")
     if method == "kmeans":
         labels = kmeans_labels(flat, "news_id", k)
+    elif method == "lloyd":
+        labels = lloyd_labels(flat, "news_id", "embedding", k, rounds)
     elif method == "density":
         labels = neighbourhood_labels(flat, "news_id", 2, eps, min_samples, min_cluster_size)
     elif method == "grid":
@@ -151,10 +163,19 @@ def item_clusters(
     return attach_labels(items, labels, "news_id")
 
 
-def user_clusters(users: DataFrame, features: str, k: int = 50, metric: str = "euclidean") -> DataFrame:
-    """Users (user_id, features) with a cluster."""
+def user_clusters(
+    users: DataFrame, features: str, k: int = 50, metric: str = "euclidean", method: str = "kmeans",
+    rounds: int = 20,
+) -> DataFrame:
+    """Users (user_id, features) with a cluster; ``method`` is ``kmeans`` or ``lloyd``."""
     flat = materialize(reduced(users, "user_id", features, 2, metric), "users2d")
-    return attach_labels(users, kmeans_labels(flat, "user_id", k), "user_id")
+    if method == "kmeans":
+        labels = kmeans_labels(flat, "user_id", k)
+    elif method == "lloyd":
+        labels = lloyd_labels(flat, "user_id", "embedding", k, rounds)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return attach_labels(users, labels, "user_id")
 
 
 def cluster_sweep(
