@@ -1,8 +1,8 @@
 """Exact k nearest vectors without forming all pairs.
 
 Equal vectors are merged first, so a crowd of copies counts once. A candidate side that is small by
-checked size goes to the tasks as one matrix. A large one is cut into cells around pivots; each query
-first searches its best cells for a bound and then only the cells that the triangle inequality cannot
+checked size goes to the tasks as one matrix. A large one is cut into cells around pivots, about as many
+as the root of its rows and kept in groups; each query first searches its nearest cells for a bound and then only the cells that the triangle inequality cannot
 rule out. Queries and candidates of a cell are both cut into bounded blocks, so a crowded cell
 spreads over many tasks, and a block returns only hits within a query's bound, k at most.
 """
@@ -10,10 +10,12 @@ spreads over many tasks, and a block returns only hits within a query's bound, k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Accumulator
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hellinger_scaled, l2_scaled
@@ -21,11 +23,12 @@ from ..session import materialize
 from .ranking import top_n_per_group
 
 SMALL_SIDE_BYTES = 32 * 2**20
-PIVOTS = 256
+PIVOT_BYTES = 16 * 2**20  # pivots go to every task
 BLOCK_ROWS = 2048
 DIGITS = 9  # costs are compared at this many digits, ties go to the smaller id
 NO_BOUND = 1e150
 _SLACK = 1e-7
+_ROUNDING = 1e-12
 _WORK = 4_000_000  # matrix cells scored at a time
 
 _SCALED = {"cosine": l2_scaled, "hellinger": hellinger_scaled}
@@ -108,75 +111,137 @@ def _against_matrix(queries: DataFrame, small, k: int, metric: str, schema: str)
 
 
 class _Cells:
-    """Candidates around pivots: cell sizes, radii and blocks."""
+    """Candidates in cells around pivots, the pivots in groups around the first few of them.
 
-    def __init__(self, candidates: DataFrame, metric: str, pivot_count: int, block_rows: int):
-        # A bounded sample by hash; any choice of pivots gives the same result.
+    With as many pivots as the root of the candidates, a cell holds about as many rows as there are
+    cells. A vector goes to the nearest group and to the nearest pivot of that group. So what lies in
+    a cell is within its radius and, for distances, on its side of the planes halfway to the other
+    groups and to the other pivots of its group: the farther of these bounds counts.
+    """
+
+    def __init__(self, candidates: DataFrame, metric: str, pivot_count: int | None, block_rows: int):
+        if pivot_count is None:
+            head = candidates.select(F.size("vector")).first()
+            most = max(1, PIVOT_BYTES // (8 * max(1, head[0] if head else 1)))
+            pivot_count = min(most, max(1, isqrt(candidates.count())))
+        # A bounded sample by hash.
         heads = candidates.orderBy(F.xxhash64("cid"), "cid").limit(pivot_count).collect()
         pivots = _matrix([r["vector"] for r in heads])
+        centres = pivots[: ceil(len(pivots) ** 0.5)]
+        group = _pivot_distances(pivots, centres).argmin(axis=1)
+        members = [np.flatnonzero(group == g) for g in range(len(centres))]
         self.pivots, self.metric, self.block_rows = pivots, metric, block_rows
+        self.centres, self.members = centres, members
 
         @F.pandas_udf("cell int, away double")
         def home(vectors: pd.Series) -> pd.DataFrame:
-            if not len(vectors):
-                return pd.DataFrame({"cell": [], "away": []})
-            d = _pivot_distances(_matrix(vectors), pivots)
-            return pd.DataFrame({"cell": d.argmin(axis=1), "away": d.min(axis=1)})
+            cell, away = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+            if len(vectors):
+                x = _matrix(vectors)
+                near = _pivot_distances(x, centres).argmin(axis=1)
+                for g in np.unique(near):
+                    rows = np.flatnonzero(near == g)
+                    d = _pivot_distances(x[rows], pivots[members[g]])
+                    cell[rows], away[rows] = members[g][d.argmin(axis=1)], d.min(axis=1)
+            return pd.DataFrame({"cell": cell, "away": away})
 
         placed = candidates.withColumn("home", home("vector"))
-        self.members = materialize(placed.select("cid", "vector", "home.cell", "home.away"), "cells")
+        self.placed = materialize(placed.select("cid", "vector", "home.cell", "home.away"), "cells")
         self.count, self.radius = np.zeros(len(pivots)), np.zeros(len(pivots))
-        stats = self.members.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r"))
+        stats = self.placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r"))
         for s in stats.collect():  # at most one row per pivot
             self.count[s["cell"]], self.radius[s["cell"]] = s["n"], s["r"]
-
-    def parts(self) -> Column:
-        """Number of blocks of the cell in column ``cell``."""
-        parts = np.maximum(1, np.ceil(self.count / self.block_rows)).astype(int)
-        return F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
+        parts = np.maximum(1, np.ceil(self.count / block_rows)).astype(int)
+        self.parts = candidates.sparkSession.createDataFrame(
+            list(enumerate(parts.tolist())), "cell int, parts int")
 
     def blocks(self) -> DataFrame:
         """One row per block: (cell, part, cids, flat)."""
-        part = F.pmod(F.xxhash64("cid"), self.parts()).cast("int").alias("part")
-        return _packed(self.members.select("cell", part, "cid", "vector"), ["cell", "part"], "cid")
+        rows = self.placed.join(self.parts, "cell")
+        part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part")
+        return _packed(rows.select("cell", part, "cid", "vector"), ["cell", "part"], "cid")
 
     def choosers(self, k: int):
         """UDFs that list a query's first cells, and the further cells that its bound leaves open."""
         pivots, radius, count, metric = self.pivots, self.radius, self.count, self.metric
-        filled = count > 0
-
-        def costs(q: np.ndarray):
-            """Lower and upper bound of the cost of anything in each cell."""
-            if metric == "euclidean":
-                d = _pivot_distances(q, pivots)
-                return np.maximum(d - radius, 0.0), d + radius
-            mid = -(q @ pivots.T)
-            reach = np.sqrt((q * q).sum(axis=1))[:, None] * radius
-            return mid - reach, mid + reach
-
-        def first_mask(high: np.ndarray) -> np.ndarray:
-            """Cheapest filled cells by their upper bound, until they hold k candidates."""
-            order = np.argsort(np.where(filled, high, np.inf), axis=1, kind="stable")
-            before = np.cumsum(count[order], axis=1) - count[order]
-            mask = np.zeros(high.shape, dtype=bool)
-            np.put_along_axis(mask, order, before < k, axis=1)
-            return mask & filled
-
-        def listed(mask: np.ndarray) -> pd.Series:
-            return pd.Series([np.flatnonzero(row).astype(np.int32) for row in mask], dtype=object)
+        centres, members = self.centres, self.members
+        centre_gaps, member_gaps = _gaps(centres), [_gaps(pivots[m]) for m in members]
+        from_centre = [_pivot_distances(pivots[m], centres[g : g + 1])[:, 0] for g, m in enumerate(members)]
+        held = np.array([count[m].sum() for m in members])
+        reach = np.array([
+            np.where(count[m] > 0, d + radius[m], 0.0).max() for m, d in zip(members, from_centre)])
+
+        def middle(q: np.ndarray, places: np.ndarray) -> np.ndarray:
+            return _pivot_distances(q, places) if metric == "euclidean" else -(q @ places.T)
+
+        def width(q: np.ndarray) -> np.ndarray:
+            """How much the cost can change within one unit of distance."""
+            return np.ones(len(q)) if metric == "euclidean" else np.sqrt((q * q).sum(axis=1))
+
+        def listed(rows: np.ndarray, cells: np.ndarray, n: int) -> list:
+            order = np.lexsort((cells, rows))
+            ends = np.searchsorted(rows[order], np.arange(1, n))
+            return np.split(cells[order].astype(np.int32), ends)
+
+        def lowest(mid: np.ndarray, spread: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+            """Lower bound of the cost of anything around each place."""
+            return np.maximum(mid - spread, _beyond_planes(mid, gaps)) if metric == "euclidean" else mid - spread
+
+        def in_groups(q: np.ndarray, open_groups: np.ndarray):
+            """(row, cell, middle, lowest) of every filled cell of the groups that are open for a row."""
+            none = np.zeros(0, np.int64)
+            out, per = [(none, none, np.zeros(0), np.zeros(0))], width(q)
+            for g in np.flatnonzero(open_groups.any(axis=0)):
+                rows, mine = np.flatnonzero(open_groups[:, g]), members[g]
+                filled = count[mine] > 0
+                mid = middle(q[rows], pivots[mine])
+                low = lowest(mid, per[rows, None] * radius[mine], member_gaps[g])
+                out.append((np.repeat(rows, filled.sum()), np.tile(mine[filled], len(rows)),
+                            mid[:, filled].ravel(), low[:, filled].ravel()))
+            return tuple(np.concatenate(x) for x in zip(*out))
+
+        def taken(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            """Which entries, in order per row, are needed until they hold k candidates."""
+            before = np.cumsum(sizes) - sizes
+            return before - before[np.searchsorted(rows, rows)] < k
+
+        def first_cells(q: np.ndarray) -> list:
+            """Filled cells with the nearest pivots, from the nearest groups, that hold k candidates."""
+            mid = np.where(held > 0, middle(q, centres), np.inf)
+            order = np.argsort(mid, axis=1, kind="stable")
+            before = np.cumsum(held[order], axis=1) - held[order]
+            chosen = np.zeros(mid.shape, dtype=bool)
+            np.put_along_axis(chosen, order, before < k, axis=1)
+            rows, cells, mid, _ = in_groups(q, chosen & (held > 0))
+            order = np.lexsort((cells, mid, rows))
+            rows, cells = rows[order], cells[order]
+            keep = taken(rows, count[cells])
+            return listed(rows[keep], cells[keep], len(q))
+
+        def further_cells(q: np.ndarray, bound: np.ndarray, firsts: list) -> list:
+            limit = bound + _SLACK * (1 + np.abs(bound))
+            low = lowest(middle(q, centres), width(q)[:, None] * reach, centre_gaps)
+            rows, cells, _, low = in_groups(q, (held > 0) & (low <= limit[:, None]))
+            known = np.concatenate([i * len(pivots) + np.asarray(f, np.int64) for i, f in enumerate(firsts)])
+            keep = (low <= limit[rows]) & ~np.isin(rows * len(pivots) + cells, known)
+            return listed(rows[keep], cells[keep], len(q))
+
+        step = max(1, _WORK // max(1, len(pivots)))
 
         @F.pandas_udf("array<int>")
         def first(vectors: pd.Series) -> pd.Series:
-            return listed(first_mask(costs(_matrix(vectors))[1])) if len(vectors) else pd.Series([], dtype=object)
+            out = []
+            for i in range(0, len(vectors), step):
+                out += first_cells(_matrix(vectors.iloc[i : i + step]))
+            return pd.Series(out, dtype=object)
 
         @F.pandas_udf("array<int>")
-        def further(vectors: pd.Series, bound: pd.Series) -> pd.Series:
-            if not len(vectors):
-                return pd.Series([], dtype=object)
-            low, high = costs(_matrix(vectors))
-            limit = bound.to_numpy()[:, None]
-            still_open = filled & (low <= limit + _SLACK * (1 + np.abs(limit)))
-            return listed(still_open & ~first_mask(high))
+        def further(vectors: pd.Series, bound: pd.Series, firsts: pd.Series) -> pd.Series:
+            out = []
+            for i in range(0, len(vectors), step):
+                part = slice(i, i + step)
+                out += further_cells(_matrix(vectors.iloc[part]), bound.to_numpy()[part], firsts.iloc[part].to_list())
+            return pd.Series(out, dtype=object)
 
         return first, further
 
@@ -188,6 +253,23 @@ def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     ])
 
 
+def _gaps(places: np.ndarray) -> np.ndarray:
+    """Distances between places, infinite from a place to itself or its copies."""
+    d = _pivot_distances(places, places)
+    return np.where(d > 0, d, np.inf)
+
+
+def _beyond_planes(distance: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """How far each row lies beyond the planes halfway between a place and the others, at least 0.
+
+    ``distance`` is rows x places. Rounding of the squares is allowed for, also between close places.
+    """
+    square, out = distance * distance, np.zeros(distance.shape)
+    for j, gap in enumerate(gaps):
+        np.maximum(out, (square * (1 - _ROUNDING) - square[:, j : j + 1] * (1 + _ROUNDING)) / (2 * gap), out)
+    return out
+
+
 def _packed(df: DataFrame, keys: list[str], id_col: str, *more: str) -> DataFrame:
     """Rows of a bounded block as one row of flat arrays."""
     entry = F.struct(id_col, "vector", *more)
@@ -197,14 +279,16 @@ def _packed(df: DataFrame, keys: list[str], id_col: str, *more: str) -> DataFram
         *[F.col(f"e.{m}").alias(m) for m in more])
 
 
-def _scan(wanted: DataFrame, cells: _Cells, blocks: DataFrame, k: int, schema: str) -> DataFrame:
+def _scan(
+    wanted: DataFrame, cells: _Cells, blocks: DataFrame, k: int, schema: str, meter: Accumulator | None
+) -> DataFrame:
     """Score (qid, vector, bound, cell) rows against the blocks of their cells: k best per query."""
     metric, rows = cells.metric, cells.block_rows
     wanted = materialize(wanted, "wanted")
     crowd = wanted.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("packs"))
     numbered = wanted.join(crowd, "cell").withColumn("pack", F.pmod(F.xxhash64("qid"), F.col("packs")))
     packs = _packed(numbered, ["cell", "pack"], "qid", "bound")
-    packs = packs.withColumn("part", F.explode(F.sequence(F.lit(0), cells.parts() - 1)))
+    packs = packs.join(cells.parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = blocks.join(crowd, "cell").withColumn(
         "pack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("packs") - 1)))
     keys = ["cell", "part", "pack"]
@@ -216,6 +300,8 @@ def _scan(wanted: DataFrame, cells: _Cells, blocks: DataFrame, k: int, schema: s
         q_ids, c_ids = np.asarray(q["qids"].iloc[0]), np.asarray(c["cids"].iloc[0])
         q_mat = np.asarray(q["flat"].iloc[0]).reshape(len(q_ids), -1)
         c_mat = np.asarray(c["flat"].iloc[0]).reshape(len(c_ids), -1)
+        if meter is not None:
+            meter.add(len(q_ids) * len(c_ids))
         found, cols, cost = _best(q_mat, c_mat, c_ids, k, metric, np.asarray(q["bound"].iloc[0]))
         return pd.DataFrame({"qid": q_ids[found], "cid": c_ids[cols], "cost": cost})
 
@@ -229,20 +315,22 @@ def _scan(wanted: DataFrame, cells: _Cells, blocks: DataFrame, k: int, schema: s
 
 def _against_cells(
     queries: DataFrame, candidates: DataFrame, k: int, metric: str, schema: str,
-    pivot_count: int, block_rows: int,
+    pivot_count: int | None, block_rows: int, meter: Accumulator | None,
 ) -> DataFrame:
     cells = _Cells(candidates, metric, pivot_count, block_rows)
     first, further = cells.choosers(k)
     blocks = materialize(cells.blocks(), "blocks")
-    queries = materialize(queries.select("qid", "vector"), "queries")
+    # The first cells are stored, so that the second search leaves out exactly these.
+    queries = materialize(queries.select("qid", "vector", first("vector").alias("firsts")), "queries")
     no_bound = F.lit(NO_BOUND).alias("bound")
-    wanted = queries.select("qid", "vector", no_bound, F.explode(first("vector")).alias("cell"))
-    near = materialize(_scan(wanted, cells, blocks, k, schema), "near")
+    wanted = queries.select("qid", "vector", no_bound, F.explode("firsts").alias("cell"))
+    near = materialize(_scan(wanted, cells, blocks, k, schema, meter), "near")
     found = near.groupBy("qid").agg(F.count("*").alias("n"), F.max("cost").alias("worst"))
     bound = F.when(F.col("n") < k, F.lit(NO_BOUND)).otherwise(F.col("worst")).alias("bound")
-    bounded = queries.join(found, "qid").select("qid", "vector", bound)
-    wanted = bounded.select("*", F.explode(further("vector", "bound")).alias("cell"))
-    return _cheapest(near.unionByName(_scan(wanted, cells, blocks, k, schema)), "cid", k)
+    bounded = queries.join(found, "qid").select("qid", "vector", "firsts", bound)
+    open_cells = F.explode(further("vector", "bound", "firsts")).alias("cell")
+    wanted = bounded.select("qid", "vector", "bound", open_cells)
+    return _cheapest(near.unionByName(_scan(wanted, cells, blocks, k, schema, meter)), "cid", k)
 
 
 def nearest(
@@ -252,14 +340,17 @@ def nearest(
     metric: str = "euclidean",
     exclude_self: bool = False,
     small_side: int | None = None,
-    pivot_count: int = PIVOTS,
+    pivot_count: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    meter: Accumulator | None = None,
 ) -> DataFrame:
     """The k best candidates of every query: (id, neighbor, score, rank).
 
     Both sides are (id, vector). ``euclidean``, ``cosine`` and ``hellinger`` rank by distance,
     ``dot`` by product; equal scores rank by id. ``exclude_self`` drops the candidate with the
-    query's own id. ``small_side`` overrides the largest row count that is sent as one matrix.
+    query's own id. ``small_side`` overrides the largest row count that is sent as one matrix,
+    ``pivot_count`` the number of cells (by default the root of the candidates, as far as the pivots fit
+    ``PIVOT_BYTES``). ``meter`` adds up the pairs that the cell search scores.
     """
     core = "dot" if metric == "dot" else "euclidean"
     scale = _SCALED.get(metric, lambda v: v)
@@ -284,7 +375,7 @@ def nearest(
     if small is not None:
         hits = _against_matrix(asked, small, keep, core, schema)
     else:
-        hits = _against_cells(asked, sole, keep, core, schema, pivot_count, block_rows)
+        hits = _against_cells(asked, sole, keep, core, schema, pivot_count, block_rows, meter)
     hits = materialize(hits, "hits")  # the search runs once, however often the result is read
     members = hits.join(unique.select("cid", "ids"), "cid").select(
         "qid", "cost", F.explode("ids").alias("neighbor")

@@ -91,3 +91,27 @@ def test_top_k_accuracy(spark):
     positives = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12)], "query_id bigint, candidate_id bigint")
     rows = retrieval.top_k_accuracy(positives, queries, candidates, [1, 2, 5]).collect()
     assert {r["metric"]: r["accuracy"] for r in rows} == {"top_1": 0.5, "top_2": 0.75, "top_5": 1.0}
+
+
+def test_pairs_grow_like_the_root_of_all_pairs(spark):
+    """Ten times the rows: less than forty times the scored pairs, and still the brute-force result."""
+    rng = np.random.default_rng(2)
+    counts = []
+    for n in (300, 3000):
+        x = rng.normal(size=(n, 3))
+        meter = spark.sparkContext.accumulator(0)
+        got = found(knn.nearest(
+            frame(spark, range(n), x), frame(spark, range(n), x), 3, exclude_self=True, small_side=0, block_rows=64,
+            meter=meter))
+        counts.append(meter.value)
+        asked = range(0, n, 50)
+        assert {i: got[i] for i in asked} == brute(asked, x[::50], range(n), x, 3, "euclidean", True)
+    assert 0 < counts[1] < 40 * counts[0] and counts[1] < 3000 * 3000 / 4
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dot"])
+def test_cells_by_the_root_of_the_rows(spark, cloud, metric):
+    ids, x = cloud
+    df = frame(spark, ids, x)
+    got = found(knn.nearest(df, df, 6, metric, exclude_self=True, small_side=0, block_rows=16))
+    assert got == brute(ids, x, ids, x, 6, metric, True)
