@@ -17,9 +17,13 @@ def behaviors_tsv(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("time", parse_time("time"))
 
 
-def news_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless catalogue; fields may be quoted, quotes inside are doubled."""
-    return spark.read.schema(schemas.NEWS).csv(path, sep="\t", quote='"', escape='"')
+def news_tsv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Headerless catalogue; fields may be quoted, quotes inside are doubled.
+
+    A quoted field may hold line ends. A file is then read by one task; a catalogue of few large files
+    without such fields reads faster with ``multi_line=False``.
+    """
+    return spark.read.schema(schemas.NEWS).csv(path, sep="\t", quote='"', escape='"', multiLine=multi_line)
 
 
 def table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

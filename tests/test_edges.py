@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clickmill.functions import text, timebin, vectors
 from clickmill.operators import features, interactions, popularity, report, temporal, vocab
 from clickmill.session import distinct_values, materialize, scratch_root
+from clickmill.sources import readers
 
 DAY = dt.datetime(2019, 11, 15)
 LOG = "impression_id bigint, user_id string, time timestamp_ntz, history string, impressions string"
@@ -195,3 +196,12 @@ def test_scratch_folder(spark):
     stored = materialize(spark.range(5), "probe")
     assert stored.count() == 5
     assert stored.inputFiles()[0].replace("file://", "").startswith(root)
+
+
+def test_catalogue_fields_may_hold_line_ends(spark, tmp_path):
+    path = tmp_path / "news.tsv"
+    path.write_text('N1\tsports\tgolf\t"A ""long""\ntitle"\tshort\turl\t[]\t[]\nN2\tnews\tworld\tplain\t\turl\t[]\t[]\n')
+    rows = {r["news_id"]: r for r in readers.news_tsv(spark, str(path)).collect()}
+    assert set(rows) == {"N1", "N2"}
+    assert rows["N1"]["title"] == 'A "long"\ntitle' and rows["N2"]["abstract"] is None
+    assert readers.news_tsv(spark, str(path), multi_line=False).count() == 3
