@@ -148,7 +148,8 @@ class ItemBlock:
             self.index[length] = [dict(t) for t in tables]
 
     def edits(self, length: int) -> int:
-        return int(length * self.edit_share)
+        # The share of a length may be a whole number that the float falls short of.
+        return int(length * self.edit_share + 1e-9)
 
     def find(self, ids: list, texts: list[list[bytes]]) -> list[tuple]:
         """(doc_id, item_id, start, n_words, distance) in a group of documents."""
@@ -180,8 +181,7 @@ class ItemBlock:
 
     def _of_length(self, length, stream, hits) -> set[tuple[int, int]]:
         """(item, its start) proposed by the pieces of one length, around their pairs ``hits``."""
-        # The share of a piece may be a whole number that the float falls short of.
-        edits = int(length * self.edit_share + 1e-9)
+        edits = self.edits(length)
         # An edit takes at most two of the piece's pairs of adjacent words.
         need = max(1, length - 1 - 2 * edits)
         span = length - 1 + edits

@@ -331,3 +331,12 @@ def test_components_in_many_tasks(spark):
     for per_task in (10, 10_000):
         got = {r.u: r.r for r in components(edges, per_task).collect()}
         assert all(got[k] == 0 for k in range(1, 401)) and 0 not in got
+
+
+def test_leak_edits_count_whole_shares():
+    """0.29 x 100 is 29, though the float product is less."""
+    from types import SimpleNamespace
+
+    from clickmill.llm.leaks import ItemBlock
+
+    assert [ItemBlock.edits(SimpleNamespace(edit_share=s), n) for s, n in ((0.29, 100), (0.1, 40), (0.1, 39), (0.1, 0))] == [29, 4, 3, 0]
