@@ -340,13 +340,26 @@ def _cluster_axes_sql(body: str, *views: str) -> str:
         *views, pts=body, **axes_sql("pts", "cluster"))
 
 
-# All feature columns have no closed form; the first two of each side, below, have.
-@query("fac_7_feature_start")
+def _cluster_components_sql(body: str, *views: str) -> str:
+    """Two components of the clusters' sums over all feature columns."""
+    from .clusters import components_sql, recursive
+
+    return recursive(sql(
+        """SELECT cluster, f, round(v[f + 1], 6) AS value FROM flat CROSS JOIN (SELECT unnest([0, 1])::INTEGER AS f)""",
+        *views, pts=body, **components_sql("pts", "cluster")))
+
+
+# All feature columns, then the first two of each side in closed form.
+@query("fac_7_feature_start", _cluster_components_sql(
+    "SELECT cluster, list(n ORDER BY name) AS v FROM cluster_sums GROUP BY cluster", "cluster_sums"))
 def _(t):
     return _start_of_clusters(*_item_features(t))
 
 
-@query("fac_7_feature_start_of_users")
+@query("fac_7_feature_start_of_users", _cluster_components_sql(
+    """SELECT cluster, list(n ORDER BY name) AS v FROM (
+         SELECT cluster, name, sum(share) AS n FROM user_shares JOIN user_clusters USING (user_id)
+         GROUP BY cluster, name) GROUP BY cluster""", "user_shares", "user_clusters"))
 def _(t):
     return _start_of_clusters(*_user_features(t))
 
