@@ -1,9 +1,13 @@
 """Neighbour search against brute force, with copies and crowded cells."""
 
+from pathlib import Path
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from clickmill.operators import knn, retrieval
+from clickmill.session import scratch_root
 
 
 def brute(q_ids, q, c_ids, c, k, metric, exclude_self):
@@ -115,3 +119,31 @@ def test_cells_by_the_root_of_the_rows(spark, cloud, metric):
     df = frame(spark, ids, x)
     got = found(knn.nearest(df, df, 6, metric, exclude_self=True, small_side=0, block_rows=16))
     assert got == brute(ids, x, ids, x, 6, metric, True)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dot", "cosine", "hellinger"])
+def test_several_shelves(spark, cloud, metric):
+    """Cells on shelves of 20 rows, crowded cells over several of them."""
+    ids, x = cloud
+    df = frame(spark, ids, x)
+    got = found(knn.nearest(
+        df, df, 4, metric, exclude_self=True, small_side=0, pivot_count=6, block_rows=16, shelf_rows=20))
+    assert got == brute(ids, x, ids, x, 4, metric, True)
+
+
+def test_what_is_stored_grows_with_the_rows_not_with_the_cells(spark):
+    """In many dimensions hardly a cell is ruled out; no vector is stored once per cell for that."""
+    rng = np.random.default_rng(4)
+    n, dim = 900, 64
+    x = rng.normal(size=(n, dim))
+    folder = Path(scratch_root(spark))
+
+    def vectors_held():
+        files = [pq.ParquetFile(f) for f in folder.rglob("*.parquet")]
+        return sum(f.metadata.num_rows for f in files if "vector" in f.schema_arrow.names)
+
+    before = vectors_held()
+    got = found(knn.nearest(frame(spark, range(n), x), frame(spark, range(n), x), 3, exclude_self=True, small_side=0))
+    assert vectors_held() - before < 10 * n
+    asked = range(0, n, 50)
+    assert {i: got[i] for i in asked} == brute(asked, x[::50], range(n), x, 3, "euclidean", True)
