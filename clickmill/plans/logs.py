@@ -77,7 +77,7 @@ def _(t):
 @query("src_4_chunked_table", sql(f"SELECT {EVENT_SQL} FROM interactions", "interactions"))
 def _(t):
     path = scratch_path(t.spark, "chunks")
-    sinks.write_chunks(t.interactions, path, 4, EVENT_ORDER)
+    sinks.write_chunks(t.described, path, 4, EVENT_ORDER)
     return event_columns(readers.chunks(t.spark, path))
 
 

@@ -72,6 +72,20 @@ def test_interactions_hold_no_list(spark):
     assert "collect_list" not in text and "split(" not in text
 
 
+def test_interactions_travel_by_number(spark):
+    """Rows meet orders and articles by numeric keys, once each; texts are no part of them."""
+    t = Tables(spark, SF_DIR)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(t._interactions())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "p_name" not in text and text.count("hashpartitioning(l_orderkey") == 1
+    assert text.count("Exchange hashpartitioning(news_id") == 2  # the events and the articles
+    assert {"title", "abstract"} & set(t.interactions.columns) == set()
+    assert t.described.count() == t.interactions.count()
+
+
 def test_sequence_contexts_take_one_exchange(spark):
     t = Tables(spark, SF_DIR)
     ratings = materialize(t.movie_ratings, "ratings")
