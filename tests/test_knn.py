@@ -5,6 +5,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from clickmill.operators import knn, retrieval
 from clickmill.session import scratch_root
@@ -147,3 +148,12 @@ def test_what_is_stored_grows_with_the_rows_not_with_the_cells(spark):
     assert vectors_held() - before < 10 * n
     asked = range(0, n, 50)
     assert {i: got[i] for i in asked} == brute(asked, x[::50], range(n), x, 3, "euclidean", True)
+
+
+def test_what_travels_grows_with_the_root_of_the_tasks(spark, monkeypatch):
+    """Shelves times packs are the tasks; each vector goes to as many of them as there are of the other kind."""
+    monkeypatch.setattr(knn, "SMALL_SHELF_BYTES", 1)
+    rng = np.random.default_rng(5)
+    rows = frame(spark, range(600), rng.normal(size=(600, 8))).select(F.col("id").alias("cid"), "vector")
+    cells = knn._Cells(rows, "euclidean", None, None)
+    assert 4 <= cells.shelves <= 8 and cells.shelf_rows == 100

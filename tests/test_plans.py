@@ -67,6 +67,17 @@ def test_no_predicate_per_value(spark):
         assert "count_if" not in text and "CASE WHEN" not in text and "pivotfirst" in text
 
 
+def test_only_positive_interactions_carry_values(spark):
+    """Others keep their user by one nameless row, so counts shuffle what is positive; all users stay."""
+    events = spark.createDataFrame(
+        [("u1", "a", "x", 1), ("u1", "b", "y", 0), ("u2", "a", "y", 0), ("u2", "b", "x", None), ("u3", "b", "y", 1),
+         ("u3", "b", "x", 1)], "user_id string, category string, sub_category string, score int")
+    named = {(r.user_id, r.name) for r in features.taste_counts(events).where("name is not null").collect()}
+    assert named == {("u1", "cat__a"), ("u1", "sub__x"), ("u3", "cat__b"), ("u3", "sub__y"), ("u3", "sub__x")}
+    wide = {tuple(r) for r in features.taste_profile(events, ["a", "b"], ["x", "y"]).collect()}
+    assert wide == {("u1", 1, 0, 1, 0), ("u2", 0, 0, 0, 0), ("u3", 0, 2, 1, 1)}
+
+
 def test_interactions_hold_no_list(spark):
     text = plan(Tables(spark, SF_DIR)._interactions())
     assert "collect_list" not in text and "split(" not in text
