@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -97,6 +99,40 @@ def token_groups(labelled: DataFrame, min_count: int) -> DataFrame:
         ).select("token", "item", "held", "bad"), "token-groups")
 
 
+def _rules_inside(held: DataFrame, n_rows: int, n_bad: int, least: int, min_confidence: float) -> DataFrame:
+    """Rules (tokens, confidence, support) of the item sets that a cut row has, counted over all rows.
+
+    ``held`` is (row, bad, cut, item). A level's sets are made of two sets of the level before that stand on
+    one row and differ in their last item. A set goes on while it has ``least`` bad rows and a cut one,
+    fewer rows than any set with one item less, and a good row: what is left out has no rule, or none that
+    a shorter rule does not give with the same confidence. Rows are not cut, levels go on until none is open.
+    """
+    counts = [F.count("*").alias("n"), F.count_if("bad").alias("b"), F.count_if("cut").alias("c")]
+    wanted = (F.col("b") >= least) & (F.col("c") > 0)
+    rows = held.select("row", "bad", "cut", F.array("item").alias("tokens"))
+    sets = materialize(rows.groupBy("tokens").agg(*counts).where(wanted), "url-sets")
+    found = []
+    while True:
+        share = F.col("b") / F.col("n")
+        found.append(sets.where((share >= min_confidence) & (F.col("b") * n_rows > F.col("n") * n_bad)).select(
+            "tokens", share.alias("confidence"), (F.col("b") / n_rows).alias("support")))
+        opened = sets.where("b < n").select("tokens", F.col("n").alias("before"))
+        rows = materialize(rows.join(opened.select("tokens"), "tokens", "left_semi"), "url-sets")
+        if not rows.limit(1).count():
+            return reduce(DataFrame.unionByName, found)
+        start = F.expr("slice(tokens, 1, size(tokens) - 1)")
+        ends = rows.select("row", "bad", "cut", start.alias("start"), F.element_at("tokens", -1).alias("end"))
+        longer = ends.join(
+            ends.select("row", "start", F.col("end").alias("last")), ["row", "start"]).where("end < last")
+        rows = longer.select("row", "bad", "cut", F.concat("start", F.array("end", "last")).alias("tokens"))
+        tried = materialize(rows.groupBy("tokens").agg(*counts).where(wanted), "url-sets")
+        shorter = tried.select("tokens", "n", F.explode("tokens").alias("out")).select(
+            F.col("tokens").alias("whole"), "n", F.array_remove("tokens", F.col("out")).alias("tokens"))
+        fewer = shorter.join(opened, "tokens").where("n < before").groupBy("whole").agg(F.count("*").alias("k"))
+        fewer = fewer.where(F.col("k") == F.size("whole")).select(F.col("whole").alias("tokens"))
+        sets = materialize(tried.join(fewer, "tokens", "left_semi"), "url-sets")
+
+
 def mine_rules(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
@@ -112,9 +148,9 @@ def mine_rules(
     when its confidence reaches the limit and beats the share of bad rows (lift above 1), and when
     no rule with fewer of its items is as confident.
 
-    The search is bounded: a row enters with at most ``max_items`` items, those with the largest
-    share of bad rows (then on most rows, then by name), so it can add at most 2^``max_items``
-    item sets, however long its URL is.
+    FP-growth counts every subset of a row, so it takes at most ``max_items`` items of one: those with the
+    largest share of bad rows (then on most rows, then by name). The item sets of the rows that this cuts
+    are counted over whole rows level by level (``_rules_inside``), so no rule is lost.
     """
     labelled = materialize(
         labelled.where(F.size("tokens") > 0).withColumn("row", F.monotonically_increasing_id()),
@@ -122,18 +158,19 @@ def mine_rules(
     groups = token_groups(labelled, min_count)
     rank = F.struct(
         (-F.col("held_bad") / F.col("held")).alias("share"), (-F.col("held")).alias("rows"), "item")
-    found = labelled.select("row", F.explode("tokens").alias("token")).join(
+    found = materialize(labelled.select("row", F.explode("tokens").alias("token")).join(
         groups.withColumnRenamed("bad", "held_bad"), "token"
-    ).groupBy("row").agg(
-        F.slice(F.sort_array(F.collect_set(rank)), 1, max_items)["item"].alias("items"))
+    ).groupBy("row").agg(F.sort_array(F.collect_set(rank))["item"].alias("items")), "url-items")
     # Rows without a frequent token count as well: shares are of all labelled rows.
     none = F.array().cast("array<string>")
     baskets = labelled.join(found, "row", "left").select(
-        F.concat(F.coalesce("items", none), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none))
-        .alias("items"))
+        F.concat(
+            F.slice(F.coalesce("items", none), 1, max_items),
+            F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none)).alias("items"))
     n_rows = max(labelled.count(), 1)
+    least = min(1.0, max(min_support, (min_count - 0.5) / n_rows))
     model = FPGrowth(
-        itemsCol="items", minSupport=min(1.0, max(min_support, (min_count - 0.5) / n_rows)),
+        itemsCol="items", minSupport=least,
         minConfidence=min_confidence,
         numPartitions=int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions")),
     ).fit(baskets)
@@ -143,6 +180,16 @@ def mine_rules(
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"),
         "url-rules",
     )
+    cut = F.size("items") > max_items
+    if found.where(cut).limit(1).count():
+        held = materialize(labelled.select("row", "bad").join(found, "row").select(
+            "row", "bad", cut.alias("cut"), F.explode("items").alias("item")), "url-held")
+        inside = _rules_inside(held, n_rows, labelled.where("bad").count(), ceil(least * n_rows), min_confidence)
+        # Counts of FP-growth hold for the sets that no cut row has.
+        parts = rules.select("tokens", F.explode("tokens").alias("item")).join(held.where("cut"), "item")
+        counted = parts.groupBy("tokens", "row").agg(F.count("*").alias("n")).where(F.col("n") == F.size("tokens"))
+        rules = materialize(
+            rules.join(counted.select("tokens").distinct(), "tokens", "left_anti").unionByName(inside), "url-rules")
     # A longer rule is redundant when dropping one of its items gives a rule as confident.
     shorter = rules.where(F.size("tokens") > 1).select(
         F.col("tokens").alias("whole"), F.col("confidence").alias("c"),
@@ -215,7 +262,7 @@ def judge_urls(
 
     Defined cases: a null URL, or one without ``://``, has empty host and path, no tokens, and is
     allowed. Repeated and null page ids stay as rows; label rows with null ids or figures say
-    nothing. A URL of any length enters the search with at most ``max_items`` items, and tokens on
+    nothing. Of a URL with more than ``max_items`` items all are searched, level by level; tokens on
     fewer than ``min_count`` bad pages make no rule. Without labelled pages there are no mined rules. An empty table gives no rows. Other
     columns are ignored.
     """
