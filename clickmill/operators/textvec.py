@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, plain_words, words
-from ..functions.vectors import hash_uniform
 from ..session import materialize, one_row
 from .vocab import frequency_vocabulary
 
 DICTIONARY_BYTES = 32 << 20
+SIGNS, SIGN_BITS = "signs", 62
 
 
 def word_rows(df: DataFrame, key: str, text: Column, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -30,19 +30,24 @@ def bag_of_words(df: DataFrame, key: str, text: Column, stop_words: Sequence[str
     return rows.groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
-def tf_idf(bow: DataFrame, key: str, documents: DataFrame) -> DataFrame:
-    """(key, token, weight): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length per document.
+def tf_idf(bow: DataFrame, key: str, documents: DataFrame, signs: Column | None = None) -> DataFrame:
+    """(key, token, tf, df, weight): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length per document.
 
     ``documents`` holds every document, also those without any word. Document frequencies are
-    counted from the per-document counts, so a frequent word reaches the shuffle combined.
+    counted from the per-document counts, so a frequent word reaches the shuffle combined. ``signs``
+    (see ``token_signs``) are drawn once per token beside its frequency and stay with the rows.
     """
     n = one_row(documents, F.count("*").alias("n"))["n"]
     df = bow.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0
-    weighted = bow.join(df.withColumn("idf", idf), "token").withColumn("w", F.col("tf") * F.col("idf"))
+    df = df.withColumn("idf", idf)
+    if signs is not None:
+        df = df.withColumn(SIGNS, signs)
+    weighted = bow.join(df, "token").withColumn("w", F.col("tf") * F.col("idf"))
     # A document's own distinct words bound this window.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "token", "tf", "df", (F.col("w") / length).alias("weight"))
+    carried = [SIGNS] if signs is not None else []
+    return weighted.select(key, "token", "tf", "df", (F.col("w") / length).alias("weight"), *carried)
 
 
 def token_ids(
@@ -136,15 +141,42 @@ def metric_scaled(weights: DataFrame, key: str, metric: str) -> DataFrame:
     return weights.withColumn("weight", F.coalesce(w, F.lit(0.0)))
 
 
+def token_signs(dim: int, seed: int = 42) -> Column:
+    """The signs that a token draws for ``dim`` components: a bit is set where the sign is plus.
+
+    A sign is plus where ``hash_uniform`` is at least 0.5, which the first digit of the hash tells.
+    """
+    def bit(d: int) -> Column:
+        digest = F.md5(F.concat_ws("|", F.col("token"), F.lit(str(d)), F.lit(str(seed))))
+        return F.when(F.substring(digest, 1, 1) >= "8", F.lit(1 << d % SIGN_BITS)).otherwise(0).cast("bigint")
+
+    words = [
+        sum((bit(d) for d in range(start, min(start + SIGN_BITS, dim))), F.lit(0).cast("bigint"))
+        for start in range(0, dim, SIGN_BITS)
+    ]
+    return F.array(*words) if len(words) > 1 else words[0]
+
+
+def signed(weights: DataFrame, dim: int, seed: int = 42) -> DataFrame:
+    """Rows with the signs of their token, which are drawn once per token."""
+    drawn = weights.select("token").distinct().withColumn(SIGNS, token_signs(dim, seed))
+    return weights.join(drawn, "token")
+
+
 def random_projection(weights: DataFrame, key: str, dim: int, seed: int = 42) -> DataFrame:
-    """Sparse rows (key, token, weight) to ``dim`` dense components, signs drawn per token."""
-    signs = weights.select("token").distinct().select(
-        "token",
-        *[F.when(hash_uniform(F.col("token"), F.lit(d), F.lit(seed)) < 0.5, -1.0).otherwise(1.0)
-          .alias(f"g{d}") for d in range(dim)],
-    )
-    joined = weights.join(signs, "token")
-    sums = [F.sum(F.col("weight") * F.col(f"g{d}")).alias(f"p{d}") for d in range(dim)]
+    """Sparse rows (key, token, weight) to ``dim`` dense components, signs drawn per token.
+
+    Rows that come with a column of signs (``token_signs`` of the same ``dim`` and ``seed``) are summed where
+    they lie: rows dealt by ``key`` already, as by a window over it, are not moved again. Others get
+    their signs by a join.
+    """
+    rows = weights if SIGNS in weights.columns else signed(weights, dim, seed)
+
+    def component(d: int) -> Column:
+        word = F.col(SIGNS) if dim <= SIGN_BITS else F.element_at(SIGNS, d // SIGN_BITS + 1)
+        plus = word.bitwiseAND(F.lit(1 << d % SIGN_BITS).cast("bigint")) != 0
+        return F.sum(F.when(plus, F.col("weight")).otherwise(-F.col("weight"))).alias(f"p{d}")
+
     scale = 1.0 / dim**0.5
-    packed = joined.groupBy(key).agg(*sums)
+    packed = rows.groupBy(key).agg(*[component(d) for d in range(dim)])
     return packed.select(key, F.array(*[F.col(f"p{d}") * scale for d in range(dim)]).alias("embedding"))

@@ -34,9 +34,11 @@ def article_vectors(t: Tables, metric: str = "hellinger", weights: str = "tfidf"
     from ..functions.text import joined_text
 
     bow = materialize(textvec.bag_of_words(t.news, "news_id", joined_text(["abstract", "title"])), "bow")
-    rows = textvec.tf_idf(bow, "news_id", t.news) if weights == "tfidf" else bow.withColumn(
-        "weight", F.col("tf").cast("double"))
-    rows = textvec.metric_scaled(rows.select("news_id", "token", "weight"), "news_id", metric)
+    if weights == "tfidf":
+        rows = textvec.tf_idf(bow, "news_id", t.news, textvec.token_signs(TEXT_DIM))
+    else:
+        rows = textvec.signed(bow.withColumn("weight", F.col("tf").cast("double")), TEXT_DIM)
+    rows = textvec.metric_scaled(rows.select("news_id", "token", "weight", textvec.SIGNS), "news_id", metric)
     return materialize(textvec.random_projection(rows, "news_id", TEXT_DIM), "text")
 
 
@@ -170,7 +172,7 @@ def _(t):
 
 @query("red_1_documents")
 def _(t):
-    flat = materialize(textvec.random_projection(tfidf(t), "doc_id", 32), "projected")
+    flat = materialize(textvec.random_projection(tfidf(t, textvec.token_signs(32)), "doc_id", 32), "projected")
     return reduced(flat, "doc_id", "embedding", 2, "cosine")
 
 

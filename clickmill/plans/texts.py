@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import PUNCTUATION, STOP_WORDS
@@ -29,9 +30,9 @@ def bow(t: Tables):
     return textvec.bag_of_words(t.documents, "doc_id", F.col("text"))
 
 
-def tfidf(t: Tables):
+def tfidf(t: Tables, signs: Column | None = None):
     counts = materialize(bow(t), "bow")
-    return textvec.tf_idf(counts, "doc_id", t.documents)
+    return textvec.tf_idf(counts, "doc_id", t.documents, signs)
 
 
 @query("txt_1_bag_of_words", sql("SELECT doc_id, token, tf FROM bow", bow=BOW_SQL))
@@ -111,7 +112,7 @@ def _(t):
         f"round(sum(weight * CASE WHEN {sql_hash_uniform('token', str(d), '42')} < 0.5 THEN -1.0 ELSE 1.0 END)"
         f" / sqrt({DIM}), 6) AS p{d}" for d in range(DIM)) + " FROM tfidf GROUP BY doc_id", **TFIDF_SQL))
 def _(t):
-    flat = textvec.random_projection(tfidf(t), "doc_id", DIM)
+    flat = textvec.random_projection(tfidf(t, textvec.token_signs(DIM)), "doc_id", DIM)
     return flat.select(
         "doc_id", *[F.round(F.element_at("embedding", d + 1), 6).alias(f"p{d}") for d in range(DIM)])
 
