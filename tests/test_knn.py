@@ -157,3 +157,24 @@ def test_what_travels_grows_with_the_root_of_the_tasks(spark, monkeypatch):
     rows = frame(spark, range(600), rng.normal(size=(600, 8))).select(F.col("id").alias("cid"), "vector")
     cells = knn._Cells(rows, "euclidean", None, None)
     assert 4 <= cells.shelves <= 8 and cells.shelf_rows == 100
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dot"])
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e6, 1.0), (0.0, 1e-9), (0.0, 1e20), (3.0, 1e-3)])
+def test_single_precision_shortlist_loses_nothing(metric, shift, scale):
+    """Far from the origin, tiny, beyond single precision, and in ties the k best are those of all pairs."""
+    rng = np.random.default_rng(5)
+    c = (rng.integers(0, 4, (3000, 6)) / 3 + rng.random((3000, 6)) * 1e-7 * (rng.random((3000, 1)) < 0.5)) * scale + shift
+    q, ids = c[rng.permutation(3000)[:300]] + 0.01 * scale, rng.permutation(3000)
+    rows, at, cost = knn._best(q, c, ids, 4, metric)
+    full = -(q @ c.T) if metric == "dot" else None
+    for n in range(len(q)):
+        own = np.sqrt(((q[n] - c) ** 2).sum(axis=1)) if full is None else -(q[n] * c).sum(axis=1)
+        want = np.lexsort((ids, np.round(own, knn.DIGITS)))[:4]
+        assert at[rows == n].tolist() == want.tolist()
+
+
+def test_products_are_of_single_precision():
+    x = np.random.default_rng(6).random((50, 8))
+    best = knn._Best(x, x, np.arange(50), np.full(50, knn.NO_BOUND), 3, "euclidean")
+    assert best.left.dtype == best.right.dtype == np.float32
